@@ -37,10 +37,10 @@ WITH docs AS (
 ), hit AS (
   SELECT doc_id, list(p) AS ps FROM win JOIN least USING (g) WHERE m < doc_id GROUP BY doc_id
 ), gone AS (
-  SELECT doc_id, list_distinct(flatten(list_transform(ps, p -> range(p, p + 13)))) AS ix FROM hit
+  SELECT doc_id, list_distinct(flatten(list_transform(ps, lambda p: range(p, p + 13)))) AS ix FROM hit
 ), kept AS (
   SELECT doc_id, len(w) AS n, CASE WHEN ix IS NULL THEN w
-         ELSE list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(ix, i)), i -> w[i]) END AS k
+         ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ix, i)), lambda i: w[i]) END AS k
   FROM docs LEFT JOIN gone USING (doc_id)
 )
 SELECT doc_id, n::BIGINT AS n_words, (n - len(k))::BIGINT AS n_removed,
