@@ -2,11 +2,10 @@
 
 Terms are runs of letters, digits and non-ASCII characters, ASCII letters lower-cased. Features are
 single terms, pairs of neighbours and pairs that skip one term, hashed into 2**bits coordinates; a
-feature counts once per document and weighs 1 / sqrt(number of features), so length does not drive the
-score.
+feature counts once per document.
 
 Training: up to `max_rows` labelled documents (those with the smallest hashed ids: a documented bound,
-the same rows on every run) are dealt over `shards` tasks. Each runs FTRL-proximal with per-coordinate
+the same rows on every run) are dealt over tasks of about `shard_rows` each. Each runs FTRL-proximal with per-coordinate
 rates and L1 sparsity for a few passes; the shards' weights are averaged per coordinate in Spark. The
 model is a float array of 2**bits entries, a fixed size, and travels to the executors inside the
 scoring function. Scoring is one pass over whole texts without a shuffle.
@@ -48,8 +47,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
 
 
 def probability(weights: np.ndarray, bias: float, coordinates: np.ndarray, first: np.ndarray) -> np.ndarray:
-    n = np.maximum(np.diff(first), 1)
-    logit = K.sums(weights[coordinates].astype(np.float64), first) / np.sqrt(n) + bias
+    logit = K.sums(weights[coordinates].astype(np.float64), first) + bias
     return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
@@ -64,24 +62,24 @@ def ftrl(coordinates, first, labels, bits, alpha, beta, l1, l2, passes) -> tuple
     for _ in range(passes):
         for i, y in enumerate(labels):
             at = coordinates[first[i] : first[i + 1]]
-            x = 1 / np.sqrt(max(1, len(at)))
             w = weight(z[at], n[at])
             b = -bias_z / ((beta + np.sqrt(bias_n)) / alpha)
-            p = 1 / (1 + np.exp(-np.clip(w.sum() * x + b, -35, 35)))
-            g = (p - y) * x
+            p = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35)))
+            g = p - y
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
-            bias_z += (p - y) - (np.sqrt(bias_n + (p - y) ** 2) - np.sqrt(bias_n)) / alpha * b
-            bias_n += (p - y) ** 2
+            bias_z += g - (np.sqrt(bias_n + g * g) - np.sqrt(bias_n)) / alpha * b
+            bias_n += g * g
     return weight(z, n), -bias_z / ((beta + np.sqrt(bias_n)) / alpha)
 
 
-def train(docs: DataFrame, marks: DataFrame, bits: int = 18, max_rows: int = 24_000, shards: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1, passes: int = 4) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, marks: DataFrame, bits: int = 18, max_rows: int = 24_000, shard_rows: int = 4_000, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, passes: int = 4) -> tuple[np.ndarray, float]:
     """Averaged weights and bias from texts (doc_id, text) and their marks (doc_id, label)."""
     usable = marks.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     usable = usable.select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("o"))
     # at most max_rows narrow rows, so the texts need no shuffle to meet them
     sample = F.broadcast(usable.orderBy("o", "label").limit(max_rows))
+    shards = max(1, round(usable.limit(max_rows).count() / shard_rows))
     dealt = docs.select("doc_id", "text").join(sample, "doc_id").withColumn("shard", F.pmod(F.col("o"), F.lit(shards)).cast("int"))
 
     def fit(_key, batch):
