@@ -114,14 +114,15 @@ def train(texts: DataFrame) -> DataFrame:
     top = cut_lineage(counted)
     levels = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].select(F.substring("gram", 2, k).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
+        shorter = levels[k + 1].select(F.substring("gram", 2, k).alias("gram"))
+        levels[k] = cut_lineage(shorter.groupBy("gram").agg(F.count("*").alias("c")))
     lower, out = None, []
     for k in range(1, ORDER + 1):
         d = _discounts(levels[k])
         cut = F.least(F.col("c"), F.lit(3))
         off = F.element_at(F.array(*map(F.lit, d)), cut.cast("int"))
         level = levels[k].withColumns({"context": F.substring("gram", 1, k - 1), "suffix": F.substring("gram", 2, k - 1), "off": off})
-        contexts = level.groupBy("context").agg(F.sum("c").alias("total"), F.sum("off").alias("left"))
+        contexts = cut_lineage(level.groupBy("context").agg(F.sum("c").alias("total"), F.sum("off").alias("left")))
         level = level.join(contexts, "context")
         if lower is None:
             level = level.withColumn("lower", F.lit(1.0 / ALPHABET))
