@@ -95,3 +95,40 @@ SELECT doc_id, n::BIGINT AS n_words, (n - len(k))::BIGINT AS n_removed,
        sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
 FROM kept
 """
+
+
+OP3_PARETO_MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), weighed AS (
+  SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM totals
+), ordered AS (
+  SELECT *, source_size * 2.0::DOUBLE AS most, source_size * 2.0::DOUBLE / w AS ratio FROM weighed
+), levels AS (
+  SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS rk, (sum(source_size) OVER () * 1.5::DOUBLE
+      - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here
+  FROM ordered
+), cutoff AS (
+  SELECT min_by(here, rk) AS lvl FROM levels WHERE ratio > here
+), targets AS (
+  SELECT source, source_size, (CASE WHEN lvl IS NULL OR ratio <= lvl THEN most ELSE w * lvl END)::DOUBLE AS target FROM levels, cutoff
+), drawn AS (
+  SELECT d.doc_id, d.size, t.source, t.source_size, t.target,
+    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS certain,
+    CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '#1'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), odds AS (
+  SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM drawn
+), ranked AS (
+  SELECT *, odds / (1 + odds) AS q, target - certain * source_size AS remainder FROM odds
+), summed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked
+)
+SELECT doc_id, size, source_size, target, (size * (certain + CASE WHEN q IS NOT NULL AND (upto <= remainder
+    OR upto - size < remainder AND abs(upto - remainder) <= abs(upto - size - remainder)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM summed
+"""
