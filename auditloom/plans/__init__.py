@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import content, facts, links, onpage, rollup  # noqa: F401  each module registers its queries
+from .registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
