@@ -13,11 +13,12 @@ copies come as near to what the certain copies left open as they can.
 The cut is found without ordering a source in one task: words are summed in `BINS` bins of q, running sums
 over the bins (a few thousand rows a source at most) name the bin where the target is reached, and only the
 documents of that one bin are ordered. A source that holds a third of all rows is summed before the shuffle
-like any other. The per-source table is all that is ordered globally: one row for each source.
+like any other. The per-source table is all that is ordered globally: one row for each source. Texts are read
+once to be counted and never shuffled; ids and sizes are written out between.
 
 Defined cases: a null text, or one without a word, has size 0 and takes 0 words. A null source is a source
 of its own, last in order. A source without words has target 0. Rows that repeat an id share one u and are
-ranked by size. Other columns are left alone.
+ranked by size, and rows that repeat both are taken together. Other columns are left alone.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut_lineage
+
 BINS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -65,30 +68,53 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return levelled.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def copies(sized: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
-    """Rows (key, source, size and whatever else `sized` has) with source_size, target and n_copies."""
-    joined = sized.join(F.broadcast(targets) if _small(targets) else targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = joined.withColumn("certain", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate))
+def _ranked(rows: DataFrame, seed: int) -> DataFrame:
+    """With q / (1 + q), which keeps the order of q and lies in (0, 1); null where no extra copy is possible."""
     u = uniform(F.col("key"), seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    # q / (1 + q) keeps the order and lies in (0, 1), so that bins of equal width can be named
-    ranked = joined.withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
-    ranked = ranked.withColumn("bin", F.when(F.col("q").isNotNull(), F.least(F.floor(F.col("q") * BINS), F.lit(BINS - 1))).cast("int"))
-    bins = ranked.where("bin IS NOT NULL").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    return rows.withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
+
+
+def source_plan(sized: DataFrame, seed: int = 1) -> DataFrame:
+    """Per source source_size, target, certain copies, p, and the last (q, size) that gets an extra copy.
+
+    `sized` has key, source and size.
+    """
+    targets = source_targets(sized)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = cut_lineage(targets.withColumn("certain", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate)))
+    targets = targets.withColumn("open", F.col("target") - F.col("certain") * F.col("source_size"))
+    ranked = _ranked(_meet(sized, targets), seed).where("q IS NOT NULL").select("source", "size", "q", "open", F.floor(F.col("q") * BINS).cast("int").alias("bin"))
+    bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("open").alias("open"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("upto", F.sum("words").over(upto)).withColumn("open", F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size"))
-    cut = bins.where("upto >= open AND upto - words < open").select(F.col("source").alias("cut_source"), F.col("bin").alias("cut_bin"), (F.col("upto") - F.col("words")).alias("cut_base"), F.col("open").alias("cut_open"))
-    marked = ranked.join(F.broadcast(cut) if _small(targets) else cut, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    inside = marked.where("bin = cut_bin")
-    rest = marked.where("bin IS NULL OR cut_bin IS NULL OR bin <> cut_bin")
-    rest = rest.withColumn("extra", F.when(F.col("bin").isNotNull() & F.coalesce(F.col("bin") < F.col("cut_bin"), F.col("target") > F.col("certain") * F.col("source_size")), 1).otherwise(0))
-    run = Window.partitionBy("source").orderBy("q", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("sum", F.sum("size").over(run) + F.col("cut_base"))
-    nearer = F.abs(F.col("sum") - F.col("cut_open")) <= F.abs(F.col("sum") - F.col("size") - F.col("cut_open"))
-    inside = inside.withColumn("extra", F.when((F.col("sum") <= F.col("cut_open")) | ((F.col("sum") - F.col("size") < F.col("cut_open")) & nearer), 1).otherwise(0)).drop("sum")
-    both = rest.unionByName(inside).withColumn("n_copies", F.col("certain") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0))
-    return both.drop("certain", "p", "q", "bin", "cut_source", "cut_bin", "cut_base", "cut_open", "extra")
+    bins = bins.withColumn("before", F.sum("words").over(upto) - F.col("words"))
+    cut = cut_lineage(bins.where("before < open AND before + words >= open").select("source", F.col("bin").alias("cut_bin"), "before"))
+    inside = _meet(ranked, cut).where("bin = cut_bin")
+    total = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "size"))  # equal rows together
+    inside = inside.withColumn("upto", total)
+    nearer = F.abs(F.col("upto") - F.col("open")) <= F.abs(F.col("upto") - F.col("size") - F.col("open"))
+    taken = (F.col("upto") <= F.col("open")) | ((F.col("upto") - F.col("size") < F.col("open")) & nearer)
+    # in bins before the cut all are taken; q below cut_bin / BINS says the same, as BINS is a power of two
+    edge = F.struct((F.col("cut_bin") / float(BINS)).alias("q"), F.lit(-1).cast("long").alias("size"))
+    last = inside.groupBy("source").agg(F.coalesce(F.max(F.when(taken, F.struct("q", "size"))), F.first(edge)).alias("last"))
+    last = last.withColumnRenamed("source", "last_source")
+    joined = targets.join(last, F.col("source").eqNullSafe(F.col("last_source")), "left").drop("last_source")
+    # rounding can leave the target beyond the sum of all words: then all are taken
+    rest = F.struct(F.when(F.col("open") > 0, 2.0).otherwise(-1.0).alias("q"), F.lit(0).cast("long").alias("size"))
+    return cut_lineage(joined.withColumn("last", F.coalesce("last", rest)))
+
+
+def copies(rows: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
+    """The rows (with key, source, size) and their source_size, target and n_copies; no shuffle for a small plan."""
+    ranked = _ranked(_meet(rows, plan), seed)
+    extra = F.when(F.col("q").isNotNull() & (F.struct("q", "size") <= F.col("last")), 1).otherwise(0)
+    return ranked.withColumn("n_copies", F.col("certain") + extra).drop("certain", "p", "open", "last", "q")
+
+
+def _meet(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """An inner join on the source, null with null."""
+    right = per_source.withColumnRenamed("source", "its_source")
+    return rows.join(F.broadcast(right) if _small(right) else right, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
 
 
 def _small(targets: DataFrame, rows: int = 100_000) -> bool:
@@ -98,8 +124,8 @@ def _small(targets: DataFrame, rows: int = 100_000) -> bool:
 
 def mix_sizes(docs: DataFrame) -> DataFrame:
     """Per document doc_id, size, source_size, target, taken."""
-    sized = docs.select(F.col("doc_id").alias("key"), "source", word_count(F.col("text")).alias("size"))
-    mixed = copies(sized, source_targets(sized))
+    sized = cut_lineage(docs.select(F.col("doc_id").alias("key"), "source", word_count(F.col("text")).alias("size")))
+    mixed = copies(sized, source_plan(sized))
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
@@ -109,6 +135,6 @@ def mix(docs: DataFrame) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {name: f"c{names.index(name)}" for name in ("doc_id", "source", "text")}
     sized = plain.withColumns({"key": F.col(at["doc_id"]), "source": F.col(at["source"]), "size": word_count(F.col(at["text"]))})
-    mixed = copies(sized, source_targets(sized.select("source", "size")))
-    repeated = mixed.where("n_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
+    mixed = copies(sized, source_plan(cut_lineage(sized.select("key", "source", "size"))))
+    repeated = mixed.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
     return repeated.select(*plain.columns).toDF(*names)
