@@ -6,16 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upper_median(values: Column) -> Column:
-    """The element at floor(n / 2), counted from 0, of the ascending values; not interpolated."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+def _nth(rows: DataFrame, group: str, value: str, index: Column, descending: bool) -> DataFrame:
+    """The value at an index, counted from 0, of each group's ordered values; `index` may use the group's n.
 
+    Equal values are counted before the shuffle and only distinct ones are ordered, so no group is collected.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k"))
+    order = F.desc(value) if descending else F.asc(value)
+    counts = counts.withColumn("upto", F.sum("k").over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    counts = counts.withColumn("n", F.sum("k").over(Window.partitionBy(group)))
+    return counts.where((F.col("upto") > index) & (F.col("upto") - F.col("k") <= index)).select(group, value)
 
-def slowest_but(values: Column, per: int = 50) -> Column:
-    """The largest value after leaving out one of every `per`: how long interactions take at worst."""
-    ordered = F.reverse(F.array_sort(F.collect_list(values)))
-    return F.try_element_at(ordered, F.least(F.size(ordered), F.floor(F.size(ordered) / per) + 1).cast("int"))
+
+def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """The element at floor(n / 2) of each group's ascending values; not interpolated."""
+    return _nth(rows, group, value, F.floor(F.col("n") / 2), False)
+
+
+def slowest_but(rows: DataFrame, group: str, value: str, per: int = 50) -> DataFrame:
+    """The largest value of each group after leaving out one of every `per`: how long interactions take at worst."""
+    return _nth(rows, group, value, F.least(F.col("n") - 1, F.floor(F.col("n") / per)), True)
 
 
 def top_per_group(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:

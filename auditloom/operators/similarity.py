@@ -46,20 +46,20 @@ def shingle_hashes_crc32(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def near_pairs(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity) of rows (id, sig) whose signatures agree on at least `threshold` of their values.
+    """(a, b, similarity) of different signatures of (id, sig) that agree on at least `threshold` of their values.
 
-    Candidates share a band of 8 of the 96 values. Pairs at 0.90 differ in 9 values at most and those spoil 9
-    of the 12 bands at most, so no pair is lost. Equal signatures are joined through one representative.
+    Rows with equal signatures form a class, named by its smallest id; pairs are between classes, so copies are
+    never multiplied. Candidates share a band of 8 of the 96 values. Pairs at 0.90 differ in 9 values at most
+    and those spoil 9 of the 12 bands at most, so no pair is lost.
     """
-    groups = signed.groupBy("sig").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"))
+    classes = signed.groupBy("sig").agg(F.min("id").alias("rep"))
     size = HASHES // BANDS
-    bands = groups.select("rep", "sig", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.array_join(F.slice("sig", b * size + 1, size), ",")))).alias("band"))
-    pairs = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("ra"), F.col("y.rep").alias("rb"), F.col("x.sig").alias("sa"), F.col("y.sig").alias("sb")).dropDuplicates(["ra", "rb"])
+    key = lambda b: F.xxhash64(b, F.array_join(F.slice("sig", b * size + 1, size), ","))
+    bands = classes.select("rep", "sig", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("band"))
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep"))
+    pairs = bands.alias("x").join(bands.alias("y"), same).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.sig").alias("sa"), F.col("y.sig").alias("sb")).dropDuplicates(["a", "b"])
     equal = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    kept = pairs.withColumn("similarity", equal / F.lit(float(HASHES))).where(F.col("similarity") >= threshold).select("ra", "rb", "similarity")
-    members = groups.select("rep", F.explode("ids").alias("id"))
-    across = kept.join(members.select(F.col("rep").alias("ra"), F.col("id").alias("i")), "ra").join(members.select(F.col("rep").alias("rb"), F.col("id").alias("j")), "rb")
-    return across.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
+    return pairs.withColumn("similarity", equal / F.lit(float(HASHES))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def near_misses(words: DataFrame, distance: int = 1) -> DataFrame:

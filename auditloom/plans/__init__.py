@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content, facts, links, onpage, rollup  # noqa: F401  each module registers its queries
+from . import content, facts, links, onpage, rollup, scalars  # noqa: F401  each module registers its queries
 from .registry import QUERIES, SQL
 
 

@@ -85,7 +85,7 @@ SEED_SQL = "[" + ", ".join(map(str, similarity.SEEDS)) + "]"
 @query(rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id % 3 = 0 OR true),
 h AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: ('0x' || substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 8))::BIGINT)) AS h FROM w WHERE len(w) > 0),
 s AS (SELECT doc_id, list_transform({SEED_SQL}::BIGINT[], lambda sd: list_min(list_transform(h, lambda v: xor(v, sd)))) AS sig FROM h),
-b AS (SELECT doc_id, sig, unnest(range(0, 12)) AS band FROM s), k AS (SELECT doc_id, sig, band, sig[band * 8 + 1:band * 8 + 8] AS part FROM b),
+r AS (SELECT min(doc_id) AS doc_id, sig FROM s GROUP BY sig), b AS (SELECT doc_id, sig, unnest(range(0, 12)) AS band FROM r), k AS (SELECT doc_id, sig, band, sig[band * 8 + 1:band * 8 + 8] AS part FROM b),
 c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.sig AS sa, y.sig AS sb FROM k x JOIN k y ON x.band = y.band AND x.part = y.part AND x.doc_id < y.doc_id AND x.sig <> y.sig)
 SELECT a, b, len(list_filter(range(1, 97), lambda i: sa[i] = sb[i])) / 96.0 AS similarity FROM c WHERE len(list_filter(range(1, 97), lambda i: sa[i] = sb[i])) >= 87""".replace(" WHERE doc_id % 3 = 0 OR true", ""))
 def near_duplicates_md5(spark, sf_dir):

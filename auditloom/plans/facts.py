@@ -17,12 +17,12 @@ def median_metric(spark, sf_dir):
 
 @query("WITH l AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT event_type, v[len(v) // 2 + 1] AS value FROM l")
 def upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(metrics.upper_median(F.col("value")).alias("value"))
+    return metrics.upper_median(table(spark, sf_dir, "events"), "event_type", "value")
 
 
 @query("WITH l AS (SELECT user_id, list_reverse_sort(list(value)) AS v FROM events GROUP BY 1) SELECT user_id, v[least(len(v), len(v) // 50 + 1)] AS value FROM l")
 def inp_rank(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(metrics.slowest_but(F.col("value")).alias("value"))
+    return metrics.slowest_but(table(spark, sf_dir, "events"), "user_id", "value")
 
 
 @query("SELECT event_type, CASE WHEN value IS NULL THEN 'n/a' WHEN value <= 20 THEN 'Good' WHEN value > 60 THEN 'Poor' ELSE 'Needs improvement' END AS rating, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
@@ -77,9 +77,8 @@ def domain_rollup(spark, sf_dir):
     )
 
 
-@query("""WITH g AS (SELECT user_id, list(greatest(0, value - 50)) AS d FROM events WHERE value > 50 GROUP BY 1) SELECT user_id, round(list_sum(list_sort(d)), 6) AS tbt FROM g""")
+@query("SELECT user_id, sum(CAST(value - 50 AS DECIMAL(20, 6)))::DOUBLE AS tbt FROM events WHERE value > 50 GROUP BY 1")
 def blocking_time(spark, sf_dir):
-    """What exceeds 50 of each measurement, summed for each user in ascending order."""
-    over = F.array_sort(F.collect_list(F.greatest(F.lit(0.0), F.col("value") - 50)))
-    total = F.aggregate(over, F.lit(0.0), lambda a, x: a + x)
-    return table(spark, sf_dir, "events").where("value > 50").groupBy("user_id").agg(F.round(total, 6).alias("tbt"))
+    """What exceeds 50 of each measurement, summed for each user; decimal, so that the order of rows does not matter."""
+    over = (F.col("value") - 50).cast("decimal(20,6)")
+    return table(spark, sf_dir, "events").where("value > 50").groupBy("user_id").agg(F.sum(over).cast("double").alias("tbt"))

@@ -134,7 +134,9 @@ def test_graph(spark):
 def test_metrics(spark):
     rows = spark.createDataFrame([("g", 0, 10), ("g", 5, 12), ("g", 20, 21), ("g", 3, 4), ("h", 1, 1)], "g string, a long, b long")
     assert {r.g: r.covered for r in metrics.interval_union(rows, "g", "a", "b").collect()} == {"g": 13, "h": 0}
-    assert rows.groupBy("g").agg(metrics.upper_median(F.col("a")).alias("m")).orderBy("g").first().m == 5
+    assert {r.g: r.a for r in metrics.upper_median(rows, "g", "a").collect()} == {"g": 5, "h": 1}
+    many = spark.createDataFrame([("g", float(i)) for i in range(120)], "g string, v double")
+    assert metrics.slowest_but(many, "g", "v").first().v == 117.0
 
 
 def test_near_duplicates_crc32(spark):
@@ -148,9 +150,9 @@ def test_near_duplicates_crc32(spark):
         texts.append((i, w))
     frame = spark.createDataFrame(texts, "id long, w array<string>").select("id", similarity.signature(similarity.shingle_hashes_crc32("w")).alias("sig")).cache()
     sig = {r.id: r.sig for r in frame.collect()}
-    want = {(a, b) for a in sig for b in sig if a < b and sum(x == y for x, y in zip(sig[a], sig[b], strict=True)) >= 87}
-    got = similarity.near_pairs(frame).where("a <> b").collect()
-    assert {(r.a, r.b) for r in got} == {(a, b) for a, b in want if sig[a] != sig[b]} and want
+    heads = {min(j for j in sig if sig[j] == s): s for s in sig.values()}
+    want = {(a, b) for a in heads for b in heads if a < b and sum(x == y for x, y in zip(sig[a], sig[b], strict=True)) >= 87}
+    assert {(r.a, r.b) for r in similarity.near_pairs(frame).collect()} == want and want
 
 
 def test_sources(spark):
@@ -178,3 +180,26 @@ def test_streaming(spark, tmp_path):
         assert query.awaitTermination(120)
     assert spark.table("seen").count() == 2
     assert {(r.url, r.n, r["mean"]) for r in spark.table("windows").collect()} == {("a", 2, 2.0), ("b", 1, 5.0)}
+
+
+def test_reports(spark, tmp_path):
+    from auditloom.operators import reports
+
+    schema = "url string, severity string, category string, issue string, current_value string, element string, report string"
+    rows = [("http://a/2", "Info", "c", "i", "x\x01y", None, "r"), ("http://a/1", "Important", "c", "i", "v", "e", "r"), ("(site-wide)", "Critical", "c", "i", "v", "e", "s"), ("http://a/1", "Critical", "c", "i", "v", "e", "r")]
+    found = spark.createDataFrame(rows, schema)
+    assert [r.url for r in reports.ordered(found).collect()] == ["http://a/1", "http://a/1", "http://a/2", "(site-wide)"]
+    nested = {r.url: r for r in reports.documents(found).collect()}
+    assert [i.severity for i in nested["http://a/1"]["issues"]] == ["Critical", "Important"] and nested["http://a/1"].critical == 1
+    for _ in range(2):
+        reports.write(found, str(tmp_path / "out"), "2026-01-01")
+    reports.write(found.limit(0).union(found.where("report = 's'")), str(tmp_path / "out"), "2026-01-02")
+    back = spark.read.parquet(str(tmp_path / "out/issues"))
+    assert back.count() == 5 and spark.read.json(str(tmp_path / "out/json")).count() == 4
+    csv = spark.read.option("header", True).csv(str(tmp_path / "out/csv")).where("severity = 'Info'").first()
+    assert csv.current_value == "xy"
+    cells = reports.clean_cells(spark.createDataFrame([([1, 2], None)], "a array<int>, b string")).first()
+    assert tuple(cells) == ("[1,2]", "")
+    old = spark.createDataFrame([("A", "pass"), ("B", "fail")], "id string, status string")
+    new = spark.createDataFrame([("A", None), ("B", "pass"), ("C", "fail")], "id string, status string")
+    assert sorted(map(tuple, reports.upsert(old, new).collect())) == [("B", "pass"), ("C", "fail")]
