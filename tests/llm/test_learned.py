@@ -167,7 +167,8 @@ def test_quality_odd(spark, odd, nothing):
     got = kneser_ney.quality(odd, labels).collect()
     assert len(got) == odd.count()
     for r in got:
-        assert (r.perplexity is None) == (not r.keep and r.threshold is not None and r.doc_id in (2, 3, None) and r.perplexity is None)
+        assert r.keep == (r.perplexity is not None and r.perplexity <= r.threshold)
+    assert sum(r.perplexity is None for r in got) == 3
     for frame, marks in ((odd, labels.limit(0)), (nothing, labels)):
         assert kneser_ney.quality(frame, marks).count() == frame.count()
 
