@@ -13,8 +13,10 @@ from the later document.
 4. Words under such windows are cut out of the text.
 
 Both shuffles stream sorted runs and remember one document per run, so a passage found in a third of
-all documents needs no memory for its group. The text is shuffled once, by document, and that exchange
-serves steps 3 and 4.
+all documents needs no memory for its group. Nor does it fill one task: of a hash that LOCAL documents of
+one slice of texts share, only the slice's first document is shuffled by hash; the others are known to
+repeat it and are dealt out by document (`_dealt`). The text is shuffled once, by document, and that
+exchange serves steps 3 and 4.
 
 Defined cases: a null or empty text has no words. Fewer than `window` words: nothing is removed. A
 null id is later than all others. Rows that repeat an id count as one document and do not cut each
@@ -36,6 +38,10 @@ from . import kernel as K
 
 #: An id later than all others stands for null.
 LAST = (1 << 63) - 1
+#: So many documents of one slice with the same hash settle it among themselves.
+LOCAL = 4
+#: Hashes are even; the odd number after one marks a row that needs no comparison any more.
+EVEN = np.uint64((1 << 64) - 2)
 
 
 def difference_cover(period: int) -> list[int]:
@@ -56,28 +62,56 @@ def plan(window: int) -> tuple[int, int, list[int]]:
     return window - period + 1, period, difference_cover(period)
 
 
+def _windows(hashes, first, length):
+    """Even hashes of the runs of `length` words, and which of them are whole."""
+    values, whole = K.shingles(hashes, first, length)
+    return values & EVEN, whole
+
+
 def _anchors(data, offsets, window):
     """Word spans, word hashes, documents' first words, and the anchors' word indexes and hashes."""
     length, period, cover = plan(window)
     start, end, hashes, first = K.words(data, offsets)
     n = np.diff(first)
     position = np.arange(len(start)) - np.repeat(first[:-1], n)
-    anchor, whole = K.shingles(hashes, first, length)
+    anchor, whole = _windows(hashes, first, length)
     at = np.flatnonzero(whole & np.isin(position % period, cover) & (np.repeat(n, n) >= window))
     return start, end, hashes, first, at, anchor[at]
 
 
+def _dealt(hashes: np.ndarray, doc: np.ndarray, keep_first: bool) -> pa.RecordBatch:
+    """Rows (h, doc) of one slice, each once. Where LOCAL documents or more have a hash, all but its first
+    are settled (and with keep_first the first as well): their h is odd. The first stays to be compared."""
+    order = np.lexsort((doc, hashes))
+    h, doc = K.signed(hashes)[order], doc[order]
+    if len(h):
+        once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+        h, doc = h[once], doc[once]
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(starts, len(h)))
+        settled = np.repeat(size >= LOCAL, size)
+        heads = starts[size >= LOCAL]
+        settled[heads] = keep_first
+        again = heads if keep_first else heads[:0]
+        h, doc = np.concatenate([h + settled, h[again]]), np.concatenate([doc, doc[again]])
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc)], ["h", "doc"])
+
+
 def _shared(keep_first: bool):
     """Over rows (h, doc) sorted by both: the rows of each h that two documents or more have.
 
     With keep_first the rows of a run's smallest document belong to the result, else only later ones.
-    The first document of the open run is carried from batch to batch; its rows are repeated at most once.
+    Settled rows belong to it in any case. The first document of the open run is carried from batch to batch; its rows are repeated at most once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_h, last_doc, told = None, None, False
         for batch in batches:
             h, doc = (batch.column(i).to_numpy() for i in (0, 1))
+            settled = (h & 1).astype(bool)
+            if settled.any():
+                yield pa.RecordBatch.from_arrays([pa.array(h[settled] - 1), pa.array(doc[settled])], ["h", "doc"])
+                h, doc = h[~settled], doc[~settled]
             if not len(h):
                 continue
             new = np.empty(len(h), bool)
@@ -104,7 +138,8 @@ def _shared(keep_first: bool):
 
 def _by_document(rows: DataFrame, keep_first: bool, name: str) -> DataFrame:
     """(doc, list of hashes) of the hashes that several documents have."""
-    found = rows.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_shared(keep_first), "h long, doc long")
+    dealt_by = F.when(F.col("h").bitwiseAND(F.lit(1)) == 1, F.xxhash64("h", "doc")).otherwise(F.col("h"))
+    found = rows.repartition(dealt_by).sortWithinPartitions("h", "doc").mapInArrow(_shared(keep_first), "h long, doc long")
     return found.groupBy("doc").agg(F.collect_set("h").alias(name))
 
 
@@ -128,7 +163,7 @@ def _emit_anchors(window):
             for a, _, data, offsets in K.text_slices(batch.column(1)):
                 *_, first, at, anchor = _anchors(data, offsets, window)
                 key = doc[a + K.owners(first)[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchor)), pa.array(key)], ["h", "doc"])
+                yield _dealt(anchor, key, True)
 
     return run
 
@@ -146,9 +181,9 @@ def _emit_windows(window):
                 near = np.zeros(len(hashes) + 1, np.int64)  # windows that start up to period - 1 words before a hot anchor
                 np.add.at(near, np.maximum(hot - period + 1, first[owner[hot]]), 1)
                 np.add.at(near, hot + 1, -1)
-                full, whole = K.shingles(hashes, first, window)
+                full, whole = _windows(hashes, first, window)
                 take = (np.cumsum(near)[:-1] > 0) & whole
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(full[take])), pa.array(doc[a + owner[take]])], ["h", "doc"])
+                yield _dealt(full[take], doc[a + owner[take]], False)
 
     return run
 
@@ -157,7 +192,7 @@ def covered_words(data, offsets, listed, listed_rows, window):
     """Word spans, each document's first word, and whether a listed window covers the word."""
     start, end, hashes, first = K.words(data, offsets)
     owner = K.owners(first)
-    full, whole = K.shingles(hashes, first, window)
+    full, whole = _windows(hashes, first, window)
     at = np.flatnonzero(whole)
     hit = at[_member(full[at], owner[at], listed, listed_rows)] if len(listed) else at[:0]
     edge = np.zeros(len(start) + 1, np.int64)

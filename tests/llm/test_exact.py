@@ -80,6 +80,25 @@ def test_substring_dedup(documents):
             assert k or texts[i] == rows[i][1]
 
 
+@pytest.mark.parametrize("keep_first", [True, False])
+@pytest.mark.parametrize("slices", [1, 4, 60])
+def test_settled_rows_change_nothing(slices, keep_first):
+    """Whatever the slices settle among themselves, the same (hash, document) rows come out."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(slices)
+    hashes = rnd.choice(np.array([2, 4, 6, 1 << 63, (1 << 64) - 2, *range(100, 160, 2)], np.uint64), 600, p=[0.3, 0.2, 0.1, 0.05, 0.05, *[0.01] * 30])
+    doc = rnd.integers(0, 200, 600)
+    dealt = [substring_dedup._dealt(hashes[k::slices], doc[k::slices], keep_first) for k in range(slices)]
+    rows = sorted({(h, d) for x in dealt for h, d in zip(*(c.to_pylist() for c in x.columns), strict=True)})
+    batches = [pa.record_batch([pa.array(c) for c in zip(*rows[k : k + 7], strict=True)], ["h", "doc"]) for k in range(0, len(rows), 7)]
+    got = {(h, d) for x in substring_dedup._shared(keep_first)(batches) for h, d in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+    docs = defaultdict(set)
+    for h, d in zip(hashes.view(np.int64).tolist(), doc.tolist(), strict=True):
+        docs[h].add(d)
+    assert got == {(h, d) for h, ds in docs.items() for d in ds if len(ds) > 1 and (keep_first or d > min(ds))}
+
+
 def test_substring_dedup_odd(odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert Counter(tuple(r) for r in substring_dedup.substring_digest(odd).collect()) == removed(rows)
