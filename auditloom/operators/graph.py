@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Written to the session's shared checkpoint folder; its own temporary one only where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -21,12 +21,12 @@ def bfs_depth(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFr
 
     Each round expands the last frontier only and drops what has been seen; it ends when nothing is new.
     """
-    links = _cut(edges.select("graph", "src", "dst").where("src <> dst").distinct())
-    seen = _cut(roots.select("graph", "node").distinct().withColumn("depth", F.lit(0).cast("long")))
+    links = cut_lineage(edges.select("graph", "src", "dst").where("src <> dst").distinct())
+    seen = cut_lineage(roots.select("graph", "node").distinct().withColumn("depth", F.lit(0).cast("long")))
     frontier = seen
     for depth in range(1, max_depth + 1):
         step = frontier.select("graph", F.col("node").alias("src")).join(links, ["graph", "src"]).select("graph", F.col("dst").alias("node")).distinct()
-        new = _cut(step.join(seen, ["graph", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        new = cut_lineage(step.join(seen, ["graph", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if new.limit(1).count() == 0:
             break
         seen, frontier = seen.union(new), new

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from .graph import cut_lineage
+
 HASHES, BANDS, THRESHOLD = 96, 12, 0.90
 _rng = random.Random(7)
 #: Seeds that a 32-bit hash is combined with, drawn from a fixed generator so that signatures are reproducible.
@@ -62,6 +64,16 @@ def near_pairs(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.withColumn("similarity", equal / F.lit(float(HASHES))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
+def members(signed: DataFrame) -> DataFrame:
+    """(id, rep): for every signed row of (id, sig) the class that `near_pairs` counts it in, its own id if it is alone.
+
+    With the pairs this is the whole result: all rows of one class agree on every value, and each row of a class is
+    as similar to each row of a paired class as the pair says. Each row is written once, so copies are not multiplied.
+    """
+    keyed = cut_lineage(signed.where("sig IS NOT NULL").select("id", F.sha2(F.array_join("sig", ",").cast("binary"), 256).alias("key")))
+    return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("rep")), "key").select("id", "rep")
+
+
 def near_misses(words: DataFrame, distance: int = 1) -> DataFrame:
     """(word, suggestion, distance) of words at most `distance` edits apart, rarer word first.
 

@@ -101,6 +101,25 @@ def near_duplicates_crc32(spark, sf_dir):
     return similarity.near_pairs(rows.select(F.col("doc_id").alias("id"), similarity.signature(similarity.shingle_hashes_crc32("w")).alias("sig")))
 
 
+@query(rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: ('0x' || substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 8))::BIGINT)) AS h FROM w WHERE len(w) > 0),
+s AS (SELECT doc_id, list_transform({SEED_SQL}::BIGINT[], lambda sd: list_min(list_transform(h, lambda v: xor(v, sd)))) AS sig FROM h)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS rep FROM s""")
+def near_duplicate_members_md5(spark, sf_dir):
+    """For every document with words the document that stands for it in `near_duplicates_md5`."""
+    rows = documents(spark, sf_dir).withColumn("w", _words(F.col("text"))).where(F.size("w") > 0)
+    found = similarity.members(rows.select(F.col("doc_id").alias("id"), similarity.signature(similarity.shingle_hashes_md5(F.col("w"))).alias("sig")))
+    return found.select(F.col("id").alias("doc_id"), "rep")
+
+
+@query()
+def near_duplicate_members_crc32(spark, sf_dir):
+    """The same for `near_duplicates_crc32`."""
+    rows = documents(spark, sf_dir).withColumn("w", _words(F.col("text"))).where(F.size("w") > 0)
+    found = similarity.members(rows.select(F.col("doc_id").alias("id"), similarity.signature(similarity.shingle_hashes_crc32("w")).alias("sig")))
+    return found.select(F.col("id").alias("doc_id"), "rep")
+
+
 @query(r"""WITH p AS (SELECT doc_id, lower(trim(unnest(string_split(text, chr(10))))) AS para FROM documents),
 g AS (SELECT para, count(DISTINCT doc_id)::BIGINT AS n_docs, min(doc_id)::BIGINT AS example FROM p WHERE length(para) >= 80 GROUP BY para HAVING count(DISTINCT doc_id) >= 5)
 SELECT left(para, 200) AS text, n_docs, example FROM g ORDER BY n_docs DESC, para DESC LIMIT 40""")

@@ -155,6 +155,15 @@ def test_near_duplicates_crc32(spark):
     assert {(r.a, r.b) for r in similarity.near_pairs(frame).collect()} == want and want
 
 
+def test_near_duplicate_members(spark):
+    copy, other = [1] * 96, [1] * 90 + [2] * 6
+    frame = spark.createDataFrame([(5, copy), (2, copy), (9, other), (7, copy), (8, other), (3, [4] * 96)], "id long, sig array<long>")
+    assert {r.id: r.rep for r in similarity.members(frame).collect()} == {2: 2, 5: 2, 7: 2, 8: 8, 9: 8, 3: 3}
+    assert [(r.a, r.b) for r in similarity.near_pairs(frame).collect()] == [(2, 8)]
+    alike = frame.where("id IN (2, 5, 7)")
+    assert similarity.near_pairs(alike).count() == 0 and {r.rep for r in similarity.members(alike).collect()} == {2}
+
+
 def test_sources(spark):
     xml = spark.createDataFrame([("<urlset><url><loc> http://a/1 </loc><lastmod>2026-01</lastmod></url><url><loc>http://a/2</loc></url></urlset>",)], "xml string")
     assert sorted(map(tuple, tables.sitemap_entries(xml).collect()), key=str) == [("http://a/1", "2026-01"), ("http://a/2", None)]
