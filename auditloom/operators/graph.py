@@ -16,23 +16,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bfs_depth(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
+def bfs_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(graph, node, depth): fewest links from a root, per graph; edges (graph, src, dst), roots (graph, node).
 
-    Each round expands the last frontier only and drops what has been seen; it ends when nothing is new.
+    Each round expands the last frontier only and drops what has been seen; it ends when nothing is new, or at
+    `max_depth` if one is given. Every 16 rounds the nodes seen are written as one table, so plans stay short.
     """
     links = cut_lineage(edges.select("graph", "src", "dst").where("src <> dst").distinct())
     seen = cut_lineage(roots.select("graph", "node").distinct().withColumn("depth", F.lit(0).cast("long")))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = frontier.select("graph", F.col("node").alias("src")).join(links, ["graph", "src"]).select("graph", F.col("dst").alias("node")).distinct()
         new = cut_lineage(step.join(seen, ["graph", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if new.limit(1).count() == 0:
             break
         seen, frontier = seen.union(new), new
+        if depth % 16 == 0:
+            seen = cut_lineage(seen)
     return seen
 
 
+def all_depths(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(graph, node, depth, linked) of every node of (graph, node), of every end of a link and every root.
+
+    The depth is null if no path leads there from a root; `linked` tells whether another node links to it.
+    """
+    links = cut_lineage(edges.select("graph", "src", "dst").where("src <> dst").distinct())
+    ends = links.select("graph", F.col("src").alias("node"), F.lit(False).alias("linked")).union(links.select("graph", "dst", F.lit(True)))
+    known = nodes.select("graph", "node", F.lit(False).alias("linked")).union(roots.select("graph", "node", F.lit(False))).union(ends)
+    known = known.groupBy("graph", "node").agg(F.bool_or("linked").alias("linked"))
+    return known.join(bfs_depth(links, roots), ["graph", "node"], "left").select("graph", "node", "depth", "linked")
+
+
 def redirect_closure(hops: DataFrame, max_hops: int = 10) -> DataFrame:
     """(url, final_url, hops, is_loop) of every source of (url, location): the chain followed to its end.
 

@@ -90,6 +90,22 @@ def bfs_depth(spark, sf_dir):
     return graph.bfs_depth(both, roots, MAX_DEPTH).select(F.col("graph").alias("host"), "node", "depth")
 
 
+@query()
+def click_depth(spark, sf_dir):
+    """Clicks to every page from its site's "/", or from the site's first path if it has no "/"; null if none lead there.
+
+    The walk follows links one way to its end, and MAX_DEPTH is a threshold of the report only. Its length is that of
+    the longest path, so there is no SQL; the tests compare it with brute force.
+    """
+    one_way = edges(spark, sf_dir)
+    nodes = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("graph"), U.path(F.col("url")).alias("node")).distinct()
+    home = one_way.where("src = '/' OR dst = '/'").select("graph", F.lit("/").alias("node"))
+    roots = nodes.union(home).groupBy("graph").agg(F.min("node").alias("node"))
+    unreached = F.when(F.col("linked"), "Not reachable from homepage by links").otherwise("Orphan page")
+    problem = F.when(F.col("depth").isNull(), unreached).when(F.col("depth") > MAX_DEPTH, "Page too deep")
+    return graph.all_depths(nodes, one_way, roots).select(F.col("graph").alias("host"), "node", "depth", problem.alias("problem"))
+
+
 @query(r"""WITH RECURSIVE h AS (
   SELECT 'u' || o_orderkey AS url, 'u' || CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 11 = 1 AND o_orderkey % 2 = 0 THEN o_orderkey - 1 ELSE o_orderkey + 1 END AS location
   FROM orders WHERE o_orderkey % 11 < 3

@@ -131,6 +131,24 @@ def test_graph(spark):
     assert got["a"] == ("c", 2, False) and got["b"] == ("c", 1, False) and got["x"][2] and got["s"] == ("s", 1, True)
 
 
+def test_all_depths(spark):
+    chain = [("g", f"{i:03}", f"{i + 1:03}") for i in range(55)] + [("g", "x", "y"), ("g", "y", "x"), ("g", "z", "000")]
+    nodes = spark.createDataFrame([("g", "alone")], "graph string, node string")
+    got = {r.node: (r.depth, r.linked) for r in graph.all_depths(nodes, spark.createDataFrame(chain, "graph string, src string, dst string"), spark.createDataFrame([("g", "000")], "graph string, node string")).collect()}
+    assert got == {f"{i:03}": (i, True) for i in range(56)} | {"x": (None, True), "y": (None, True), "z": (None, False), "alone": (None, False)}
+
+
+def test_click_depth(spark, tmp_path):
+    from auditloom import plans
+
+    to = {"/": ["/a", "/b"], "/a": ["/b", "/c"], "/c": ["/d"], "/d": ["/e", "/"], "/x": ["/y"], "/y": ["/x"], "/o": ["/a"]}
+    rows = [(i, f"http://s.com{p}", "<html><body>" + "".join(f'<a href="{t}">t</a>' for t in ts) + "</body></html>") for i, (p, ts) in enumerate(to.items())]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.node: (r.depth, r.problem) for r in plans.queries()["click_depth"](spark, str(tmp_path)).collect()}
+    far, lost = "Page too deep", "Not reachable from homepage by links"
+    assert got == {"/": (0, None), "/a": (1, None), "/b": (1, None), "/c": (2, None), "/d": (3, None), "/e": (4, far), "/x": (None, lost), "/y": (None, lost), "/o": (None, "Orphan page")}
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([("g", 0, 10), ("g", 5, 12), ("g", 20, 21), ("g", 3, 4), ("h", 1, 1)], "g string, a long, b long")
     assert {r.g: r.covered for r in metrics.interval_union(rows, "g", "a", "b").collect()} == {"g": 13, "h": 0}
