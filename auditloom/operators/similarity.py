@@ -74,15 +74,24 @@ def members(signed: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("rep")), "key").select("id", "rep")
 
 
-def near_misses(words: DataFrame, distance: int = 1) -> DataFrame:
+def near_misses(words: DataFrame, distance: int = 1, known: DataFrame | None = None) -> DataFrame:
     """(word, suggestion, distance) of words at most `distance` edits apart, rarer word first.
 
-    words: word, n. A word with one letter deleted equals its neighbour, or its neighbour with one deleted, so
-    deletions meet in an equi-join; the distance is then checked. For a distance of 1 this is exact.
+    words: word, n; suggestions come from `known`, the same columns, or from `words` themselves. Two words within d
+    edits become equal when at most d letters are deleted from each, so all words with up to d deletions meet in an
+    equi-join; the distance is then checked. This is exact for every distance.
     """
-    n = F.length("word")
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, n)))
-    keys = words.select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), cut))).alias("key"))
-    pairs = keys.alias("x").join(keys.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.n") < F.col("y.n")) & (F.col("x.word") != F.col("y.word")))
+
+    def shorter(w):
+        cut = lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))
+        return F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), cut)).otherwise(F.array().cast("array<string>"))
+
+    def keyed(rows):
+        keys = rows.select("word", "n", F.array("word").alias("keys"))
+        for _ in range(distance):
+            keys = keys.withColumn("keys", F.array_distinct(F.concat("keys", F.flatten(F.transform("keys", shorter)))))
+        return keys.select("word", "n", F.explode("keys").alias("key"))
+
+    pairs = keyed(words).alias("x").join(keyed(words if known is None else known).alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.n") < F.col("y.n")) & (F.col("x.word") != F.col("y.word")))
     pairs = pairs.select(F.col("x.word").alias("word"), F.col("y.word").alias("suggestion")).distinct()
     return pairs.withColumn("distance", F.levenshtein("word", "suggestion").cast("long")).where(F.col("distance") <= distance)

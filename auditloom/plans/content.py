@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
 from auditloom.operators import similarity
+from auditloom.operators.graph import cut_lineage
+from auditloom.operators.metrics import top_per_group
 
 from .registry import query, table
 
@@ -33,6 +35,8 @@ SECRETS = {
 }
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[A-Za-z]{2,}"
 PHONE = r"(?:\+?[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+#: Occurrences from which a word counts as known: there is no dictionary.
+KNOWN = 4
 FORBIDDEN = ("licensed", "that", "menu")
 
 
@@ -203,6 +207,30 @@ def typo_candidates(spark, sf_dir):
     return similarity.near_misses(words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 4"))
 
 
+def _misspellings(spark, sf_dir):
+    words = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    counted = cut_lineage(words.groupBy("word").agg(F.count("*").alias("n")))
+    known = counted.where(F.col("n") >= KNOWN)
+    return similarity.near_misses(counted.where(F.length("word").between(3, 18)), 2, known), known
+
+
+@query()
+def misspellings(spark, sf_dir):
+    """Words of 3 to 18 letters, seen any number of times, one or two edits from a more frequent one that is seen KNOWN
+    times or more. SQL would compare all words with all; the tests compare it with brute force."""
+    return _misspellings(spark, sf_dir)[0]
+
+
+@query()
+def ranked_misspellings(spark, sf_dir):
+    """The six best suggestions of each: shared start of up to four letters first, then frequency, ten times less per edit."""
+    found, known = _misspellings(spark, sf_dir)
+    pairs = found.join(known.select(F.col("word").alias("suggestion"), F.col("n").alias("m")), "suggestion")
+    start = sum((F.left("word", F.lit(i)) == F.left("suggestion", F.lit(i))).cast("int") for i in range(1, 5))
+    order = [F.desc(start), F.desc(F.col("m") / F.pow(F.lit(10.0), F.col("distance"))), F.col("suggestion")]
+    return top_per_group(pairs, "word", order, 6).select("word", "suggestion", "rn")
+
+
 @query(r"""WITH l AS (SELECT conv_id, turn, role, trim(text) AS text FROM conversations WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) * 2 >= length(regexp_replace(text, '\s', '', 'g')))
 SELECT conv_id, turn, role, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM l""")
 def block_offsets(spark, sf_dir):

@@ -182,6 +182,30 @@ def test_near_duplicate_members(spark):
     assert similarity.near_pairs(alike).count() == 0 and {r.rep for r in similarity.members(alike).collect()} == {2}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_misspellings(spark, tmp_path):
+    from auditloom import plans
+
+    rnd = random.Random(5)
+    n = {"vehicle": 9, "medical": 40, "vesical": 5, "vehical": 1, "cat": 7, "act": 2, "of": 8, "teh": 1, "the": 30}
+    n |= {"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 7))): rnd.randrange(1, 9) for _ in range(60)}
+    text = " ".join(w for w, k in n.items() for _ in range(k))
+    spark.createDataFrame([(1, "en", text)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(a, b, edits(a, b)) for a in n for b in n if a != b and 3 <= len(a) <= 18 and n[b] >= 4 and n[a] < n[b] and edits(a, b) <= 2}
+    got = plans.queries()["misspellings"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and ("vehical", "vehicle", 2) in want and ("teh", "the", 2) in want
+    best = {r.word: r.suggestion for r in plans.queries()["ranked_misspellings"](spark, str(tmp_path)).where("rn = 1").collect()}
+    assert best["vehical"] == "vehicle" and set(best) == {a for a, _, _ in want}
+
+
 def test_sources(spark):
     xml = spark.createDataFrame([("<urlset><url><loc> http://a/1 </loc><lastmod>2026-01</lastmod></url><url><loc>http://a/2</loc></url></urlset>",)], "xml string")
     assert sorted(map(tuple, tables.sitemap_entries(xml).collect()), key=str) == [("http://a/1", "2026-01"), ("http://a/2", None)]
