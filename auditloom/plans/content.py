@@ -150,6 +150,14 @@ def filler_phrases(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", n.cast("long").alias("n_phrases")).where("n_phrases >= 2")
 
 
+@query("WITH n AS (SELECT doc_id, (" + " + ".join(f"contains(lower(text), {lit(p)})::BIGINT" for p in FILLER) + ")::BIGINT AS n_phrases FROM documents) SELECT doc_id, n_phrases FROM n WHERE n_phrases >= 3")
+def filler_texts(spark, sf_dir):
+    """Texts with three or more of the filler phrases; none in invented prose."""
+    low = F.lower("text")
+    n = sum((F.when(low.contains(p), 1).otherwise(0) for p in FILLER), F.lit(0))
+    return documents(spark, sf_dir).select("doc_id", n.cast("long").alias("n_phrases")).where("n_phrases >= 3")
+
+
 @query(rf"""SELECT doc_id, 'entity' AS kind, regexp_extract(text, '(?i){ENTITY}') AS hit FROM documents WHERE regexp_matches(text, '(?i){ENTITY}')
 UNION ALL SELECT doc_id, 'mojibake', regexp_extract(text, '{MOJIBAKE}') FROM documents WHERE regexp_matches(text, '{MOJIBAKE}')
 UNION ALL SELECT doc_id, 'caps run', regexp_extract(text, '(?:[A-Z][A-Z]{{2,}}[!., ]+){{2,}}[A-Z]{{3,}}') FROM documents WHERE regexp_matches(text, '(?:[A-Z][A-Z]{{2,}}[!., ]+){{2,}}[A-Z]{{3,}}')""")

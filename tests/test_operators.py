@@ -206,6 +206,14 @@ def test_misspellings(spark, tmp_path):
     assert best["vehical"] == "vehicle" and set(best) == {a for a, _, _ in want}
 
 
+def test_filler_texts(spark, tmp_path):
+    from auditloom import plans
+
+    texts = ["In today's fast-paced world we DELVE into a tapestry", "the end of the day and the menu, licensed under x, in conclusion", "delve into it, in conclusion: in conclusion", None]
+    spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in plans.queries()["filler_texts"](spark, str(tmp_path)).collect()] == [(0, 3)]
+
+
 def test_sources(spark):
     xml = spark.createDataFrame([("<urlset><url><loc> http://a/1 </loc><lastmod>2026-01</lastmod></url><url><loc>http://a/2</loc></url></urlset>",)], "xml string")
     assert sorted(map(tuple, tables.sitemap_entries(xml).collect()), key=str) == [("http://a/1", "2026-01"), ("http://a/2", None)]
