@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a target number of words. A document of a source with target T and S words is expected
-`T / S` times (the same for each of the source's documents unless weights say otherwise): the whole part
+`T / S` times (the same for each of the source's documents): the whole part
 are certain copies, the rest is an inclusion probability p for one more copy. Documents are ranked by
 Pareto's statistic, random odds divided by inclusion odds,
 
