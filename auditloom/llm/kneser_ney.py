@@ -1,28 +1,26 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model predicts characters from up to ORDER - 1 characters before them; a text is padded at its start
-and closed by an end mark. It is trained on every trusted document but the tenth that calibrates the threshold. Counting pre-aggregates within each
-task; from the summed ORDER-grams the lower orders (continuation counts), the discounts of each order, the
-totals of each context and the interpolated probabilities follow by grouped sums and joins on the n-gram and
-its context, which Spark shards by hash.
+and closed by an end mark. It is trained on every trusted document but the tenth that calibrates the threshold.
+Counting pre-aggregates within each task; from the summed ORDER-grams the lower orders (continuation counts),
+the discounts of each order, the totals of each context and the interpolated probabilities follow by grouped
+sums and joins on the n-gram and its context, which Spark shards by hash.
 
 A document's perplexity is exp of the negative mean log-probability of its characters and end mark. In
 back-off form its log-probability is a sum over positions: the probability of the longest known n-gram and
-the back-off weights of the longer contexts. Two ways give the same sum:
-
-* a table of up to MODEL_ROWS n-grams goes to the executors as a hash table of about 40 bytes a row, and
-  documents are scored where they are read, without a shuffle;
-* a larger one stays sharded: each document's n-grams are counted, and joined with the table by hash.
+the back-off weights of the longer contexts. The model is never gathered: the distinct n-grams of each slice of
+documents are joined with the sharded table (see `lookup`), and what is found scores the slice's documents.
 
 A document is kept if its perplexity is at most its language's threshold, a quantile of the perplexities of
 that language's held-out trusted documents (of all held-out ones for a language without any; of all trusted
 ones if none is held out). A tenth of the trusted documents, by hashed id, is held out: the model has not seen
 them, so their perplexities are those of new clean text.
 
-Defined cases: a null or empty text has no perplexity and is not kept. Null languages form a language of
-their own. Without trusted text there is no model: perplexity and threshold are null and every text that is
-not empty is kept, for lack of evidence. A trusted id that several rows carry counts each row. Extra columns
-are not read. An empty table gives an empty result.
+Defined cases: a null or empty text has no perplexity and is not kept. A text of any length is scored whole.
+Null languages form a language of their own; rows with a null id are never trusted. Without trusted text there
+is no model: perplexity and threshold are null and every text that is not empty is kept, for lack of evidence.
+A trusted id that several rows carry counts each row. Extra columns are not read. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -33,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from . import lookup
 from .shared import cut_lineage, small_or_shuffled
 
-ORDER = 5
-MODEL_ROWS = 8_000_000
+ORDER = 4
 PAD, END = "\x02", "\x03"
 #: Code points counted as the size of the alphabet that unseen characters share.
 ALPHABET = 1 << 16
@@ -138,41 +136,6 @@ def train(texts: DataFrame) -> DataFrame:
     return both.groupBy("gram").agg(F.sum("log_p").alias("log_p"), F.sum("log_b").alias("log_b"))
 
 
-class Table:
-    """Hash keys with values, in direct-mapped layers: each holds what collided in the layers before it."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.layers = []
-        while len(keys):
-            bits = max(4, int(len(keys) * 1.5).bit_length())
-            cell = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            slot = np.full(1 << bits, -1, np.int32)
-            slot[cell] = np.arange(len(keys), dtype=np.int32)
-            own = slot >= 0
-            stored = np.zeros(1 << bits, np.uint64)
-            stored[own] = keys[slot[own]]
-            held = np.zeros((1 << bits, values.shape[1]), np.float32)
-            held[own] = values[slot[own]]
-            self.layers.append((bits, stored, held, own))
-            rest = slot[cell] != np.arange(len(keys))
-            keys, values = keys[rest] * np.uint64(0x9E3779B97F4A7C15), values[rest]
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values of the keys (0 where unknown), and which are known."""
-        out = np.zeros((len(keys), 2), np.float32)
-        known = np.zeros(len(keys), bool)
-        open_ = np.arange(len(keys))
-        for bits, stored, held, own in self.layers:
-            cell = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            hit = (stored[cell] == keys) & own[cell]
-            out[open_[hit]] = held[cell[hit]]
-            known[open_[hit]] = True
-            open_, keys = open_[~hit], keys[~hit] * np.uint64(0x9E3779B97F4A7C15)
-            if not len(open_):
-                break
-        return out, known
-
-
 def hash_grams(grams: pa.Array) -> np.ndarray:
     """The keys under which the scoring finds n-grams; that of the empty context is 0's mixed value."""
     data, offsets = K.text_buffers(grams)
@@ -184,96 +147,88 @@ def hash_grams(grams: pa.Array) -> np.ndarray:
     return out
 
 
-def log_probability(table: Table, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of log-probabilities and number of predictions of each text."""
-    data, starts, first = _padded(texts)
-    at = _predicted(first)
-    total = np.zeros(len(at))
-    if len(at):
-        prefix = K.prefix_hash(data)
-        end = starts[at + 1]
-        todo = np.arange(len(at))
-        for k in range(ORDER, 0, -1):
-            begin = starts[at[todo] - k + 1]
-            value, known = table.get(K.span_hash(prefix, begin, end[todo]))
-            total[todo[known]] += value[known, 0]
-            todo, begin = todo[~known], begin[~known]
-            if not len(todo):
-                break
-            value, _ = table.get(K.span_hash(prefix, begin, starts[at[todo]]))
-            total[todo] += value[:, 1]
-        total[todo] -= np.log(ALPHABET)
-    edge = np.searchsorted(at, first)
-    return K.sums(total, edge), np.diff(edge)
-
-
-def _score_by_broadcast(docs: DataFrame, model: DataFrame) -> DataFrame:
-    rows = model.toArrow()
-    values = np.stack([rows["log_p"].to_numpy(), rows["log_b"].to_numpy()], axis=1).astype(np.float32)
-    table = docs.sparkSession.sparkContext.broadcast(Table(hash_grams(rows["gram"].combine_chunks()), values))
+def _by_key(model: DataFrame) -> DataFrame:
+    """(key, log_p, log_b) of a model's rows (gram, log_p, log_b)."""
 
     def run(batches):
         for batch in batches:
-            parts = [log_probability(table.value, texts) for _, _, texts in _batches(batch.column(3))]
-            total, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0), np.empty(0))
-            ppl = pa.array(np.exp(-total / np.maximum(n, 1)), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ppl], ["doc_id", "lang", "some", "perplexity"])
+            key = K.signed(hash_grams(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(i).cast(pa.float32()) for i in (1, 2))], ["key", "log_p", "log_b"])
 
-    return docs.mapInArrow(run, "doc_id long, lang string, some boolean, perplexity double")
+    return model.select("gram", "log_p", "log_b").mapInArrow(run, "key long, log_p float, log_b float")
 
 
-def _score_by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The same from counts of (document, ORDER-gram) and one left join with each order of the table."""
+class _Positions:
+    """The predicted places of a batch of texts, their distinct ORDER-grams, and hashes of parts of those."""
 
-    def run(batches):
-        for batch in batches:
-            for a, _, texts in _batches(batch.column(0)):
-                data, starts, first = _padded(texts)
-                at = _predicted(first)
-                owner = np.searchsorted(first, at, "right") - 1
-                seen: dict[tuple[int, bytes], int] = {}
-                raw = data.tobytes()
-                for i, o in zip(at.tolist(), owner.tolist(), strict=True):
-                    key = (o, raw[starts[i - ORDER + 1] : starts[i + 1]])
-                    seen[key] = seen.get(key, 0) + 1
-                ids = batch.column(1).slice(a, len(texts)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[o] for o, _ in seen], pa.int64()), pa.array([g.decode() for _, g in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["row", "gram", "n"])
-
-    keyed = cut_lineage(docs.withColumn("row", F.monotonically_increasing_id()))
-    grams = keyed.select("text", "row").mapInArrow(run, "row long, gram string, n long")
-    known = grams.select("gram").distinct()
-    log_p, open_ = F.lit(0.0), F.lit(True)
+    def __init__(self, texts: pa.Array):
+        self.data, self.starts, self.first = _padded(texts)
+        self.at = _predicted(self.first)
+        self.prefix = K.prefix_hash(self.data)
+        gram = K.span_hash(self.prefix, self.starts[self.at - ORDER + 1], self.starts[self.at + 1]) if len(self.at) else np.empty(0, np.uint64)
+        _, where, self.which = np.unique(gram, return_index=True, return_inverse=True)
+        self.distinct = self.at[where]
+
+    def grams(self, k: int) -> np.ndarray:
+        return K.span_hash(self.prefix, self.starts[self.distinct - k + 1], self.starts[self.distinct + 1])
+
+    def contexts(self, k: int) -> np.ndarray:
+        return K.span_hash(self.prefix, self.starts[self.distinct - k + 1], self.starts[self.distinct])
+
+
+def _wanted(texts: pa.Array) -> np.ndarray:
+    """Keys of all n-grams, and contexts of n-grams, that predict a character of the texts."""
+    out = [np.empty(0, np.uint64)]
+    for _, _, part in _batches(texts):
+        here = _Positions(part)
+        out.append(np.unique(np.concatenate([f(k) for k in range(1, ORDER + 1) for f in (here.grams, here.contexts)])))
+    return np.concatenate(out)
+
+
+def log_probability(keys: np.ndarray, log_p: np.ndarray, log_b: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of log-probabilities and number of predictions of each text, with the model's values of sorted keys."""
+    here = _Positions(texts)
+    total = np.zeros(len(here.distinct))
+    open_ = np.ones(len(total), bool)
     for k in range(ORDER, 0, -1):
-        here = known.withColumns({"g": F.substring("gram", ORDER - k + 1, k), "c": F.substring("gram", ORDER - k + 1, k - 1)})
-        own = model.where("log_p < 0").select(F.col("gram").alias("g"), F.col("log_p").alias(f"p{k}"))
-        context = model.select(F.col("gram").alias("c"), F.col("log_b").alias(f"b{k}"))
-        known = here.join(own, "g", "left").join(context, "c", "left").drop("g", "c")
-        log_p = log_p + F.when(open_, F.coalesce(f"p{k}", F.coalesce(f"b{k}", F.lit(0.0)))).otherwise(0.0)
-        open_ = open_ & F.col(f"p{k}").isNull()
-    known = known.select("gram", (log_p - F.when(open_, float(np.log(ALPHABET))).otherwise(0.0)).alias("log_p"))
-    scored = grams.join(known, "gram").groupBy("row").agg((F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("mean"))
-    return keyed.join(scored, "row", "left").select("doc_id", "lang", "some", F.exp(-F.col("mean")).alias("perplexity"))
-
-
-def perplexities(docs: DataFrame, trusted_text: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
+        at, known = lookup.place(keys, here.grams(k))
+        known &= open_
+        known[known] = log_p[at[known]] < 0
+        total[known] += log_p[at[known]]
+        open_ &= ~known
+        at, known = lookup.place(keys, here.contexts(k))
+        known &= open_
+        total[known] += log_b[at[known]]
+    total[open_] -= np.log(ALPHABET)
+    edge = np.searchsorted(here.at, here.first)
+    return K.sums(total[here.which], edge), np.diff(edge)
+
+
+def _score(rows: pa.RecordBatch, keys: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+    parts = [log_probability(keys, *values, texts) for _, _, texts in _batches(rows.column(3))]
+    total, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0), np.empty(0))
+    ppl = pa.array(np.exp(-total / np.maximum(n, 1)), pa.float64(), mask=n == 0)
+    return pa.RecordBatch.from_arrays([*rows.columns[:3], ppl], ["doc_id", "lang", "some", "perplexity"])
+
+
+def perplexities(docs: DataFrame, trusted_text: DataFrame) -> DataFrame:
     """(doc_id, lang, some, perplexity) of docs (doc_id, lang, text), with a model of the texts of `trusted_text`.
 
     `some` says that the text is not empty."""
-    model = cut_lineage(train(trusted_text.where("text IS NOT NULL AND text <> ''")))
-    rows = model.count()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce(F.col("text") != "", F.lit(False)).alias("some"), "text")
-    if rows == 0:
+    model = cut_lineage(_by_key(train(trusted_text.where("text IS NOT NULL AND text <> ''"))))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text") != "", F.lit(False)).alias("some"), "text")
+    if model.limit(1).count() == 0:
         return docs.select("doc_id", "lang", "some", F.lit(None).cast("double").alias("perplexity"))
-    return _score_by_broadcast(docs, model) if rows <= model_rows else _score_by_join(docs, model)
+    return lookup.scored(docs, model, _wanted, _score, "doc_id long, lang string, some boolean, perplexity double")
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, model_rows: int = MODEL_ROWS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
     """Per document doc_id, lang, perplexity, threshold, keep; trusted are the documents labelled quality 1."""
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(13)), F.lit(10)) == 0
     trusted = small_or_shuffled(trusted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held).join(trusted, "doc_id", "left_semi")
-    scored = cut_lineage(perplexities(docs, texts, model_rows))
+    scored = cut_lineage(perplexities(docs, texts))
     good = scored.join(trusted, "doc_id", "left_semi").withColumn("held", held)
     new = F.when(F.col("held"), F.col("perplexity"))
     at = lambda value: F.percentile_approx(value, F.lit(quantile), F.lit(10_000))

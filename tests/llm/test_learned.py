@@ -152,16 +152,33 @@ def brute_perplexity(trusted, texts, order=kneser_ney.ORDER):
     return out
 
 
-@pytest.mark.parametrize("model_rows", [kneser_ney.MODEL_ROWS, 0])
-def test_kneser_ney(spark, documents, sf, model_rows):
+def test_kneser_ney(spark, documents, sf):
     texts = [r.text[:300] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(24).collect()] + ["zzz \U0001f600", "a"]
     docs = documents([(i, t, "en", "s") for i, t in enumerate(texts)])
-    got = kneser_ney.perplexities(docs, docs.where("doc_id < 12"), model_rows)
+    got = kneser_ney.perplexities(docs, docs.where("doc_id < 12"))
     got = {r.doc_id: r.perplexity for r in got.collect()}
     want = brute_perplexity(texts[:12], texts)
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
 
 
+def test_quality_thresholds(spark, sf):
+    """threshold and keep follow from the perplexities by their definition."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = {r.doc_id for r in docs.where("pmod(xxhash64(cast(doc_id AS string), 13), 10) = 0").select("doc_id").collect()}
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    rows = kneser_ney.quality(docs, labels, quantile=0.5).collect()
+    by_lang = defaultdict(list)
+    for r in rows:
+        if r.doc_id in good and r.doc_id in held and r.perplexity is not None:
+            by_lang[r.lang].append(r.perplexity)
+    everyone = sorted(x for v in by_lang.values() for x in v)
+    middle = lambda v: sorted(v)[math.ceil(len(v) * 0.5) - 1]  # noqa: E731  the smallest with at least half at or below it
+    assert len(by_lang) > 1
+    for r in rows:
+        assert r.threshold == pytest.approx(middle(by_lang.get(r.lang, everyone)))
+        assert r.keep == (r.perplexity is not None and r.perplexity <= r.threshold)
+
+
 def test_quality_odd(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 1), (5, 1), (None, 1), (6, 0), (2, 1)], "doc_id long, quality int")
     got = kneser_ney.quality(odd, labels).collect()
