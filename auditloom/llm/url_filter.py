@@ -8,12 +8,14 @@ the one below it (n + strength * lower) / (context + strength), so the longest c
 The score is the difference of the log-likelihoods divided by the length. The threshold is calibrated on a
 tenth of the rule-labelled urls, which the models do not learn from.
 
-Counts come from all rule-labelled urls and are summed in Spark. Contexts are hashed into 2**bits cells
-for each class, so the model that goes to the executors has a fixed size (16 MB at 20 bits).
+Counts come from all rule-labelled urls, keyed by the full 64-bit hash of n-gram or context, and are summed in
+Spark. The table grows with the urls and stays sharded: the distinct n-grams of each slice of urls are joined
+with it, and what is found scores the slice (see `lookup`).
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule and is judged by
 its empty text. If no url is accepted, or none rejected, by rule, the ratio tells nothing: the score is 0
-and the verdict allow. Repeated rows count as often as they occur. Extra columns are not read.
+and the verdict allow. Repeated rows count as often as they occur. A url of any length is scored whole. Extra
+columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from . import lookup
+from .shared import cut_lineage
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -45,8 +49,8 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _cells(texts: pa.Array, order: int, bits: int):
-    """For each order the cell of (context, next character) and of the context at every position, and which
+def _grams(texts: pa.Array, order: int):
+    """For each order the keys of (context, next character) and of the context at every position, and which
     positions have that long a context; and each text's first position. A NUL ends every text."""
     raw = [(x or "").encode() + b"\0" for x in texts.to_pylist()]
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -54,71 +58,77 @@ def _cells(texts: pa.Array, order: int, bits: int):
     prefix = K.prefix_hash(data)
     at = np.arange(len(data))
     depth = at - np.repeat(first[:-1], np.diff(first))
-    shift = np.uint64(64 - bits)
     out = []
     for k in range(order + 1):
         start = np.maximum(at - k, 0)
         salt = np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**63)
-        gram = K.mix(K.span_hash(prefix, start, at + 1) ^ salt) >> shift
-        context = K.mix(K.span_hash(prefix, start, at) ^ (salt + np.uint64(7))) >> shift
-        out.append((gram.astype(np.int64), context.astype(np.int64), depth >= k))
+        gram = K.mix(K.span_hash(prefix, start, at + 1) ^ salt)
+        context = K.mix(K.span_hash(prefix, start, at) ^ (salt + np.uint64(7)))
+        out.append((gram, context, depth >= k))
     return out, first
 
 
-def train(labelled: DataFrame, order: int = 5, bits: int = 20) -> np.ndarray:
-    """Counts [class, gram or context, cell] from rows (text, rejected)."""
-    size = 1 << bits
+def train(labelled: DataFrame, order: int = 5) -> DataFrame:
+    """(key, accepted, rejected): how often n-grams and contexts occur in the urls (text, rejected) of each class."""
 
     def count(batches):
-        total = np.zeros(4 * size, np.int64)
         for batch in batches:
             rejected = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a in range(0, batch.num_rows, 4096):
-                texts = batch.column(0).slice(a, 4096)
-                levels, first = _cells(texts, order, bits)
-                label = np.repeat(rejected[a : a + len(texts)], np.diff(first)) * 2 * size
-                for gram, context, whole in levels:
-                    total += np.bincount((label + gram)[whole], minlength=4 * size)
-                    total += np.bincount((label + size + context)[whole], minlength=4 * size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["cell", "n"])
-
-    sums = labelled.select("text", F.col("rejected").cast("int").alias("rejected")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(4 * size, np.float32)
-    counts[sums["cell"].to_numpy()] = sums["n"].to_numpy()
-    return counts.reshape(2, 2, size)
-
-
-def score_texts(counts: np.ndarray, texts: pa.Array, order: int, strength: float) -> np.ndarray:
-    """(log P(text | accepted) - log P(text | rejected)) / characters, 0 if a class has no urls."""
-    bits = counts.shape[-1].bit_length() - 1
-    if not counts[:, 1].any(axis=1).all():
-        return np.zeros(len(texts))
+            for a, b, _, _ in K.text_slices(batch.column(0)):
+                levels, first = _grams(batch.column(0).slice(a, b - a), order)
+                label = np.repeat(rejected[a:b], np.diff(first))
+                keys = np.concatenate([part[whole] for gram, context, whole in levels for part in (gram, context)])
+                labels = np.concatenate([label[whole] for _, _, whole in levels for _ in (0, 1)])
+                key, which = np.unique(keys, return_inverse=True)
+                n = np.bincount(which, minlength=len(key))
+                bad = np.bincount(which, weights=labels, minlength=len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), pa.array(n - bad), pa.array(bad)], ["key", "accepted", "rejected"])
+
+    rows = labelled.select("text", F.col("rejected").cast("int").alias("rejected"))
+    counted = rows.mapInArrow(count, "key long, accepted long, rejected long")
+    return counted.groupBy("key").agg(F.sum("accepted").cast("double").alias("accepted"), F.sum("rejected").cast("double").alias("rejected"))
+
+
+def _wanted(order: int):
+    def keys_of(texts: pa.Array) -> np.ndarray:
+        out = [np.empty(0, np.uint64)]
+        for a, b, _, _ in K.text_slices(texts):
+            levels, _ = _grams(texts.slice(a, b - a), order)
+            out.append(np.unique(np.concatenate([part[whole] for gram, context, whole in levels for part in (gram, context)])))
+        return np.concatenate(out)
+
+    return keys_of
+
+
+def score_texts(keys: np.ndarray, counts: list[np.ndarray], texts: pa.Array, order: int, strength: float) -> np.ndarray:
+    """(log P(text | accepted) - log P(text | rejected)) / characters, from the counts of sorted keys."""
     out = []
-    for a in range(0, len(texts), 4096):
-        levels, first = _cells(texts.slice(a, 4096), order, bits)
+    for a, b, _, _ in K.text_slices(texts):
+        levels, first = _grams(texts.slice(a, b - a), order)
+        places = [(lookup.place(keys, gram), lookup.place(keys, context), whole) for gram, context, whole in levels]
         logs = []
-        for kind in (0, 1):
+        for count in counts:
             p = np.full(first[-1], 1 / 256)
-            for gram, context, whole in levels:
-                deeper = (counts[kind, 0][gram] + strength * p) / (counts[kind, 1][context] + strength)
+            seen = lambda at, known, count=count: np.where(known, count[at], 0.0) if len(count) else np.zeros(len(at))
+            for gram, context, whole in places:
+                deeper = (seen(*gram) + strength * p) / (seen(*context) + strength)
                 p = np.where(whole, deeper, p)
-            logs.append(np.log(np.minimum(p, 1.0)))
+            logs.append(np.log(p))
         out.append(K.sums(logs[0] - logs[1], first) / np.diff(first))
     return np.concatenate(out) if out else np.empty(0)
 
 
-def _scored(rows: DataFrame, counts, order: int, strength: float) -> DataFrame:
+def with_scores(rows: DataFrame, model: DataFrame, order: int, strength: float) -> DataFrame:
     """The rows, whose last column is the text to score, with a score in its place."""
-    fields = [f for f in rows.schema.fields if f.name != "lm_text"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "score double"])
+    fields = rows.schema.fields[:-1]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"])
 
-    def run(batches):
-        for batch in batches:
-            score = score_texts(counts.value, batch.column(batch.num_columns - 1), order, strength)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "score"])
+    def score(batch, keys, counts):
+        last = batch.num_columns - 1
+        points = score_texts(keys, counts, batch.column(last), order, strength)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(points)], [*batch.schema.names[:-1], "score"])
 
-    return rows.mapInArrow(run, schema)
+    return lookup.scored(rows, model, _wanted(order), score, schema)
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -139,17 +149,20 @@ def calibrate(scored: DataFrame) -> float:
     return float(min(best, key=lambda i: (abs(i), -i))) / 100
 
 
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", order: int = 5, bits: int = 20, strength: float = 2.0) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", order: int = 5, strength: float = 2.0) -> DataFrame:
     """Per page page_id, host, path, rule, verdict, score."""
     host, path = host_and_path(F.col("u"))
     parsed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("u")).select("page_id", host.alias("host"), path.alias("path"))
     ruled = parsed.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules))
     rows = ruled.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruling"), F.concat("host", "path").alias("lm_text"))
-    labelled = rows.where("ruling IS NOT NULL").select(F.col("lm_text"), (F.col("ruling") == "block").alias("rejected"))
     held = F.pmod(F.xxhash64("lm_text"), F.lit(10)) == 0
-    counts = train(labelled.where(~held).withColumnRenamed("lm_text", "text"), order, bits)
-    shared = pages.sparkSession.sparkContext.broadcast(counts)
-    threshold = calibrate(_scored(labelled.where(held).select("rejected", "lm_text"), shared, order, strength))
-    scored = _scored(rows, shared, order, strength)
+    rejected = (F.col("ruling") == "block").alias("rejected")
+    learned = rows.where("ruling IS NOT NULL").where(~held).select(F.col("lm_text").alias("text"), rejected)
+    both = {r.rejected for r in learned.groupBy("rejected").count().collect()}
+    if len(both) < 2:
+        return rows.select("page_id", "host", "path", "rule", F.coalesce("ruling", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+    scored = with_scores(rows.select("page_id", "host", "path", "rule", "ruling", held.alias("held"), "lm_text"), cut_lineage(train(learned, order)), order, strength)
+    scored = cut_lineage(scored)
+    threshold = calibrate(scored.where("held AND ruling IS NOT NULL").select("score", rejected))
     verdict = F.coalesce("ruling", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
