@@ -7,18 +7,21 @@ Pareto's statistic, random odds divided by inclusion odds,
 
     q = (u / (1 - u)) / (p / (1 - p))
 
-with u drawn from the document's hashed id, and the smallest q are taken until the words of the extra
-copies come as near to what the certain copies left open as they can.
-
-The cut is found without ordering a source in one task: words are summed in `BINS` bins of q, running sums
-over the bins (a few thousand rows a source at most) name the bin where the target is reached, and only the
-documents of that one bin are ordered. A source that holds a third of all rows is summed before the shuffle
-like any other. The per-source table is all that is ordered globally: one row for each source. Texts are read
-once to be counted and never shuffled; ids and sizes are written out between.
-
-Defined cases: a null text, or one without a word, has size 0 and takes 0 words. A null source is a source
-of its own, last in order. A source without words has target 0. Rows that repeat an id share one u and are
-ranked by size, and rows that repeat both are taken together. Other columns are left alone.
+with u drawn from a hash of the document's id and text, and the smallest q are taken until the words of the
+extra copies come as near to what the certain copies left open as they can.
+
+The cut is found without ordering a source in one task: words are summed in `BINS` bins of q, running sums over
+the bins (a few thousand rows a source at most) name the bin where the target is reached, and that bin is cut
+into `BINS` again until it holds at most `FEW` different q. Only those are ordered. A source that holds a third
+of all rows is summed before the shuffle like any other. Sources may be as many as hosts: their turns are
+numbered by ranges, and the level of their targets is found by sums over all of them. Texts are read once to be
+counted and never shuffled; ids, sizes and hashes are written out between.
+
+Defined cases: a null text, or one without a word, has size 0 and takes 0 words. A text of any length is counted
+whole. A null source is a source of its own, last in order. A source without words has target 0. Rows that share
+an id but not the text are ranked apart. Rows that share source, id and text have one q; if the cut falls among
+them, as many of them get the extra copy as come nearest to the target. Other columns are left alone. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage
+from .shared import cut_lineage, numbered
 
-BINS = 4096
+BINS, FEW = 4096, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,76 +48,108 @@ def uniform(key: Column, seed: int) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(source, source_size, target): `share` of all words dealt by weight, at most `cap` times a source's size.
 
-    Sources in code point order, null last, take the weights in turn. Water-filling in closed form: in the
-    order of cap * size / weight, a source is capped if that ratio is at most the level at which all that
-    the sources before it leave open is dealt to it and those after it.
+    Sources in code point order, null last, take the weights in turn. The level (words a unit of weight) starts
+    at that of all sources together; those whose cap is below it are capped, and the level of the rest follows
+    from what they leave open. It only rises, so the rounds end when no source is capped anew.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = Window.orderBy(F.col("source").asc_nulls_last())
+    turns = numbered(totals, F.col("source").asc_nulls_last(), name="turn")
     kinds = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = totals.withColumn("weight", F.element_at(kinds, ((F.row_number().over(turn) - 1) % len(weights) + 1).cast("int")))
+    weighed = turns.withColumn("weight", F.element_at(kinds, (F.col("turn") % len(weights) + 1).cast("int")))
     most = F.col("source_size") * cap
-    ranked = ranked.withColumn("ratio", most / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) * share - F.coalesce(F.sum(most).over(before), F.lit(0.0))
-    levelled = ranked.withColumn("at", left / F.sum("weight").over(after))
-    # the level at the first source that it does not cap holds for that source and all after it
-    open_at = F.min(F.when(F.col("ratio") > F.col("at"), F.struct("rank", "at"))).over(everything)
-    levelled = levelled.withColumn("rank", F.row_number().over(order)).withColumn("level", open_at["at"])
-    target = F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), most).otherwise(F.col("weight") * F.col("level"))
-    return levelled.select("source", "source_size", target.cast("double").alias("target"))
+    weighed = cut_lineage(weighed.select("source", "source_size", "weight", (most / F.col("weight")).alias("ratio")))
+    level, n_capped = -1.0, -1
+    while True:
+        capped = F.col("ratio") <= level
+        sums = weighed.agg(
+            F.sum("source_size").alias("words"), F.coalesce(F.sum(F.when(capped, most)), F.lit(0.0)).alias("capped"), F.sum(F.when(~capped, F.col("weight"))).alias("weight"), F.count_if(capped).alias("n")
+        ).first()
+        if sums.weight is None or sums.n == n_capped:
+            break
+        level, n_capped = (sums.words * share - sums.capped) / sums.weight, sums.n
+    target = F.when(F.col("ratio") <= level, most).otherwise(F.col("weight") * level) if sums.weight is not None else most
+    return weighed.select("source", "source_size", target.cast("double").alias("target"))
 
 
 def _ranked(rows: DataFrame, seed: int) -> DataFrame:
     """With q / (1 + q), which keeps the order of q and lies in (0, 1); null where no extra copy is possible."""
-    u = uniform(F.col("key"), seed)
+    u = uniform(F.concat_ws("|", F.col("key").cast("string"), "mark"), seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     return rows.withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
 
 
+def text_mark(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def source_plan(sized: DataFrame, seed: int = 1) -> DataFrame:
-    """Per source source_size, target, certain copies, p, and the last (q, size) that gets an extra copy.
+    """Per source source_size, target, certain copies, p, and the cut: the last (q, size) that gets an extra copy
+    and how many of the rows with just these get it (`among` of `alike`).
 
-    `sized` has key, source and size.
+    `sized` has key, source, size and mark (a hash of the text).
     """
     targets = source_targets(sized)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = cut_lineage(targets.withColumn("certain", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate)))
     targets = targets.withColumn("open", F.col("target") - F.col("certain") * F.col("source_size"))
-    ranked = _ranked(_meet(sized, targets), seed).where("q IS NOT NULL").select("source", "size", "q", "open", F.floor(F.col("q") * BINS).cast("int").alias("bin"))
-    bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("open").alias("open"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    cut = cut_lineage(bins.where("before < open AND before + words >= open").select("source", F.col("bin").alias("cut_bin"), "before"))
-    inside = _meet(ranked, cut).where("bin = cut_bin")
-    total = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "size"))  # equal rows together
-    inside = inside.withColumn("upto", total)
-    nearer = F.abs(F.col("upto") - F.col("open")) <= F.abs(F.col("upto") - F.col("size") - F.col("open"))
-    taken = (F.col("upto") <= F.col("open")) | ((F.col("upto") - F.col("size") < F.col("open")) & nearer)
-    # in bins before the cut all are taken; q below cut_bin / BINS says the same, as BINS is a power of two
-    edge = F.struct((F.col("cut_bin") / float(BINS)).alias("q"), F.lit(-1).cast("long").alias("size"))
-    last = inside.groupBy("source").agg(F.coalesce(F.max(F.when(taken, F.struct("q", "size"))), F.first(edge)).alias("last"))
-    last = last.withColumnRenamed("source", "last_source")
-    joined = targets.join(last, F.col("source").eqNullSafe(F.col("last_source")), "left").drop("last_source")
+    ranked = _ranked(_meet(sized, targets), seed).where("q IS NOT NULL").select("source", "size", "q", "open")
+    # words before the open interval [low, low + width) of q that the cut lies in
+    inside, width = ranked.withColumns({"low": F.lit(0.0), "before": F.lit(0).cast("long")}), 1.0
+    while True:
+        width /= BINS
+        step = F.least(F.lit(BINS - 1), F.floor((F.col("q") - F.col("low")) / width))
+        bins = inside.groupBy("source", "open", "low", "before", step.cast("int").alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = bins.withColumn("start", F.col("before") + F.sum("words").over(upto) - F.col("words"))
+        cut = bins.where("start < open AND start + words >= open")
+        cut = cut_lineage(cut.select("source", (F.col("low") + F.col("bin") * width).alias("low"), F.col("start").alias("before"), "n"))
+        inside = _meet(ranked, cut).where((F.col("q") >= F.col("low")) & (F.col("q") < F.col("low") + width))
+        if width < 2.0**-40 or cut.where(F.col("n") > FEW).limit(1).count() == 0:
+            break
+    # rows with one q and size are counted, so that the window orders different q only
+    alike = inside.groupBy("source", "open", "before", "q", "size").agg(F.count("*").alias("alike"))
+    words = F.col("size") * F.col("alike")
+    alike = alike.withColumn("start", F.col("before") + F.sum(words).over(Window.partitionBy("source").orderBy("q", "size").rowsBetween(Window.unboundedPreceding, 0)) - words)
+    among = F.least(F.col("alike"), F.greatest(F.lit(0), F.floor((F.col("open") - F.col("start")) / F.col("size") + 0.5))).cast("long")
+    last = alike.withColumn("among", among).where("among > 0").groupBy("source").agg(F.max(F.struct("q", "size", "among", "alike")).alias("found"))
+    edge = _meet(cut.select("source", F.col("low").alias("q")), last.select("source", "found"), "left")
+    edge = edge.select(F.col("source").alias("last_source"), F.coalesce("found", F.struct("q", F.lit(-1).cast("long").alias("size"), F.lit(1).cast("long").alias("among"), F.lit(1).cast("long").alias("alike"))).alias("last"))
+    joined = targets.join(edge, F.col("source").eqNullSafe(F.col("last_source")), "left").drop("last_source")
     # rounding can leave the target beyond the sum of all words: then all are taken
-    rest = F.struct(F.when(F.col("open") > 0, 2.0).otherwise(-1.0).alias("q"), F.lit(0).cast("long").alias("size"))
-    return cut_lineage(joined.withColumn("last", F.coalesce("last", rest)))
+    one = F.lit(1).cast("long")
+    rest = F.struct(F.when(F.col("open") > 0, 2.0).otherwise(-1.0).alias("q"), F.lit(0).cast("long").alias("size"), one.alias("among"), one.alias("alike"))
+    joined = joined.withColumn("last", F.coalesce("last", rest))
+    return cut_lineage(joined.select("source", "source_size", "target", "certain", "p", *[F.col(f"last.{c}").alias(f"last_{c}") for c in ("q", "size", "among", "alike")]))
 
 
-def copies(rows: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
-    """The rows (with key, source, size) and their source_size, target and n_copies; no shuffle for a small plan."""
-    ranked = _ranked(_meet(rows, plan), seed)
-    extra = F.when(F.col("q").isNotNull() & (F.struct("q", "size") <= F.col("last")), 1).otherwise(0)
-    return ranked.withColumn("n_copies", F.col("certain") + extra).drop("certain", "p", "open", "last", "q")
+_PLAN = ("certain", "p", "last_q", "last_size", "last_among", "last_alike", "q")
 
 
-def _meet(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """An inner join on the source, null with null."""
+def copies(rows: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
+    """The rows (with key, source, size and mark) and their source_size, target and n_copies.
+
+    Without a shuffle for a small plan, except for rows that share the cut's q: these are counted, and the extra
+    copies dealt among equal ones.
+    """
+    ranked = _ranked(_meet(rows, plan), seed)
+    here, cut = F.struct("q", "size"), F.struct(F.col("last_q").alias("q"), F.col("last_size").alias("size"))
+    split = F.coalesce((here == cut) & (F.col("last_among") < F.col("last_alike")), F.lit(False))
+    extra = F.when(F.col("q").isNotNull() & (here <= cut), 1).otherwise(0)
+    clear = ranked.where(~split).withColumn("n_copies", F.col("certain") + extra).drop(*_PLAN)
+    # rows equal in every column are counted before the shuffle; the few that differ elsewhere take their turns in order
+    every = [F.col(c) for c in rows.columns]
+    tied = ranked.where(split).groupBy(*every, "source_size", "target", "certain", "last_among").agg(F.count("*").alias("_n"))
+    turn = Window.partitionBy("source").orderBy(F.xxhash64(*every)).rowsBetween(Window.unboundedPreceding, 0)
+    tied = tied.withColumn("_left", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("last_among") - (F.sum("_n").over(turn) - F.col("_n")))))
+    each = tied.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    each = each.withColumn("n_copies", F.col("certain") + F.when(F.col("_turn") <= F.col("_left"), 1).otherwise(0))
+    return clear.unionByName(each.select(*clear.columns))
+
+
+def _meet(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> DataFrame:
+    """A join on the source, null with null."""
     right = per_source.withColumnRenamed("source", "its_source")
-    return rows.join(F.broadcast(right) if _small(right) else right, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
+    return rows.join(F.broadcast(right) if _small(right) else right, F.col("source").eqNullSafe(F.col("its_source")), how).drop("its_source")
 
 
 def _small(targets: DataFrame, rows: int = 100_000) -> bool:
@@ -124,7 +159,7 @@ def _small(targets: DataFrame, rows: int = 100_000) -> bool:
 
 def mix_sizes(docs: DataFrame) -> DataFrame:
     """Per document doc_id, size, source_size, target, taken."""
-    sized = cut_lineage(docs.select(F.col("doc_id").alias("key"), "source", word_count(F.col("text")).alias("size")))
+    sized = cut_lineage(docs.select(F.col("doc_id").alias("key"), "source", word_count(F.col("text")).alias("size"), text_mark(F.col("text")).alias("mark")))
     mixed = copies(sized, source_plan(sized))
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
@@ -134,7 +169,7 @@ def mix(docs: DataFrame) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {name: f"c{names.index(name)}" for name in ("doc_id", "source", "text")}
-    sized = plain.withColumns({"key": F.col(at["doc_id"]), "source": F.col(at["source"]), "size": word_count(F.col(at["text"]))})
-    mixed = copies(sized, source_plan(cut_lineage(sized.select("key", "source", "size"))))
+    sized = plain.withColumns({"key": F.col(at["doc_id"]), "source": F.col(at["source"]), "size": word_count(F.col(at["text"])), "mark": text_mark(F.col(at["text"]))})
+    mixed = copies(sized, source_plan(cut_lineage(sized.select("key", "source", "size", "mark"))))
     repeated = mixed.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
     return repeated.select(*plain.columns).toDF(*names)

@@ -99,7 +99,7 @@ FROM kept
 
 OP3_PARETO_MIX_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS mark FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), weighed AS (
@@ -116,20 +116,22 @@ WITH d AS (
 ), targets AS (
   SELECT source, source_size, (CASE WHEN lvl IS NULL OR ratio <= lvl THEN most ELSE w * lvl END)::DOUBLE AS target FROM levels, cutoff
 ), drawn AS (
-  SELECT d.doc_id, d.size, t.source, t.source_size, t.target,
+  SELECT d.doc_id, d.size, d.mark, t.source, t.source_size, t.target,
     CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS certain,
     CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '#1'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+    (('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, mark) || '#1'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), odds AS (
   SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM drawn
 ), ranked AS (
   SELECT *, odds / (1 + odds) AS q, target - certain * source_size AS remainder FROM odds
 ), summed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked
+  SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      - sum(size) OVER (PARTITION BY source, q, size) AS before,
+    row_number() OVER (PARTITION BY source, q, size) AS nth
+  FROM ranked
 )
-SELECT doc_id, size, source_size, target, (size * (certain + CASE WHEN q IS NOT NULL AND (upto <= remainder
-    OR upto - size < remainder AND abs(upto - remainder) <= abs(upto - size - remainder)) THEN 1 ELSE 0 END))::BIGINT AS taken
+SELECT doc_id, size, source_size, target, (size * (certain + CASE WHEN q IS NOT NULL AND nth <= floor((remainder - before) / size + 0.5) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM summed
 """
 

@@ -1,9 +1,7 @@
-"""Cutting lineage in a folder that every executor can read, and tables small enough to broadcast."""
+"""Cutting lineage in a folder that every executor can read, tables small enough to broadcast, global numbers."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +9,42 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` written to the reliable checkpoint folder of the session and read back.
+def shared_folder(spark) -> str:
+    """The session's spark.checkpoint.dir: a folder that the driver and all executors see."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (as in tests, on one
-    machine) a temporary folder is taken. Lost executors do not lose these files.
-    """
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df` written to the session's shared checkpoint folder and read back: lost executors do not lose it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, *order, name: str = "number") -> DataFrame:
+    """`df` with the place of each row, from 0, in the given order of all rows; no task holds them all.
+
+    Rows are dealt out by ranges of the order and sorted there; a row's number is its place within its range
+    plus the sizes of the ranges before it, of which there is one for each partition. The written rows keep
+    their partitions, so numbers are the same whenever they are read. Equal rows of the order are numbered as
+    they come; a random last key in `order` deals a hot value over several ranges.
+    """
+    width = F.lit(1 << 33)
+    laid = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
+    sizes = {r.part: r.n for r in laid.groupBy(F.floor(F.col("_at") / width).alias("part")).agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for part in sorted(sizes):
+        starts.append((int(part), total))
+        total += sizes[part]
+    before = df.sparkSession.createDataFrame(starts, "_part long, _before long")
+    laid = laid.withColumn("_part", F.floor(F.col("_at") / width)).join(F.broadcast(before), "_part")
+    return laid.withColumn(name, F.col("_before") + F.col("_at") % width).drop("_at", "_part", "_before")
+
+
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` marked for broadcast if it is counted to have at most `rows` narrow rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

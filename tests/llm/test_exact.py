@@ -215,6 +215,36 @@ def test_pareto_ranks_by_odds(documents):
     assert rate["a"] == pytest.approx(2.0) and rate["b"] == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("bins", [4096, 16])
+def test_mixing_shared_ids(documents, monkeypatch, bins):
+    """Null and repeated ids, and equal rows: each source comes within one document of its target all the same."""
+    monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(mixing, "FEW", 3)  # so that bins are refined
+    rows = [(None if i % 2 else 7, f"t{i % 5} " * 10, "en", "abc"[i % 3]) for i in range(400)]
+    rows += [(None, "x " * 10, "en", "d")] * 90 + [(i, "y " * 10, "en", "d") for i in range(30)]
+    got = mixing.mix_sizes(documents(rows)).collect()
+    _, total, target = mixed([(n, t, s) for n, (_, t, _, s) in enumerate(rows)])
+    taken, source_of = Counter(), {v: k for k, v in total.items()}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.taken in (0, 10, 20) and r.size == 10
+    for s in total:
+        taken[s] = sum(r.taken for r in got if r.source_size == total[s])
+        alike = [x for x in total if total[x] == total[s]]
+        assert abs(taken[s] - sum(target[x] for x in alike)) <= 10 * len(alike)
+    assert source_of and mixing.mix(documents(rows)).count() == sum(r.taken for r in got) // 10
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_sizes(documents(rows, 7)).collect()))
+
+
+def test_mixing_of_many_sources(documents):
+    """The level of the targets is that of water-filling over any number of sources."""
+    rnd = random.Random(9)
+    rows = [(i, "w " * rnd.randrange(0, 60), "en", f"h{rnd.randrange(90) ** 2 % 97}") for i in range(700)]
+    got = mixing.mix_sizes(documents(rows)).collect()
+    size, total, target = mixed([(r[0], r[1], r[3]) for r in rows])
+    assert all(r.target == pytest.approx(target[rows[r.doc_id][3]]) and r.size == size[r.doc_id] for r in got)
+
+
 def test_mixing_odd(odd, nothing):
     got = mixing.mix_sizes(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.taken <= 2 * r.size for r in got)
