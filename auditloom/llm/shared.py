@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +13,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark) -> str:
-    """The session's spark.checkpoint.dir: a folder that the driver and all executors see."""
+    """The session's spark.checkpoint.dir: a folder that the driver and all executors see.
+
+    Where it is unset, a local session (one machine, as in tests) gets a folder of its own; a cluster gets an error.
+    """
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
