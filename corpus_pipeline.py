@@ -6,7 +6,6 @@ as the next stage's documents. All stages return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from auditloom.llm.decontaminate import drop_contaminated
 from auditloom.llm.jaccard_join import drop_near_duplicates
 from auditloom.llm.mixing import mix
+from auditloom.llm.shared import shared_folder
 from auditloom.llm.substring_dedup import substring_dedup
 from auditloom.llm.toxicity import drop_toxic
 
@@ -57,10 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written in the session's shared folder and read again."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{root}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{root}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
