@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,18 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Written to the session's shared checkpoint folder; its own temporary one only where none is set."""
+    """Written to the session's shared checkpoint folder (spark.checkpoint.dir).
+
+    Where it is unset, a local session (one machine, as in tests) gets a folder of its own; a cluster gets an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graph-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and re.fullmatch(r"local(\[.*\])?", context.master):
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -260,10 +260,10 @@ def jsonld_types(spark, sf_dir):
 def page_element_issues(spark, sf_dir):
     """Heading, image, accessibility and social issues of all pages, from one parse; nesting is not SQL."""
     from auditloom.operators import element_rules as E
-    from auditloom.operators.graph import _cut
+    from auditloom.operators.graph import cut_lineage
     from auditloom.sources.elements import html_elements
 
-    rows = _cut(html_elements(table(spark, sf_dir, "pages")))
+    rows = cut_lineage(html_elements(table(spark, sf_dir, "pages")))
     out = E.heading_rules(rows)
     for rules in (E.image_rules, E.accessibility_rules, E.social_rules):
         out = out.unionByName(rules(rows))
