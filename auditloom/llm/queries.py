@@ -137,39 +137,51 @@ FROM summed
 
 
 OP7_QUOTATION_LINKING_SQL = r"""
-WITH RECURSIVE lines AS (
-  SELECT conv_id, turn, role, text, unnest(regexp_split_to_array(coalesce(text, ''), '\r?\n')) AS line FROM conversations
+WITH RECURSIVE msgs AS (
+  SELECT row_number() OVER () AS n, conv_id, turn, role, text, md5(text) AS mark FROM conversations
+), lines AS (
+  SELECT n, conv_id, turn, generate_subscripts(l, 1) AS i, unnest(l) AS line
+  FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS l FROM msgs)
 ), marked AS (
   SELECT *, length(regexp_replace(regexp_extract(line, '^\s*((?:>[ \t]*)+)', 1), '[^>]', '', 'g')) AS level,
     trim(regexp_replace(lower(regexp_replace(line, '^\s*((?:>[ \t]*)+)', '')), '\s+', ' ', 'g')) AS key FROM lines
-), quotes AS (
-  SELECT DISTINCT conv_id, turn, text, level, key, count(*) OVER (PARTITION BY conv_id, turn, role, text, level, key) AS times FROM marked WHERE level > 0 AND key <> ''
+), changed AS (
+  SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY n ORDER BY i) THEN 1 ELSE 0 END AS new FROM marked
+), numbered AS (
+  SELECT *, sum(new) OVER (PARTITION BY n ORDER BY i) AS passage FROM changed
+), passages AS (
+  SELECT n, conv_id, turn, level, string_agg(key, ' ' ORDER BY i) FILTER (key <> '') AS t FROM numbered GROUP BY n, conv_id, turn, level, passage
+), units AS (
+  SELECT n, conv_id, turn, level, string_split(t, ' ') AS w FROM passages WHERE t IS NOT NULL
+  UNION SELECT n, conv_id, turn, level, string_split(key, ' ') FROM marked WHERE key <> '' AND len(string_split(key, ' ')) < 5
+), pieces AS (
+  SELECT DISTINCT n, conv_id, turn, level, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS piece FROM units
 ), found AS (
-  SELECT q.conv_id, q.turn, q.text, q.level, q.times * length(q.key) AS chars, max(o.turn) AS parent
-  FROM quotes q JOIN marked o ON o.conv_id = q.conv_id AND o.key = q.key AND o.level = 0 AND o.turn < q.turn GROUP BY ALL
+  SELECT q.n, q.level, q.piece, max(o.turn) AS parent FROM pieces q JOIN pieces o
+    ON o.conv_id IS NOT DISTINCT FROM q.conv_id AND o.piece = q.piece AND o.level = 0 AND o.turn < q.turn WHERE q.level > 0 GROUP BY ALL
 ), votes AS (
-  SELECT conv_id, turn, text, level, parent, sum(chars) AS chars FROM found GROUP BY ALL
+  SELECT n, level, parent, count(*) AS runs FROM found GROUP BY ALL
 ), best AS (
-  SELECT conv_id, turn, text, max_by(parent, (-level, chars, parent)) AS quoted_turn FROM votes GROUP BY ALL
-), linked AS (
-  SELECT c.conv_id, c.turn, c.role, c.text, b.quoted_turn FROM conversations c
-  LEFT JOIN best b ON b.conv_id = c.conv_id AND b.turn = c.turn AND b.text = c.text
+  SELECT n, max_by(parent, (-level, runs, parent)) AS quoted_turn FROM votes GROUP BY n
 ), placed AS (
-  SELECT *, lag(turn) OVER w AS previous_turn, coalesce(last_value(CASE WHEN quoted_turn IS NOT NULL THEN turn END IGNORE NULLS) OVER w, first_value(turn) OVER w) AS branch
-  FROM linked WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, text NULLS FIRST, role NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  SELECT m.*, b.quoted_turn, lag(turn) OVER w AS previous_turn,
+    coalesce(last_value(CASE WHEN quoted_turn IS NOT NULL THEN turn END IGNORE NULLS) OVER w, first_value(turn) OVER w) AS branch
+  FROM msgs m LEFT JOIN best b USING (n)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark NULLS FIRST, role NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), home AS (
   SELECT conv_id, turn, max(branch) AS branch, max(quoted_turn) AS quoted_turn FROM placed GROUP BY 1, 2
 ), links AS (
-  SELECT h.conv_id, h.branch, p.branch AS thread FROM home h JOIN home p ON p.conv_id = h.conv_id AND p.turn = h.quoted_turn WHERE h.branch = h.turn
+  SELECT h.conv_id, h.branch, p.branch AS thread FROM home h JOIN home p ON p.conv_id IS NOT DISTINCT FROM h.conv_id AND p.turn = h.quoted_turn WHERE h.branch = h.turn
 ), walk AS (
   SELECT conv_id, branch, thread FROM links
-  UNION SELECT w.conv_id, w.branch, l.thread FROM walk w JOIN links l ON l.conv_id = w.conv_id AND l.branch = w.thread
+  UNION SELECT w.conv_id, w.branch, l.thread FROM walk w JOIN links l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.branch = w.thread
 ), top AS (
   SELECT conv_id, branch, min(thread) AS thread FROM walk GROUP BY 1, 2
 ), threaded AS (
-  SELECT p.*, coalesce(t.thread, p.branch) AS thread_turn FROM placed p LEFT JOIN top t ON t.conv_id = p.conv_id AND t.branch = p.branch
+  SELECT p.*, coalesce(t.thread, p.branch) AS thread_turn FROM placed p LEFT JOIN top t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.branch = p.branch
 )
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY thread_turn NULLS FIRST, turn NULLS FIRST, text NULLS FIRST, role NULLS FIRST) AS position,
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY thread_turn NULLS FIRST, turn NULLS FIRST, mark NULLS FIRST, role NULLS FIRST) AS position,
   thread_turn, turn, role,
   regexp_replace(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: NOT regexp_matches(x, '^\s*>')), chr(10)), '^\s+|\s+$', '', 'g') AS text,
   coalesce(quoted_turn, CASE WHEN previous_turn < turn THEN previous_turn END) AS parent_turn,

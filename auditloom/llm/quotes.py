@@ -1,33 +1,38 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
 A line that starts with `>` marks (spaces between them allowed) is quoted; the number of marks is its nesting
-level. What is left of a line, lower-cased with white space collapsed, is hashed together with its
-conversation. A quoted line of level L says that the message answers, L steps up, the message that wrote it.
-Quotes are linked to the latest earlier message of the conversation that has the line unquoted.
+level. Consecutive lines of one level are a passage: its words, lower-cased, with line breaks and white space as
+single spaces. A passage is hashed as its overlapping runs of RUN words, so that it is found again however a
+mail program wrapped it or wherever the quote begins; a passage or line of fewer words is hashed whole. A quoted
+passage of level L says that the message answers, L steps up, the message that wrote it. Quotes are linked to the
+latest earlier message of the conversation that has the words unquoted.
 
-A message answers the linked message of the lowest level; among those the one with most quoted characters,
+A message answers the linked message of the lowest level; among those the one with most different runs quoted,
 then the latest. A message without such a link answers the message before it, if any. Messages that a quote
 attaches elsewhere open a branch; those after it continue it. The result is in reply order: branches lie under
 the message thread they belong to, in the order of their turns, and quoted lines are gone from the texts.
 
-Quoted and written lines meet in one window over (conversation, line), ordered by turn, that carries the last
-writer along: no pair of a frequent line's quotes and writers is ever formed, and a conversation that holds a
-third of all rows is still spread by its lines. Branches are resolved to their threads by pointer jumping over
-the messages with a quote, a number of rounds that grows with the logarithm of the nesting.
+No task holds a conversation. Messages are numbered by ranges of (conversation, turn); what a message takes from
+those before it is carried within its range, and over the ranges of a long conversation by one row for each range
+(`shared.carried`). Quoted and written runs meet the same way, numbered by (run, turn): no pair of a frequent
+run's quotes and writers is ever formed. Branches are resolved to their threads by pointer jumping over the
+messages with a quote, a number of rounds that grows with the logarithm of the nesting.
 
 Defined cases: a null text is empty; a null role stays null. Rows with a null conversation or turn form
 conversations as null values compare equal, null turns first. Rows that repeat conversation and turn are
-ordered by text and keep one row each; a message never answers its own turn. A line of white space only is not
-linked. An empty table gives an empty result. Extra columns are not read.
+ordered by the md5 of their text, then role, and keep one row each; a message never answers its own turn. A text
+of any length is read whole. A line of white space only is not linked. Runs are compared by 64-bit hashes. An
+empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage
+from .shared import carried, cut_lineage, numbered
 
+RUN = 5
 _MARKS = r"^\s*((?:>[ \t]*)+)"
 
 
@@ -39,34 +44,40 @@ def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, _MARKS, "")), r"\s+", " "))
 
 
-def _lines(text: Column) -> Column:
-    """Struct (level, line, key) of each line."""
-    return F.transform(F.split(text, "\r?\n"), lambda x: F.struct(_line_level(x).alias("level"), x.alias("line"), _normal(x).alias("key")))
-
-
 def without_quotes(text: Column) -> Column:
     """The text's unquoted lines, trimmed at both ends."""
     kept = F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: _line_level(x) == 0)
     return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
 
 
+def pieces(messages: DataFrame) -> DataFrame:
+    """(n, turn, level, run) of messages (n, conv_id, turn, text): the hashes of their passages' runs of words."""
+    split = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\r?\n"), lambda x: F.struct(_line_level(x).alias("level"), _normal(x).alias("key")))
+    rows = messages.select("n", "conv_id", "turn", split.alias("lines"))
+    level = lambda i: F.get(F.col("lines"), i)["level"]
+    heads = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
+    rows = rows.withColumn("heads", heads)
+    to = lambda j: F.coalesce(F.get(F.col("heads"), j + 1), F.size("lines"))
+    passages = F.transform("heads", lambda i, j: F.struct(level(i).alias("level"), F.filter(F.flatten(F.transform(F.slice("lines", i + 1, to(j) - i), lambda x: F.split(x["key"], " "))), lambda w: w != "").alias("words")))
+    short = F.transform(F.filter("lines", lambda x: (x["key"] != "") & (F.size(F.split(x["key"], " ")) < RUN)), lambda x: F.struct(x["level"].alias("level"), F.split(x["key"], " ").alias("words")))
+    units = rows.select("n", "conv_id", "turn", F.explode(F.concat(passages, short)).alias("u")).select("n", "conv_id", "turn", "u.level", "u.words").where(F.size("words") > 0)
+    run = lambda words: F.xxhash64("conv_id", F.array_join(words, " "))
+    runs = F.when(F.size("words") < RUN, F.array(run(F.col("words")))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - RUN + 1)), lambda i: run(F.slice("words", i, RUN))))
+    return units.select("n", "turn", "level", F.explode(runs).alias("run"))
+
+
 def quote_links(messages: DataFrame) -> DataFrame:
-    """(conv, turn, text_hash, parent_turn, level, quoted_chars) of messages with a linked quote: the best link."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = messages.select(F.col("conv_id").alias("conv"), "turn", F.xxhash64(text).alias("text_hash"), F.explode(_lines(text)).alias("l"))
-    lines = lines.select("conv", "turn", "text_hash", "l.level", F.length("l.key").alias("chars"), F.md5(F.col("l.key").cast("binary")).alias("key")).where("chars > 0")
-    quoted = lines.where("level > 0").select("key").distinct()
-    met = lines.join(quoted, "key", "left_semi")
-    by_turn = met.groupBy("conv", "key", "turn").agg(F.max(F.when(F.col("level") == 0, F.col("turn"))).alias("w"))
-    before = Window.partitionBy("conv", "key").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = by_turn.withColumn("parent", F.last("w", ignorenulls=True).over(before))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("conv", "key", "turn")]
-    asked = met.where("level > 0").select("conv", "turn", "text_hash", "level", "chars", "key").alias("a")
-    found = asked.join(carried.where("parent IS NOT NULL").alias("b"), same[0] & same[1] & same[2]).select("a.conv", "a.turn", "a.text_hash", "a.level", "a.chars", F.col("b.parent").alias("parent"))
-    votes = found.groupBy("conv", "turn", "text_hash", "level", "parent").agg(F.sum("chars").alias("quoted_chars"))
-    best = F.max(F.struct((-F.col("level")).alias("up"), "quoted_chars", F.col("parent").alias("parent_turn")))
-    best = votes.groupBy("conv", "turn", "text_hash").agg(best.alias("b"))
-    return best.select("conv", "turn", "text_hash", "b.parent_turn", (-F.col("b.up")).alias("level"), "b.quoted_chars")
+    """(n, quoted_turn, level, quoted_runs) of messages (n, conv_id, turn, text) with a linked quote: the best link."""
+    found = pieces(messages)
+    asked = cut_lineage(found.where("level > 0 AND turn IS NOT NULL").distinct())
+    written = found.where("level = 0 AND turn IS NOT NULL").join(asked.select("run").distinct(), "run", "left_semi")
+    turns = written.select("run", "turn", F.col("turn").alias("w")).union(asked.select("run", "turn", F.lit(None).cast("long")))
+    turns = turns.groupBy("run", "turn").agg(F.max("w").alias("w"))
+    before = carried(numbered(turns, "run", "turn", part="part"), "run", {"quoted_turn": F.col("w")}).where("quoted_turn IS NOT NULL")
+    linked = asked.join(before.select("run", "turn", "quoted_turn"), ["run", "turn"])
+    votes = linked.groupBy("n", "level", "quoted_turn").agg(F.count("*").alias("quoted_runs"))
+    best = votes.groupBy("n").agg(F.max(F.struct((-F.col("level")).alias("up"), "quoted_runs", "quoted_turn")).alias("b"))
+    return best.select("n", "b.quoted_turn", (-F.col("b.up")).alias("level"), "b.quoted_runs")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -75,31 +86,35 @@ def conversations(messages: DataFrame) -> DataFrame:
     position counts from 1 in reply order within the conversation; thread_turn is the turn that opened the
     message's thread.
     """
-    links = cut_lineage(quote_links(messages))
-    rows = messages.select("conv_id", "turn", "role", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
-    link = links.select(F.col("conv").alias("l_conv"), F.col("turn").alias("l_turn"), F.col("text_hash").alias("l_hash"), F.col("parent_turn").alias("quoted_turn"))
-    same = F.col("conv_id").eqNullSafe(F.col("l_conv")) & F.col("turn").eqNullSafe(F.col("l_turn")) & (F.col("text_hash") == F.col("l_hash"))
-    rows = rows.join(link, same, "left").drop("l_conv", "l_turn", "l_hash")
-    by_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("text").asc_nulls_first(), F.col("role").asc_nulls_first())
-    so_far = by_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    previous = F.lag("turn").over(by_turn)
-    first = F.first("turn").over(so_far)
-    # a message without a quote continues the branch of the last one with a quote
-    opener = F.last(F.when(F.col("quoted_turn").isNotNull(), F.struct(F.col("turn").alias("turn"))), ignorenulls=True).over(so_far)
-    rows = rows.withColumns({"previous_turn": previous, "branch": F.coalesce(opener["turn"], first)})
-    branches = cut_lineage(rows.groupBy("conv_id", "turn").agg(F.max("branch").alias("branch"), F.max("quoted_turn").alias("quoted_turn")))
-    threads = _threads(branches)
-    at = F.col("r.conv_id").eqNullSafe(F.col("t.conv_id")) & F.col("r.branch").eqNullSafe(F.col("t.branch"))
-    joined = rows.alias("r").join(threads.alias("t"), at, "left").select("r.*", F.coalesce("t.thread", "r.branch").alias("thread_turn"))
-    reply = Window.partitionBy("conv_id").orderBy(F.col("thread_turn").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("text").asc_nulls_first(), F.col("role").asc_nulls_first())
+    rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = rows.withColumns({"mark": F.md5(F.col("text").cast("binary")), "salt": F.rand(5)})
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "mark", "role", "salt")]
+    laid = numbered(rows, *order, name="n", part="part")
+    links = quote_links(laid).select("n", "quoted_turn")
+    narrow = cut_lineage(laid.select("part", "n", "conv_id", "turn").join(links, "n", "left"))
+    # a message without a quote continues the branch of the last one with a quote, or else the first
+    first = F.col("first_number") == F.col("n")
+    opened = F.when(F.col("quoted_turn").isNotNull(), F.col("turn"))
+    placed = carried(narrow, "conv_id", {"previous_turn": F.col("turn"), "opener": opened}, number="n")
+    placed = placed.withColumns({"opener": F.coalesce(opened, "opener"), "begin": F.when(first, F.struct("turn"))}).drop("first_number")
+    begun = carried(placed, "conv_id", {"start": F.col("begin")}, number="n").withColumn("start", F.coalesce("begin", "start")["turn"]).drop("begin", "first_number")
+    begun = cut_lineage(begun.withColumn("branch", F.coalesce("opener", "start")))
+    branches = cut_lineage(begun.groupBy("conv_id", "turn").agg(F.max("branch").alias("branch"), F.max("quoted_turn").alias("quoted_turn")))
+    threads = _threads(branches).select(F.col("conv_id").alias("t_conv"), F.col("branch").alias("t_branch"), "thread")
+    at = F.col("conv_id").eqNullSafe(F.col("t_conv")) & F.when(F.col("quoted_turn").isNotNull(), F.col("turn")).eqNullSafe(F.col("t_branch"))
+    known = begun.join(threads, at & F.col("t_branch").isNotNull(), "left").withColumn("thread", F.when(F.col("quoted_turn").isNotNull(), F.coalesce("thread", "turn"))).drop("t_conv", "t_branch")
+    known = carried(known, "conv_id", {"thread_turn": F.col("thread")}, number="n").drop("first_number")
+    known = known.withColumn("thread_turn", F.coalesce("thread", "thread_turn", "start")).select("conv_id", "n", "thread_turn", "previous_turn", "quoted_turn")
+    reply = numbered(known, F.col("conv_id").asc_nulls_first(), F.col("thread_turn").asc_nulls_first(), "n", name="place", part="part")
+    reply = carried(reply, "conv_id", {}, number="place").withColumn("position", F.col("place") - F.col("first_number") + 1)
+    joined = laid.drop("part").join(reply.select("n", "position", "thread_turn", "previous_turn", "quoted_turn"), "n")
     text = F.coalesce(F.col("text"), F.lit(""))
     n_quoted = F.size(F.filter(F.split(text, "\r?\n"), lambda x: _line_level(x) > 0)).cast("long")
     parent = F.coalesce("quoted_turn", F.when(F.col("previous_turn") < F.col("turn"), F.col("previous_turn")))
     how = F.when(F.col("quoted_turn").isNotNull(), "quote").when(parent.isNotNull(), "previous")
     return joined.select(
-        "conv_id", F.row_number().over(reply).cast("long").alias("position"), F.col("thread_turn").cast("long").alias("thread_turn"), "turn", "role",
-        without_quotes(F.col("text")).alias("text"), parent.cast("long").alias("parent_turn"), how.alias("linked_by"), n_quoted.alias("n_quoted_lines"),
-    )
+        "conv_id", "position", "thread_turn", "turn", "role", without_quotes(F.col("text")).alias("text"), parent.alias("parent_turn"), how.alias("linked_by"), n_quoted.alias("n_quoted_lines")
+    )
 
 
 def _threads(branches: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of (id, number) that may be broadcast: a bound of about 50 MB in memory.
@@ -33,24 +33,50 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def numbered(df: DataFrame, *order, name: str = "number") -> DataFrame:
+def numbered(df: DataFrame, *order, name: str = "number", part: str | None = None) -> DataFrame:
     """`df` with the place of each row, from 0, in the given order of all rows; no task holds them all.
 
     Rows are dealt out by ranges of the order and sorted there; a row's number is its place within its range
     plus the sizes of the ranges before it, of which there is one for each partition. The written rows keep
     their partitions, so numbers are the same whenever they are read. Equal rows of the order are numbered as
-    they come; a random last key in `order` deals a hot value over several ranges.
+    they come; a random last key in `order` deals a hot value over several ranges. `part` names a column for
+    the number of the range, if wanted.
     """
     width = F.lit(1 << 33)
     laid = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
     sizes = {r.part: r.n for r in laid.groupBy(F.floor(F.col("_at") / width).alias("part")).agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
-    for part in sorted(sizes):
-        starts.append((int(part), total))
-        total += sizes[part]
+    for at in sorted(sizes):
+        starts.append((int(at), total))
+        total += sizes[at]
     before = df.sparkSession.createDataFrame(starts, "_part long, _before long")
     laid = laid.withColumn("_part", F.floor(F.col("_at") / width)).join(F.broadcast(before), "_part")
-    return laid.withColumn(name, F.col("_before") + F.col("_at") % width).drop("_at", "_part", "_before")
+    laid = laid.withColumn(name, F.col("_before") + F.col("_at") % width)
+    return (laid.withColumn(part, F.col("_part")) if part else laid).drop("_at", "_part", "_before")
+
+
+def carried(laid: DataFrame, group: str, values: dict, number: str = "number", part: str = "part") -> DataFrame:
+    """`laid` with, for each named value, its last one that is not null in the group's rows before; and `first_number`.
+
+    `laid` is numbered by an order that starts with the group. Windows stay within a range; a group that goes on
+    over several ranges is completed from one row for each range, so no task holds a group.
+    """
+    inside = Window.partitionBy(part, group)
+    before = inside.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    valued = laid.withColumns({f"_own_{k}": v for k, v in values.items()})
+    ends = valued.groupBy(part, group).agg(F.min(number).alias("_least"), *[F.max_by(f"_own_{k}", F.when(F.col(f"_own_{k}").isNotNull(), F.col(number))).alias(f"_end_{k}") for k in values])
+    longer = ends.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(group).alias("_group"))
+    ranges = Window.partitionBy(group).orderBy(part)
+    ends = ends.join(longer, F.col(group).eqNullSafe(F.col("_group")), "left_semi")
+    ends = ends.select(
+        F.col(part).alias("_part"), F.col(group).alias("_of"), F.min("_least").over(Window.partitionBy(group)).alias("_start"),
+        *[F.last(f"_end_{k}", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_end_{k}") for k in values],
+    )
+    local = valued.withColumns({"first_number": F.min(number).over(inside)} | {k: F.last(f"_own_{k}", ignorenulls=True).over(before) for k in values})
+    # groups of several ranges: at most two rows for each range
+    joined = local.join(F.broadcast(ends), (F.col(part) == F.col("_part")) & F.col(group).eqNullSafe(F.col("_of")), "left")
+    joined = joined.withColumns({"first_number": F.coalesce("_start", "first_number")} | {k: F.coalesce(k, f"_end_{k}") for k in values})
+    return joined.select(*laid.columns, "first_number", *values)
 
 
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -351,3 +351,126 @@ def test_quotes(spark):
     assert table[2, 0, "user"].parent_turn is None and table[2, 0, None].text == ""
     assert sorted(r.position for r in got if r.conv_id == 1) == [1, 2, 3, 4, 5, 6]
     assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def mail(seed, hot=0):
+    """Conversations in which replies quote earlier messages: nested, wrapped anew, cut at the start, in capitals."""
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for conv in [*range(12), None]:
+        said = []
+        for turn in range(hot if conv == 3 and hot else rnd.randrange(1, 14)):
+            parts = []
+            for _ in range(rnd.randrange(0, 3) if said else 0):
+                level, quoted = rnd.randrange(1, 4), rnd.choice(said).split()
+                quoted = quoted[rnd.randrange(max(1, len(quoted) - 6)) :]
+                width = rnd.choice([3, 7, 99])
+                mark = rnd.choice(["> " * level, ">" * level + " "])
+                parts += [mark + rnd.choice([str.upper, str])(" ".join(quoted[k : k + width])) for k in range(0, len(quoted), width)]
+                parts += rnd.choice([[], [""], ["thanks"]])
+            own = " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 25)))
+            said.append(own)
+            rows.append((conv, turn * rnd.choice([1, 1, 3]), rnd.choice(["user", "bot", None]), rnd.choice(["\n", "\r\n"]).join([*parts, own])))
+    return rows + rows[:3] + [(None, None, "user", "alone"), (None, None, None, None), (5, None, "user", "> w1 w2 w3 w4 w5")] * 2
+
+
+def brute_threads(rows):
+    """Conversations by definition: (conv, position, thread, turn, role, text, parent, how, quoted lines)."""
+    level_of = lambda x: re.match(r"\s*((?:>[ \t]*)*)", x).group(1).count(">")
+    normal = lambda x: re.sub(r"\s+", " ", re.sub(r"^\s*((?:>[ \t]*)+)", "", x).lower()).strip()
+
+    def runs(text):
+        units, last = [], None
+        for line in re.split(r"\r?\n", text or ""):
+            words = normal(line).split()
+            if level_of(line) != last:
+                units.append((level_of(line), []))
+                last = level_of(line)
+            units[-1][1].extend(words)
+            if 0 < len(words) < quotes.RUN:
+                units.insert(0, (last, words))
+        return {(lv, tuple(w[i : i + quotes.RUN])) for lv, w in units if w for i in range(max(1, len(w) - quotes.RUN + 1))}
+
+    key = lambda v: (v is not None, v if v is not None else 0)
+    out = Counter()
+    by_conv = defaultdict(list)
+    for r in rows:
+        by_conv[r[0]].append(r)
+    for conv, own in by_conv.items():
+        mark = lambda r: (r[3] is not None, hashlib.md5((r[3] or "").encode()).hexdigest() if r[3] is not None else "")
+        own.sort(key=lambda r: (key(r[1]), mark(r), (r[2] is not None, r[2] or "")))
+        have = [runs(r[3]) for r in own]
+        written = defaultdict(set)
+        for r, h in zip(own, have, strict=True):
+            if r[1] is not None:
+                for lv, w in h:
+                    if lv == 0:
+                        written[w].add(r[1])
+        link = []
+        for r, h in zip(own, have, strict=True):
+            votes = Counter()
+            for lv, w in h:
+                earlier = [t for t in written[w] if r[1] is not None and t < r[1]] if lv else []
+                if earlier:
+                    votes[lv, max(earlier)] += 1
+            link.append(max(((-lv, n, t) for (lv, t), n in votes.items()), default=(0, 0, None))[2])
+        branch, opener = [], None
+        for r, q in zip(own, link, strict=True):
+            opener = r[1] if q is not None else opener
+            branch.append(opener if opener is not None else own[0][1])
+        home, quoted = {}, {}
+        for r, b, q in zip(own, branch, link, strict=True):
+            if b is not None:
+                home[r[1]] = max(home.get(r[1], b), b)
+            if q is not None:
+                quoted[r[1]] = max(quoted.get(r[1], q), q)
+
+        def thread(b):
+            while b in quoted and home.get(b) == b and home.get(quoted[b]) is not None and home[quoted[b]] != b:
+                b = home[quoted[b]]
+            return b
+
+        threads = [thread(b) for b in branch]
+        order = sorted(range(len(own)), key=lambda i: (key(threads[i]), i))
+        for position, i in enumerate(order, 1):
+            r, q = own[i], link[i]
+            before = own[i - 1][1] if i else None
+            parent = q if q is not None else before if before is not None and r[1] is not None and before < r[1] else None
+            lines = re.split(r"\r?\n", r[3] or "")
+            kept = re.sub(r"^\s+|\s+$", "", "\n".join(x for x in lines if not level_of(x)))
+            how = "quote" if q is not None else "previous" if parent is not None else None
+            out[conv, position, threads[i], r[1], r[2], kept, parent, how, sum(level_of(x) > 0 for x in lines)] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quotes_against_brute_force(spark, seed):
+    rows = mail(seed, hot=60 if seed == 1 else 0)
+    frame = spark.createDataFrame([(*r, "clash", 7) for r in rows], "conv_id long, turn long, role string, text string, run string, n int").repartition(5)
+    got = Counter(tuple(r) for r in quotes.conversations(frame).collect())
+    want = brute_threads(rows)
+    assert got == want
+    assert sum(n for r, n in want.items() if r[7] == "quote") > 20
+
+
+def test_quotes_sql_on_quoted_mail(spark):
+    import duckdb
+
+    from auditloom.llm import queries
+
+    rows = mail(7)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = Counter(db.execute(queries.oracle_sql()["op7_quotation_linking"]).fetchall())
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert Counter(tuple(r) for r in quotes.conversations(frame).collect()) == want
+
+
+def test_quotes_of_very_long_texts(spark):
+    long = " ".join(f"w{i % 9973}" for i in range(40_000))
+    wrapped = "\n".join("> " + " ".join(long.split()[k : k + 11]) for k in range(20_000, 40_000, 11))
+    frame = spark.createDataFrame([(1, 0, "a", long), (1, 1, "b", "no"), (1, 2, "a", wrapped + "\nyes")], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quotes.conversations(frame).collect()}
+    assert (got[2].parent_turn, got[2].linked_by, got[2].text) == (0, "quote", "yes") and got[1].parent_turn == 0
