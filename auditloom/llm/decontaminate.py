@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
 An item of m characters occurs in a text if some stretch of the text is within e edits of it, where e is
-the share `edits` of m. Texts and items are compared as lower-case terms joined by single spaces.
+the share `edits` of m. Texts and items are compared as lower-case terms (of any alphabet) joined by single
+spaces.
 
 1. Every item keeps its R rarest q-grams (q = 8 bytes), R as large as the lemma needs: an edit destroys at
    most q of them, so an occurrence shares at least R - q * e with the text.
@@ -10,14 +11,19 @@ the share `edits` of m. Texts and items are compared as lower-case terms joined
    counted for each text, item and band, and bands under the bound are dropped. Nothing is lost.
 3. The rest is verified by aligning the whole item within the band and its surroundings.
 
-Documents are scanned where they are read: no shuffle. The items are the query set. They are taken in
-blocks of at most BLOCK_CHARS characters, one pass over the documents for each block, so what goes to the
-executors is bounded whatever the size of the benchmark.
+Items under `min_chars` characters have too few q-grams for a budget: they are searched as they stand, whole
+terms only, by the hash of their terms; a hit is compared byte by byte.
 
-Defined cases: null and empty texts contain nothing. Items that are null or shorter than `min_chars` after
-normalisation are not searched: they would match everywhere. An item so short that R - q * e would not be
-positive gets a smaller e. A null id is carried as null. Repeated items report alike; repeated rows too.
-Extra columns are carried through by `drop_contaminated`. Empty tables give empty results.
+Documents are scanned where they are read: no shuffle. The items are the query set. They are taken in
+blocks of at most BLOCK_CHARS characters, one pass over the documents for each block, and the result of a
+pass is written before the next begins, so one block at a time is on the driver and on the executors,
+whatever the size of the benchmark.
+
+Defined cases: null and empty texts contain nothing; a text of any length is searched whole. Items that are null
+or have no term are not searched. An item so short that R - q * e would not be positive gets a smaller e. Null
+ids are carried as null. Repeated items and repeated rows report alike. A character whose lower case takes
+another number of bytes stays as it is, so that places hold in the original text. Extra columns are carried
+through by `drop_contaminated`. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import cut_lineage
 
 Q = 8
 BLOCK_CHARS = 4_000_000
@@ -36,9 +43,21 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CLEAN = np.where(K.IS_TERM, K.LOWER, 32).astype(np.uint8)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with letters of other alphabets lower-cased, at the same places."""
+    if not (data & 0x80).any():
+        return data
+    raw = data.tobytes()
+    text = raw.decode()
+    low = text.lower().encode()
+    if len(low) != len(raw) or len(text.lower()) != len(text):
+        low = "".join(x if len(x.encode()) == len(c.encode()) else c for c in text for x in (c.lower(),)).encode()
+    return np.frombuffer(low, np.uint8)
+
+
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-case terms joined by single spaces, the documents' offsets, and each byte's original place."""
-    clean = _CLEAN[data]
+    clean = _CLEAN[lowered(data)]
     edge = clean == 32
     start = np.zeros(len(clean), bool)
     start[offsets[:-1][offsets[:-1] < len(clean)]] = True
@@ -55,17 +74,28 @@ def grams(clean: np.ndarray) -> np.ndarray:
     return np.ndarray((n,), "<u8", np.ascontiguousarray(clean), strides=(1,)) if n > 0 else np.empty(0, np.uint64)
 
 
+def _terms(clean: bytes) -> tuple[int, int]:
+    """Number of terms of a normalised text, and the hash of them all."""
+    data = np.frombuffer(clean, np.uint8)
+    _, _, hashes, first = K.words(data, np.array([0, len(data)]))
+    return len(hashes), int(K.shingles(hashes, first, len(hashes))[0][0])
+
+
 class Index:
     """Rare q-grams of a block of items with their places, and each item's edit budget and bound."""
 
     def __init__(self, items: list[tuple[int, str]], edits: float, min_chars: int):
         self.ids, self.text, self.budget = [], [], []
+        self.short: dict[int, dict[int, list[tuple[int | None, bytes]]]] = {}
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             clean = normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-            if len(clean) < max(min_chars, Q):
-                continue
             m = len(clean)
+            if m < max(min_chars, Q):
+                if m:
+                    n, h = _terms(clean)
+                    self.short.setdefault(n, {}).setdefault(h, []).append((item_id, clean))
+                continue
             self.ids.append(item_id)
             self.text.append(clean)
             self.budget.append(max(0, min(int(edits * m), (m - Q + 1 - 4) // Q)))
@@ -84,6 +114,7 @@ class Index:
         self.start = np.append(self.start, table.shape[1])
         self.item, self.at = table[1].astype(np.int64), table[2].astype(np.int64)
         self.budget = np.array(self.budget, np.int64)
+        self.longest = max(map(len, self.text), default=0)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.gram * _ODD) >> np.uint64(64 - _BITS)] = True
 
@@ -103,7 +134,7 @@ class Index:
         total = np.concatenate([[0], np.cumsum(n)])
         flat = np.repeat(self.start[place] - total[:-1], n) + np.arange(total[-1])
         item, where, doc = self.item[flat], np.repeat(where, n), np.repeat(doc, n)
-        longest = max(map(len, self.text))
+        longest = self.longest
         band = (where - self.at[flat] + longest) // (self.budget[item] + 1)
         width = int(len(clean) + longest + 2)
         key = (doc * len(self.ids) + item) * width + band
@@ -113,10 +144,29 @@ class Index:
         key, item = key[good], item[good]
         return np.stack([key // width // len(self.ids), item, key % width], axis=1)
 
+    def exact(self, clean: np.ndarray, first: np.ndarray) -> list[tuple[int, int | None, bytes, int, int]]:
+        """(document, item id, item, start, end) of the first place of each short item in each document."""
+        out = []
+        if not self.short:
+            return out
+        start, end, hashes, words = K.words(clean, first)
+        owner = K.owners(words)
+        for n, items in self.short.items():
+            value, whole = K.shingles(hashes, words, n)
+            wanted = np.array(list(items), np.uint64)
+            told = set()
+            for at in np.flatnonzero(whole & np.isin(value, wanted)).tolist():
+                for item_id, text in items[int(value[at])]:
+                    a, b, doc = int(start[at]), int(end[at + n - 1]), int(owner[at])
+                    if (doc, item_id, text) not in told and clean[a:b].tobytes() == text:
+                        told.add((doc, item_id, text))
+                        out.append((doc, item_id, text, a, b))
+        return out
+
     def verify(self, clean: np.ndarray, lo: int, hi: int, item: int, band: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the best occurrence of the item around the band, if within its budget."""
         text, e = self.text[item], int(self.budget[item])
-        low = band * (e + 1) - max(map(len, self.text)) - e
+        low = band * (e + 1) - self.longest - e
         high = low + 2 * (e + 1) + 2 * e
         a, b = max(lo, low), min(hi, high + len(text))
         found = clean[a:b].tobytes().find(text)
@@ -151,8 +201,8 @@ def banded_alignment(clean, lo, hi, pattern, low, high) -> tuple[int, int, int]
     return (edits, int(cell[best] & (one - 1)), int(diagonal[best] + len(pattern))) if edits < len(pattern) else None
 
 
-def occurrences(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, edits, start byte, end byte) of each text and item: its occurrence with the fewest edits."""
+def occurrences(index: Index, texts: pa.Array) -> list[tuple[int, int | None, int, int, int, int]]:
+    """(row, item id, item's length, edits, start byte, end byte) of each text and item: its occurrence with the fewest edits."""
     out = []
     for a, _, data, offsets in K.text_slices(texts):
         clean, first, place = normalised(data, offsets)
@@ -163,8 +213,10 @@ def occurrences(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int,
             found = index.verify(clean, int(first[doc]), int(first[doc + 1]), item, band)
             if found and (doc, item) not in best or found and found < best[doc, item]:
                 best[doc, item] = found
-        for (doc, item), (edits, start, end) in best.items():
-            out.append((a + doc, item, edits, int(place[start] - offsets[doc]), int(place[end - 1] + 1 - offsets[doc])))
+        hits = [(doc, index.ids[item], index.text[item], *found) for (doc, item), found in best.items()]
+        hits += [(doc, item_id, text, 0, start, end) for doc, item_id, text, start, end in index.exact(clean, first)]
+        for doc, item_id, text, edits, start, end in hits:
+            out.append((a + doc, item_id, len(text), edits, int(place[start] - offsets[doc]), int(place[end - 1] + 1 - offsets[doc])))
     return out
 
 
@@ -175,7 +227,7 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     blocks = int(total // BLOCK_CHARS) + 1
     for i in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else items
-        yield sorted((r.item_id if r.item_id is not None else -1, r.text) for r in rows.distinct().collect())
+        yield sorted(((r.item_id, r.text) for r in rows.distinct().collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), i == blocks - 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.08, min_chars: int = 30) -> DataFrame:
@@ -183,20 +235,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.08, min
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     schema = "doc_id long, item_id long, edits int, similarity double, start_byte long, end_byte long"
     out = None
-    for block in item_blocks(benchmark):
+    for block, last in item_blocks(benchmark):
         index = docs.sparkSession.sparkContext.broadcast(Index(block, edits, min_chars))
 
         def run(batches, index=index):
             for batch in batches:
-                x = index.value
-                found = occurrences(x, batch.column(1))
-                r, item, e, start, end = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [], [])
+                found = occurrences(index.value, batch.column(1))
+                r, item, size, e, start, end = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [], [], [])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(r, pa.int64())),
-                        pa.array([x.ids[i] for i in item], pa.int64()),
+                        pa.array(item, pa.int64()),
                         pa.array(e, pa.int32()),
-                        pa.array([1 - n / len(x.text[i]) for n, i in zip(e, item, strict=True)], pa.float64()),
+                        pa.array([1 - n / m for n, m in zip(e, size, strict=True)], pa.float64()),
                         pa.array(start, pa.int64()),
                         pa.array(end, pa.int64()),
                     ],
@@ -205,6 +256,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.08, min
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
+        if not last:
+            out = cut_lineage(out)
+            index.unpersist()
     return out
 
 
@@ -212,7 +266,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.08
     """The documents in which no item occurs, with all their columns."""
     names, at = docs.columns, docs.columns.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    for block in item_blocks(benchmark):
+    for block, last in item_blocks(benchmark):
         index = docs.sparkSession.sparkContext.broadcast(Index(block, edits, min_chars))
 
         def run(batches, index=index):
@@ -222,4 +276,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.08
                 yield batch.filter(pa.array(mask))
 
         plain = plain.mapInArrow(run, plain.schema)
+        if not last:
+            plain = cut_lineage(plain)
+            index.unpersist()
     return plain.toDF(*names)

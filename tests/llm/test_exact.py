@@ -291,7 +291,7 @@ def edit_distance_within(pattern, text):
 def test_decontamination(spark, documents):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "re", "he"]) for _ in range(rnd.randrange(1, 5)))
-    items = [(n, " ".join(word() for _ in range(rnd.randrange(8, 30)))) for n in range(12)] + [(100, None), (101, "short")]
+    items = [(n, " ".join(word() for _ in range(rnd.randrange(8, 30)))) for n in range(12)] + [(100, None), (101, "Short one"), (None, "the"), (102, " - ")]
     rows = []
     for i in range(150):
         text = " ".join(word() for _ in range(rnd.randrange(0, 60)))
@@ -302,6 +302,7 @@ def test_decontamination(spark, documents):
                 at = rnd.randrange(len(letters))
                 letters[at : at + 1] = rnd.choice([[], ["q"], [letters[at], "z"]])
             text = text[: len(text) // 2] + " " + rnd.choice([str.upper, str])("".join(letters)) + " " + text[len(text) // 2 :]
+        text += rnd.choice(["", "", " short, ONE", " shorter one", " the"])
         rows.append((i, text, "en", "s"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(rows)
@@ -309,26 +310,45 @@ def test_decontamination(spark, documents):
     clean = lambda t: re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", t.lower())
     want = {}
     for i, t, *_ in rows:
+        for n, x in [items[13], items[14]]:
+            if re.search(rf"(?<!\S){clean(x)}(?!\S)", clean(t)):
+                want[i, n] = 0
         for n, x in items[:12]:
             p = clean(x).strip()
             budget = max(0, min(int(0.08 * len(p)), (len(p) - 11) // 8))
             d = edit_distance_within(p, clean(t))
             if d <= budget:
                 want[i, n] = d
-    assert got == want and len(want) > 20 and any(want.values())
+    assert got == want and len(want) > 20 and any(want.values()) and {None, 101} < {n for _, n in want}
     kept = decontaminate.drop_contaminated(docs, bench)
     assert {r.doc_id for r in kept.collect()} == set(range(150)) - {i for i, _ in want}
 
 
 def test_decontamination_odd(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13"), (2, None), (None, "")], "item_id long, text string")
-    assert {r.doc_id for r in decontaminate.contaminated(odd, bench).collect()} == {5, 6}
+    assert Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, bench).collect()) == {(5, 1): 1, (6, 1): 1}
     kept = decontaminate.drop_contaminated(odd, bench)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 2
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(nothing, bench).count() == decontaminate.drop_contaminated(nothing, bench).count() == 0
 
 
+def test_decontamination_in_blocks(spark, documents, monkeypatch):
+    """However many blocks the items take, the same rows come out; other alphabets are lower-cased in place."""
+    items = [(i, f"элемент номер {i} из набора проверочных вопросов {i * i}") for i in range(9)] + [(50, "Où est le chat")]
+    texts = [f"до {t.upper()} после" if i % 2 else f"İ {t}." for i, t in items] + ["nothing here", "ELEMENT"]
+    docs = documents([(i, t, "ru", "s") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = Counter(tuple(r) for r in decontaminate.contaminated(docs, bench).collect())
+    assert {(r[0], r[1]) for r in whole if r[2] == 0} >= {(n, i) for n, (i, _) in enumerate(items)}
+    for doc, item, edits, _, start, end in whole:
+        if edits == 0:
+            assert texts[doc].encode()[start:end].decode().lower() == dict(items)[item].lower()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 150)
+    assert Counter(tuple(r) for r in decontaminate.contaminated(docs, bench).collect()) == whole
+    assert decontaminate.drop_contaminated(docs, bench).count() == 2
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Where is the key?\nI need it."),
