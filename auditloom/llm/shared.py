@@ -45,14 +45,13 @@ def numbered(df: DataFrame, *order, name: str = "number", part: str | None = Non
     width = F.lit(1 << 33)
     laid = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
     sizes = {r.part: r.n for r in laid.groupBy(F.floor(F.col("_at") / width).alias("part")).agg(F.count("*").alias("n")).collect()}
-    starts, total = [], 0
-    for at in sorted(sizes):
-        starts.append((int(at), total))
-        total += sizes[at]
-    before = df.sparkSession.createDataFrame(starts, "_part long, _before long")
-    laid = laid.withColumn("_part", F.floor(F.col("_at") / width)).join(F.broadcast(before), "_part")
-    laid = laid.withColumn(name, F.col("_before") + F.col("_at") % width)
-    return (laid.withColumn(part, F.col("_part")) if part else laid).drop("_at", "_part", "_before")
+    starts, total = [0], 0
+    for at in range(int(max(sizes, default=0))):
+        total += sizes.get(at, 0)
+        starts.append(total)
+    laid = laid.withColumn("_part", F.floor(F.col("_at") / width))
+    laid = laid.withColumn(name, F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_part").cast("int")) + F.col("_at") % width)
+    return (laid.withColumn(part, F.col("_part")) if part else laid).drop("_at", "_part")
 
 
 def carried(laid: DataFrame, group: str, values: dict, number: str = "number", part: str = "part") -> DataFrame:
