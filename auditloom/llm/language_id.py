@@ -6,13 +6,15 @@ each pair of families and one for each pair of languages of a family, vote: the
 sum of squashed margins wins, and only its own languages are told apart, again by one-versus-one votes.
 The score is the mean pairwise confidence of the family times that of the language.
 
-Training takes at most `per_language` documents of each language (those with the smallest hashed ids: a
-documented bound, the same rows on every run). Each pair's machine is fitted by stochastic subgradient
-steps in a task of its own. The weights, 2**bits for each pair, are all that reaches the driver. Prediction
-is one pass over whole texts without a shuffle.
-
-Defined cases: a null text, or one without a letter, is `und` with score 0. Rows with a null language or id
-are not learned from. Without any training row every document is `und`. A language of no listed family is a
+Training takes at most `per_language` documents of each of the `max_languages` most frequent languages (those
+with the smallest hashed ids: documented bounds, the same rows on every run); a machine between families takes
+that many of each family. Texts become features where they are read, at most 2**bits numbers each, and only
+those are shuffled. Each pair's machine is fitted by stochastic subgradient steps in a task of its own. The
+weights, 2**bits for each pair, are all that reaches the driver. Prediction is one pass over whole texts without
+a shuffle.
+
+Defined cases: a null text, or one without a letter, is `und` with score 0; a text of any length is read whole. An
+empty table gives an empty result. Rows with a null language or id are not learned from. Without any training row every document is `und`. A language of no listed family is a
 family of its own; with one family, or one language in it, that step is certain. Repeated rows are scored
 alike. Extra columns are not read.
 """
@@ -82,17 +84,24 @@ def coordinates(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.nd
     return np.concatenate(out), np.concatenate(docs)
 
 
-def _vectors(texts: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sparse (coordinates, shares * SCALE) of each text."""
-    out = []
-    for a, b, data, offsets in K.text_slices(texts):
-        at, owner = coordinates(data, offsets, bits)
-        key, n = np.unique((owner.astype(np.int64) << bits) | at, return_counts=True)
-        first = np.searchsorted(key, np.arange(b - a + 1, dtype=np.int64) << bits)
-        for i in range(b - a):
-            c = n[first[i] : first[i + 1]]
-            out.append((key[first[i] : first[i + 1]] & ((1 << bits) - 1), c * (SCALE / max(1, c.sum()))))
-    return out
+def _featured(bits: int):
+    """(o, lang, rank, text) -> the same with the text's coordinates and their shares * SCALE, packed."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offsets in K.text_slices(batch.column(3)):
+                at, owner = coordinates(data, offsets, bits)
+                key, n = np.unique((owner.astype(np.int64) << bits) | at, return_counts=True)
+                first = np.searchsorted(key, np.arange(b - a + 1, dtype=np.int64) << bits)
+                cells, shares = [], []
+                for i in range(b - a):
+                    c = n[first[i] : first[i + 1]]
+                    cells.append((key[first[i] : first[i + 1]] & ((1 << bits) - 1)).astype(np.uint16 if bits <= 16 else np.uint32).tobytes())
+                    shares.append((c * (SCALE / max(1, c.sum()))).astype(np.float32).tobytes())
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(cells, pa.binary()), pa.array(shares, pa.binary())], ["o", "lang", "rank", "cells", "shares"])
+
+    return run
 
 
 SCALE = 20.0
@@ -119,10 +128,10 @@ def svm(vectors, y: np.ndarray, bits: int, passes: int = 8, rate: float = 0.5, d
     return scale * (w - total / (t + 1)), b - b_total / (t + 1)
 
 
-def train(labelled: DataFrame, bits: int = 16, per_language: int = 1500) -> dict:
+def train(labelled: DataFrame, bits: int = 16, per_language: int = 1500, max_languages: int = 200) -> dict:
     """The languages, their families and pairwise weights, from rows (doc_id, text, lang)."""
     usable = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)).alias("o"))
-    counts = [(r["lang"], r["n"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    counts = [(r["lang"], r["n"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
     langs = sorted(lang for lang, _ in counts)
     families = sorted({family(x) for x in langs})
     pairs = [("family", a, b) for a, b in combinations(families, 2)]
@@ -134,14 +143,26 @@ def train(labelled: DataFrame, bits: int = 16, per_language: int = 1500) -> dict
     share = {lang: min(1.0, 1.3 * (per_language + 50) / n) for lang, n in counts}
     edge = F.create_map(*[F.lit(x) for lang, p in share.items() for x in (lang, min(2**63 - 1, int((p * 2 - 1) * 2**63)))])
     near = usable.where(F.col("o") <= edge[F.col("lang")])
-    sample = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).where(F.col("rank") <= per_language)
-    roles = {lang: [(i, 1 if lang == a or family(lang) == a and kind == "family" else -1) for i, (kind, a, b) in enumerate(pairs) if lang in (a, b) or kind == "family" and family(lang) in (a, b)] for lang in langs}
-    role = F.create_map(*[x for lang, r in roles.items() for x in (F.lit(lang), F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(y).alias("y")) for i, y in r]))])
-    dealt = sample.select("o", "doc_id", "text", F.explode(role[F.col("lang")]).alias("r")).select("o", "doc_id", "text", "r.pair", "r.y")
+    first = Window.partitionBy("lang").orderBy("o", "doc_id", F.xxhash64("text"))
+    sample = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("o", "lang", "rank", "text")
+    size = {lang: sum(family(x) == family(lang) for x in langs) for lang in langs}
+    roles = {
+        lang: [
+            (i, 1 if lang == a or family(lang) == a and kind == "family" else -1, per_language if kind == "language" else -(-per_language // size[lang]))
+            for i, (kind, a, b) in enumerate(pairs)
+            if kind == "language" and lang in (a, b) or kind == "family" and family(lang) in (a, b)
+        ]
+        for lang in langs
+    }
+    role = F.create_map(*[x for lang, r in roles.items() for x in (F.lit(lang), F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(y).alias("y"), F.lit(most).alias("most")) for i, y, most in r]))])
+    featured = sample.mapInArrow(_featured(bits), "o long, lang string, rank int, cells binary, shares binary")
+    dealt = featured.select("o", "rank", "cells", "shares", F.explode(role[F.col("lang")]).alias("r")).where("rank <= r.most").select("o", "rank", "cells", "shares", "r.pair", "r.y")
 
     def fit(key, rows):
-        rows = rows.sort_by([("o", "ascending"), ("doc_id", "ascending")])
-        w, b = svm(_vectors(rows["text"].combine_chunks(), bits), rows["y"].to_numpy(), bits)
+        rows = rows.sort_by([("o", "ascending"), ("rank", "ascending"), ("y", "ascending")])
+        kind = np.uint16 if bits <= 16 else np.uint32
+        vectors = [(np.frombuffer(c, kind).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)) for c, x in zip(rows["cells"].to_pylist(), rows["shares"].to_pylist(), strict=True)]
+        w, b = svm(vectors, rows["y"].to_numpy(), bits)
         return pa.table({"pair": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "b": [float(b)]})
 
     for r in dealt.groupBy("pair").applyInArrow(fit, "pair int, w binary, b double").collect():

@@ -18,9 +18,10 @@ one slice of texts share, only the slice's first document is shuffled by hash; t
 repeat it and are dealt out by document (`_dealt`). The text is shuffled once, by document, and that
 exchange serves steps 3 and 4.
 
-Defined cases: a null or empty text has no words. Fewer than `window` words: nothing is removed. A
-null id is later than all others. Rows that repeat an id count as one document and do not cut each
-other. Other columns are carried through untouched under any name. An empty table gives an empty result.
+Defined cases: a null or empty text has no words; a text of any length is read whole. Fewer than `window`
+words: nothing is removed. A null id is later than all others. Rows that repeat an id count as one document and
+do not cut each other; nor do rows with null ids, which are held apart by a hash of their text, so that they are
+never gathered as one document. The 2**32 largest ids stand for null. Other columns are carried through untouched under any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
 
-#: An id later than all others stands for null.
-LAST = (1 << 63) - 1
+#: Ids from here on stand for null ones, told apart by a hash of their text.
+NULL = (1 << 63) - (1 << 32)
 #: So many documents of one slice with the same hash settle it among themselves.
 LOCAL = 4
 #: Hashes are even; the odd number after one marks a row that needs no comparison any more.
@@ -89,8 +90,10 @@ def _dealt(hashes: np.ndarray, doc: np.ndarray, keep_first: bool) -> pa.RecordBa
         h, doc = h[once], doc[once]
         starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(starts, len(h)))
-        settled = np.repeat(size >= LOCAL, size)
-        heads = starts[size >= LOCAL]
+        # ids are sorted, so the last one tells whether null ones, which do not cut each other, are among them
+        many = (size >= LOCAL) & (doc[starts + size - 1] < NULL)
+        settled = np.repeat(many, size)
+        heads = starts[many]
         settled[heads] = keep_first
         again = heads if keep_first else heads[:0]
         h, doc = np.concatenate([h + settled, h[again]]), np.concatenate([doc, doc[again]])
@@ -119,7 +122,7 @@ def _shared(keep_first: bool):
             run_id = np.cumsum(new) - 1  # -1: goes on from the batch before
             least = doc[new]
             least = np.concatenate([[last_doc if last_doc is not None else 0], least])[run_id + 1]
-            later = doc != least
+            later = np.minimum(doc, NULL) != np.minimum(least, NULL)
             out_h, out_doc = h[later], doc[later]
             if keep_first:
                 ids = np.unique(run_id[later])
@@ -272,9 +275,13 @@ def _cut(text_at: int, n_columns: int, window: int, size_at: int | None):
     return run
 
 
+def _document(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NULL) + F.pmod(F.xxhash64(text), F.lit(1 << 32)))
+
+
 def _removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The documents keyed by id, and (doc, windows to remove)."""
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    keyed = docs.select(_document(F.col(id_col), F.col(text_col)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     anchors = keyed.mapInArrow(_emit_anchors(window), "h long, doc long")
     hot = _by_document(anchors, True, "hot")
     windows = keyed.join(hot, "doc").select("doc", "text", "hot").mapInArrow(_emit_windows(window), "h long, doc long")
@@ -286,7 +293,7 @@ def substring_digest(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
     keyed, gone = _removals(docs, window, id_col, text_col)
     joined = keyed.join(gone, "doc", "left").select("doc", "text", "gone")
     out = joined.mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") < NULL, F.col("doc_id")))
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
@@ -298,7 +305,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     names = docs.columns
     _, gone = _removals(docs, window, id_col, text_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    key = F.coalesce(plain[names.index(id_col)].cast("long"), F.lit(LAST))
+    key = _document(plain[names.index(id_col)], plain[names.index(text_col)])
     joined = plain.withColumn("doc", key).join(gone, "doc", "left").select(*plain.columns, "gone")
     size_at = names.index(size_col) if size_col in names else None
     cut = joined.mapInArrow(_cut(names.index(text_col), len(names), window, size_at), plain.schema)

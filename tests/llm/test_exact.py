@@ -99,6 +99,13 @@ def test_settled_rows_change_nothing(slices, keep_first):
     assert got == {(h, d) for h, ds in docs.items() for d in ds if len(ds) > 1 and (keep_first or d > min(ds))}
 
 
+def test_substring_dedup_null_ids(documents):
+    """Rows with null ids are cut by the others, not by each other."""
+    rows = [(None if n % 3 else i, *r) for n, (i, *r) in enumerate(overlapping(3))]
+    got = substring_dedup.substring_digest(documents(rows))
+    assert Counter(tuple(r) for r in got.collect()) == removed([r[:2] for r in rows])
+
+
 def test_substring_dedup_odd(odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert Counter(tuple(r) for r in substring_dedup.substring_digest(odd).collect()) == removed(rows)

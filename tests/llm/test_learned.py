@@ -2,13 +2,16 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from auditloom.llm import kneser_ney, language_id, queries, toxicity, url_filter
+from auditloom.llm import kernel, kneser_ney, language_id, queries, toxicity, url_filter
 
 
 def held(i, parts):
@@ -26,6 +29,62 @@ def test_toxicity_held_out(spark):
     assert ((truth.predicted == 1) & (truth.toxic == 0)).sum() <= 0.01 * len(truth)
 
 
+def naive_features(text):
+    terms = re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text))
+    return set(terms) | set(zip(terms, terms[1:], strict=False)) | {(a, None, b) for a, b in zip(terms, terms[2:], strict=False)}
+
+
+def test_toxicity_features():
+    texts = ["A b a-B, c!", "", "é É x9 x9 x9", "one"]
+    at, first = toxicity.features(*kernel.text_buffers(pa.array(texts)), 30)
+    assert np.diff(first).tolist() == [len(naive_features(t)) for t in texts]
+    again, _ = toxicity.features(*kernel.text_buffers(pa.array(["c a B a b"])), 30)
+    assert len(set(again.tolist()) & set(at[: first[1]].tolist())) == len(naive_features("c a B a b") & naive_features(texts[0]))
+
+
+def test_ftrl_against_plain_loops():
+    rnd = random.Random(3)
+    docs = [sorted(rnd.sample(range(16), rnd.randrange(0, 7))) for _ in range(60)]
+    labels = [int(3 in d or rnd.random() < 0.1) for d in docs]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.4, 0.1
+    z, n, w = [0.0] * 17, [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        keep = 0.0 if i == 16 else l1
+        if abs(z[i]) <= keep:
+            return 0.0
+        return -(z[i] - math.copysign(keep, z[i])) / ((beta + math.sqrt(n[i])) / alpha + (0.0 if i == 16 else l2))
+
+    for _ in range(3):
+        for d, y in zip(docs, labels, strict=True):
+            w = {i: weight(i) for i in [*d, 16]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in w:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    got, bias = toxicity.ftrl(np.array([i for d in docs for i in d]), first, labels, 4, alpha, beta, l1, l2, 3)
+    assert got == pytest.approx([weight(i) for i in range(16)]) and bias == pytest.approx(weight(16)) and (got == 0).any()
+
+
+def test_toxicity_is_the_average_of_its_shards(spark, documents):
+    """Texts that repeat an id, and any partitioning, change nothing: the model is that of the shards in order."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(9)), "en", "s") for i in range(120)]
+    labels = spark.createDataFrame([(i, int("ax" in t)) for i, t, *_ in rows], "doc_id long, toxic int")
+    one = toxicity.train(documents(rows), toxicity.marks(labels), shard_rows=40, l1=0.5)
+    two = toxicity.train(documents(rows + rows[:30], 7), toxicity.marks(labels), shard_rows=40, l1=0.5)
+    assert one.trained and (one.at == two.at).all() and (one.weights == two.weights).all() and one.bias == two.bias
+    hashed = labels.selectExpr("doc_id", "toxic", "xxhash64(cast(doc_id AS string), 7) AS o").orderBy("o").collect()
+    total, bias, text = np.zeros(1 << 18), 0.0, {i: t for i, t, *_ in rows}
+    for shard in range(3):
+        own = [r for r in hashed if r.o % 3 == shard]
+        at, first = toxicity.features(*kernel.text_buffers(pa.array([text[r.doc_id] for r in own])), 18)
+        w, b = toxicity.ftrl(at, first, [r.toxic for r in own], 18, 2.0, 1.0, 0.5, 0.0, 4)
+        total, bias = total + w, bias + b
+    assert (one.at == np.flatnonzero(total)).all() and one.weights == pytest.approx(total[one.at] / 3, rel=1e-6) and one.bias == pytest.approx(bias / 3)
+
+
 def test_toxicity_odd(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 1), (5, 0), (None, 1), (7, None), (6, 3)], "doc_id long, toxic int")
     got = toxicity.toxicity_scores(odd, labels).collect()
@@ -44,6 +103,57 @@ def test_language_held_out(spark):
     assert (got.lang == got.lang_pred).mean() > 0.99 and got.score.between(0, 1).all()
 
 
+def test_svm_against_plain_averages():
+    """The lazily scaled and averaged steps are those of the plain method."""
+    rnd = np.random.default_rng(5)
+    rows = [(np.sort(rnd.choice(16, 4, replace=False)), rnd.random(4)) for _ in range(50)]
+    y = np.where([(x * (at < 6)).sum() > 0.8 for at, x in rows], 1, -1)
+    w, b, total, b_total, t = np.zeros(16), 0.0, np.zeros(16), 0.0, 0
+    order = np.random.Generator(np.random.PCG64(3))
+    share = {c: len(y) / (2 * (y == c).sum()) for c in (-1, 1)}
+    rate = 0.5
+    for _ in range(4):
+        for i in order.permutation(len(y)):
+            t += 1
+            step = rate / (1 + t * rate * 1e-3)
+            at, x = rows[i]
+            if y[i] * (w[at] @ x + b) < 1:
+                w[at] += step * share[y[i]] * y[i] * x
+                b += 0.1 * step * share[y[i]] * y[i]
+            total, b_total = total + w, b_total + b
+    got, bias = language_id.svm(rows, y, 4, passes=4, decay=0.0)
+    assert got == pytest.approx(total / (t + 1), abs=1e-9) and bias == pytest.approx(b_total / (t + 1))
+    assert np.mean([np.sign(got[at] @ x + bias) == c for (at, x), c in zip(rows, y, strict=True)]) > 0.9
+
+
+def test_language_votes_by_definition():
+    """Family first, then the languages of that family alone, both by summed pairwise confidences."""
+    rnd = np.random.default_rng(8)
+    langs = ["de", "en", "es", "fr", "it", "xx"]
+    families = sorted({language_id.family(x) for x in langs})
+    pairs = [("family", a, b) for k, a in enumerate(families) for b in families[k + 1 :]]
+    pairs += [("language", a, b) for k, a in enumerate(langs) for b in langs[k + 1 :] if language_id.family(a) == language_id.family(b)]
+    model = {"langs": langs, "families": families, "pairs": pairs, "bits": 10, "w": rnd.normal(size=(1 << 10, len(pairs))).astype(np.float32), "b": rnd.normal(size=len(pairs))}
+    texts = ["ein Haus", "the houses of it", "çà et là", "x"] + [" ".join("abcdefgh"[k] * 3 for k in rnd.integers(0, 8, 9)) for _ in range(40)]
+    got, score = language_id.predict(model, pa.array(texts))
+    for n, text in enumerate(texts):
+        raw = re.sub(rb"[^a-z\x80-\xff]+", b" ", "".join(c.lower() if c.isascii() else c for c in text).encode())
+        at, _ = language_id.coordinates(*kernel.text_buffers(pa.array([text])), 10)
+        assert len(at) == sum(max(0, len(raw) - k + 1) for k in language_id.NGRAMS)
+        sure = 1 / (1 + np.exp(-np.clip(2 * (model["w"][at].astype(float).sum(axis=0) * language_id.SCALE / len(at) + model["b"]), -30, 30)))
+        def vote(kind, names):
+            total = dict.fromkeys(names, 0.0)
+            for p, (k, a, b) in zip(sure, pairs, strict=True):
+                if k == kind and a in total and b in total:
+                    total[a] += p
+                    total[b] += 1 - p
+            best = max(names, key=total.get)
+            return best, total[best] / (len(names) - 1) if len(names) > 1 else 1.0
+        top, p = vote("family", families)
+        lang, q = vote("language", [x for x in langs if language_id.family(x) == top])
+        assert langs[got[n]] == lang and score[n] == pytest.approx(p * q, rel=1e-5)
+
+
 def test_language_odd(odd, nothing, documents):
     got = language_id.language_predictions(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
