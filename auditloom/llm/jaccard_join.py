@@ -12,10 +12,11 @@ Documents are sets of shingles of `k` words; two texts are linked if their Jacca
    dropped when that falls below `tolerance`. A pair is examined only in the first band that it shares.
 4. Verification: the rest is compared on whole shingle sets. Only texts with a pair left are fetched.
 5. Groups give back one row for each of their texts: its number of links and its local component. Pairs are
-   never written out. Components are merged over all groups; a class is a component of linked texts.
+   never written out. Components are merged over all groups; a class is a component of linked texts. Texts and
+   classes with very many rows meet their values by broadcast (`shared.join_hot`), not in one task.
 
 Defined cases: a null text, or one without a word, has no shingles: it is linked to nothing and a class of
-its own. A text of fewer than `k` words has one shingle, all its words. Copies of a text share its class and
+its own. A text of any length is read whole. A text of fewer than `k` words has one shingle, all its words. Copies of a text share its class and
 its links; n_links counts other texts, n_copies other rows of the same text. The class id is the smallest id
 of the class (null ids count as the largest). Extra columns are carried through by `drop_near_duplicates`,
 which keeps rows that repeat both id and text once. Empty tables give empty results.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import cut_lineage, min_labels
+from .shared import cut_lineage, join_hot, min_labels
 
 HASHES, ROWS, STEP, BLOCK = 96, 4, 16, 256
 BANDS = HASHES // ROWS
@@ -286,8 +287,8 @@ def _classes(docs: DataFrame, k: int, threshold: float, tolerance: float) -> Dat
     texts = texts.join(links, "t", "left").withColumn("comp", F.coalesce("comp", "t"))
     heads = texts.groupBy("comp").agg(F.min(F.struct("least", "t")).alias("head"))
     texts = texts.join(heads, "comp")
-    texts = texts.select("t", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("n") - 1).alias("n_copies"), F.col("head.least").alias("class_doc"), F.col("head.t").alias("class_t"))
-    return members.join(texts, "t")
+    texts = cut_lineage(texts.select("t", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("n") - 1).alias("n_copies"), F.col("head.least").alias("class_doc"), F.col("head.t").alias("class_t")))
+    return join_hot(members, texts, "t")
 
 
 def near_duplicate_classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:

@@ -83,6 +83,21 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_hot(rows: DataFrame, values: DataFrame, key: str, hot: int = 1_000) -> DataFrame:
+    """An inner join on `key`, which is unique in `values`, that no key of `rows` fills a task of.
+
+    Keys that more than `hot` rows have are counted (before the shuffle, like any sum); if they are few enough to be
+    broadcast, their rows meet their values where they are, and only the others are shuffled. Were they too many,
+    none would be large against the whole, and all rows are shuffled.
+    """
+    keys = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(key))
+    if keys.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return rows.join(values, key)
+    there = rows.join(F.broadcast(values.join(F.broadcast(keys), key, "left_semi")), key)
+    rest = rows.join(F.broadcast(keys), key, "left_anti").join(values, key)
+    return there.unionByName(rest)
+
+
 def min_labels(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of (a, b): the least node of each connected component.
 
@@ -95,8 +110,9 @@ def min_labels(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("label"), F.col("label").alias("was"))
+        lower = cut_lineage(lower)
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = cut_lineage(lower.join(jump, "label").select("node", F.col("up").alias("label"), "was"))
+        new = cut_lineage(join_hot(lower, jump, "label").select("node", F.col("up").alias("label"), "was"))
         labels = new.select("node", "label")
         if new.where("label <> was").limit(1).count() == 0:
             return labels

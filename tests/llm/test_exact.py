@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from auditloom.llm import decontaminate, fingerprint, jaccard_join, kernel, mixing, quotes, substring_dedup
+from auditloom.llm import decontaminate, fingerprint, jaccard_join, kernel, mixing, quotes, shared, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -160,6 +160,20 @@ def test_jaccard_join(documents, monkeypatch):
     assert jaccard_join.drop_near_duplicates(documents(rows)).count() == len({c for _, c, *_ in want})
 
 
+def test_jaccard_recall_on_the_corpus(spark):
+    """Every pair of texts of the corpus that reaches the threshold is linked: compared with all pairs."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = Counter(tuple(r) for r in jaccard_join.near_duplicate_classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect())
+    assert got == classes(rows)
+
+
+def test_jaccard_hot_text(documents, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "join_hot", lambda rows, values, key: shared.join_hot(rows, values, key, 5))
+    rows = near(5)
+    rows += [(1000 + i, rows[0][1], "en", "s") for i in range(40)]
+    assert Counter(tuple(r) for r in jaccard_join.near_duplicate_classes(documents(rows)).collect()) == classes([r[:2] for r in rows])
+
+
 def test_jaccard_join_odd(odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = Counter(tuple(r) for r in jaccard_join.near_duplicate_classes(odd).collect())
