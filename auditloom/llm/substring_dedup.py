@@ -276,7 +276,8 @@ def _cut(text_at: int, n_columns: int, window: int, size_at: int | None):
 
 
 def _document(doc_id: Column, text: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(NULL) + F.pmod(F.xxhash64(text), F.lit(1 << 32)))
+    # never null, also to the optimizer: a null filter on one side only would keep the exchange from being reused
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.lit(NULL)))
 
 
 def _removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
