@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Paths and extensions that a crawl leaves out, hosts that are not public, test pages, leftovers.
+#: Extensions of files that a crawl leaves out.
 SKIP_EXT = (
     r"\.(pdf|jpe?g|png|gif|webp|avif|svg|ico|bmp|tiff?|heic|mp4|webm|mov|m4v|avi|mp3|wav|ogg|zip|rar|gz|tgz|tar|7z|exe|dmg|apk|css|js|mjs|map|json|xml|txt|rss|atom|"
     r"woff2?|ttf|otf|eot|csv|xlsx?|docx?|pptx?)$"
 )
+#: Paths that a crawl leaves out.
 SKIP_PATH = r"^/(_next|api|cdn-cgi|__nextjs[^/]*|_vercel|\.netlify)(/|$)"
+#: Hosts that are not public.
 PRIVATE_HOST = r"^(localhost|127\.|0\.0\.0\.0|10\.|192\.168\.)|\.local$"
+#: Whole segments and endings of the paths of test pages, in any letter case.
 TEST_PAGE = (
-    r"/(test|test-?page|demo|demo-?page|sample|sample-?page|lorem(-ipsum)?|untitled(-[0-9]+)?|draft|tmp|temp|backup|hello-world|new-page)(/|$)|-(copy|old|backup|draft|tmp)(/|$)"
+    r"(?i)/(test|test-?page|demo|demo-?page|sample|sample-?page|lorem(-ipsum)?|untitled(-[0-9]+)?|draft|tmp|temp|backup|hello-world|new-page)(/|$)|-(copy|old|backup|draft|tmp)(/|$)"
 )
+#: What debugging leaves in texts, and urls of development servers.
 DEBUG_TEXT = r"\b(undefined|nan|\[object object\]|todo|fixme|lorem ipsum|console\.log)\b"
 DEV_URL = r"https?://(localhost|127\.0\.0\.1|0\.0\.0\.0|192\.168\.[0-9]+\.[0-9]+|[A-Za-z0-9_-]+\.local|staging\.[A-Za-z0-9_.-]+|dev\.[A-Za-z0-9_.-]+|[A-Za-z0-9_-]+\.vercel\.app)(:[0-9]+)?"
-SECRET_FILES = r"(^|/)(\.env(\.[A-Za-z0-9_.-]+)?|id_rsa|id_ed25519|.*\.pem|.*\.p12|.*\.pfx|.*\.key|credentials\.json|service-account.*\.json)$"
-ARTEFACTS = r"(^|/)(\.next|node_modules|__pycache__|\.turbo|out|dist|coverage)/|(^|/)\.DS_Store$|\.tsbuildinfo$|\.pyc$"
+#: Files that hold secrets, and files that are built, in any letter case.
+SECRET_FILES = r"(?i)(^|/)(\.env(\.[A-Za-z0-9_.-]+)?|id_rsa|id_ed25519|.*\.pem|.*\.p12|.*\.pfx|.*\.key|credentials\.json|service-account.*\.json)$"
+ARTEFACTS = r"(?i)(^|/)(\.next|node_modules|__pycache__|\.turbo|out|dist|coverage)/|(^|/)\.DS_Store$|\.tsbuildinfo$|\.pyc$"
 
 
 def crawlable(host: Column, path: Column, site: Column) -> Column:

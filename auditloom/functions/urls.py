@@ -70,19 +70,34 @@ def segments(url: Column) -> Column:
     return F.filter(F.split(raw_path(url), "/"), lambda s: s != "")
 
 
+def _without_dots(url: Column) -> Column:
+    """The url with `.` segments of its path dropped and `..` segments taken with the one before them."""
+    p = raw_path(url)
+    parts = F.split(p, "/")
+    none = F.array().cast("array<string>")
+    step = lambda have, s: F.when(s == ".", have).when(s == "..", F.when(F.size(have) > 1, F.slice(have, 1, F.size(have) - 1)).otherwise(have)).otherwise(F.array_append(have, s))
+    kept = F.array_join(F.aggregate(parts, none, step), "/")
+    folder = F.element_at(parts, -1).isin(".", "..") & ~kept.endswith("/")
+    clean = F.concat(kept, F.when(folder, F.lit("/")).otherwise(F.lit("")))
+    head = F.concat(scheme(url), F.lit("://"), part(url, 2))
+    tail = F.concat(F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise(""), F.when(part(url, 5) != "", F.concat(F.lit("#"), part(url, 5))).otherwise(""))
+    return F.when(scheme(url).isin("http", "https") & p.rlike(r"(^|/)\.\.?(/|$)"), F.concat(head, clean, tail)).otherwise(url)
+
+
 def resolve(base: Column, href: Column) -> Column:
     """An href against its page, for absolute, `//host`, `/rooted`, `?query`, `#fragment` and relative forms.
 
-    Relative paths are joined to the page's folder; dot segments stay as they are.
+    Relative paths are joined to the page's folder, and the segments `.` and `..` of the joined path are resolved.
     """
     origin = F.concat(scheme(base), F.lit("://"), part(base, 2))
     folder = F.regexp_replace(F.concat(origin, raw_path(base)), r"(://[^/]*)?[^/]*$", "$1")
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    here = F.concat(origin, raw_path(base))
+    asked = F.when(query(base) != "", F.concat(F.lit("?"), query(base))).otherwise("")
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("?"), F.concat(origin, raw_path(base), href))
-        .when(href.startswith("#") | (href == ""), F.concat(origin, raw_path(base), F.when(query(base) != "", F.concat(F.lit("?"), query(base))).otherwise(""), href))
-        .otherwise(F.concat(folder, href))
+        .when(href.startswith("?"), F.concat(here, href))
+        .when(href.startswith("#") | (href == ""), F.concat(here, asked, href))
+        .otherwise(_without_dots(F.when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(folder, href))))
     )

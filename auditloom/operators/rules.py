@@ -30,17 +30,18 @@ class Rule:
     guard: Column
     current: Column | None = None
     element: Column | None = None
+    report: str | None = None
 
 
 def evaluate(rows: DataFrame, rules: list[Rule], report: str = "", url: str = "url") -> DataFrame:
     """One row (url, severity, category, issue, current_value, element, report) for each rule that fires on a row."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit("")) if c is not None else F.lit("")
     fired = [
-        F.when(r.guard, F.struct(F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.issue).alias("issue"), text(r.current).alias("current_value"), text(r.element).alias("element")))
+        F.when(r.guard, F.struct(F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.issue).alias("issue"), text(r.current).alias("current_value"), text(r.element).alias("element"), F.lit(r.report or report).alias("report")))
         for r in rules
     ]
     out = rows.select(F.col(url).alias("url"), F.explode(F.array_compact(F.array(*fired))).alias("i"))
-    return out.select("url", "i.*", F.lit(report).alias("report"))
+    return out.select("url", "i.*")
 
 
 def _by_severity(severity: Column, position: int, default) -> Column:

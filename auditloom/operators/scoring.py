@@ -72,8 +72,11 @@ def issue_id(report: Column, url: Column, issue: Column, current: Column, elemen
 
 
 def merge_reports(issues: DataFrame) -> DataFrame:
-    """The same problem found by several reports as one row, with the gravest severity and the reports' names."""
-    merged = issues.groupBy("url", F.lower("issue").alias("key"), "current_value", "element").agg(
+    """The same problem found by several reports as one row, with the gravest severity and the reports' names.
+
+    Problems are the same if url, issue, current value, element and, where the issues have them, details agree."""
+    details = ["details"] if "details" in issues.columns else []
+    merged = issues.groupBy("url", F.lower(F.trim("issue")).alias("key"), "current_value", "element", *details).agg(
         F.min(F.struct(rank(F.col("severity")).alias("rank"), "severity", "issue")).alias("top"), F.array_sort(F.collect_set("report")).alias("reports")
     )
     return merged.select("url", "top.issue", "top.severity", "current_value", F.array_join("reports", ", ").alias("reported_by"))
@@ -125,7 +128,7 @@ def checklist(checks: DataFrame, sources: DataFrame, issues: DataFrame, ran: Dat
         .when(F.col("n_matched") > 0, F.when(F.array_contains("fails", worst), "FAIL").otherwise("WARN")).when(F.col("n_undone") > 0, "SKIP").otherwise("PASS")
     )
     said = human.where((F.coalesce("server", F.lit("")) == "") | (F.lit(server) == "") | (F.col("server") == server)).select("id", F.upper("status").alias("said"))
-    rows = rows.withColumn("auto_status", auto).join(F.broadcast(said), "id", "left")
+    rows = rows.withColumn("auto_status", auto).join(said, "id", "left")
     return rows.select("id", "auto_status", F.coalesce("said", "auto_status").alias("status"), F.col("n_matched").cast("long").alias("n_matched"), F.col("pages").cast("long").alias("pages"))
 
 

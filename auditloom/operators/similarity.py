@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from .graph import cut_lineage
 
-HASHES, BANDS, THRESHOLD = 96, 12, 0.90
+HASHES, BANDS, THRESHOLD, BLOCK = 96, 12, 0.90, 256
 _rng = random.Random(7)
 #: Seeds that a 32-bit hash is combined with, drawn from a fixed generator so that signatures are reproducible.
 SEEDS = [_rng.getrandbits(32) for _ in range(HASHES)]
@@ -33,6 +32,12 @@ def shingle_hashes_md5(words: Column, k: int = 5) -> Column:
     return F.array_distinct(F.transform(parts, lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("long")))
 
 
+def shingle_hashes_crc32(words: Column, k: int = 5) -> Column:
+    """The same by the crc32 of each shingle."""
+    n = F.greatest(F.lit(1), F.size(words) - (k - 1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.crc32(F.array_join(F.slice(words, i, k), " ").cast("binary"))))
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def signature(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """For each seed the smallest exclusive-or of a hash with it: Arrow batches in, numpy inside."""
@@ -41,27 +46,27 @@ def signature(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([(np.asarray(h, np.int64)[:, None] ^ seeds).min(axis=0) if h is not None and len(h) else None for h in batch])
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def shingle_hashes_crc32(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in words:
-        yield pd.Series([np.unique([zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))]) if w is not None and len(w) else [] for w in batch])
-
-
 def near_pairs(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity) of different signatures of (id, sig) that agree on at least `threshold` of their values.
 
     Rows with equal signatures form a class, named by its smallest id; pairs are between classes, so copies are
-    never multiplied. Candidates share a band of 8 of the 96 values. Pairs at 0.90 differ in 9 values at most
-    and those spoil 9 of the 12 bands at most, so no pair is lost.
+    never multiplied (`members` has them all). Candidates share a band of 8 of the 96 values. Pairs at 0.90 differ in
+    9 values at most and those spoil 9 of the 12 bands at most, so no pair is lost. Bands travel without signatures,
+    and one with many classes is dealt over pairs of blocks of BLOCK classes; signatures are fetched once for a pair.
     """
-    classes = signed.groupBy("sig").agg(F.min("id").alias("rep"))
+    classes = cut_lineage(signed.groupBy("sig").agg(F.min("id").alias("rep")))
     size = HASHES // BANDS
     key = lambda b: F.xxhash64(b, F.array_join(F.slice("sig", b * size + 1, size), ","))
-    bands = classes.select("rep", "sig", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("band"))
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep"))
-    pairs = bands.alias("x").join(bands.alias("y"), same).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.sig").alias("sa"), F.col("y.sig").alias("sb")).dropDuplicates(["a", "b"])
+    bands = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("band"))
+    full = bands.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = bands.join(full, "band").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("side", "other").alias("s1"), F.greatest("side", "other").alias("s2"), "side", "rep")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "s1", "s2")]
+    apart = (F.col("x.rep") < F.col("y.rep")) & ((F.col("x.s1") == F.col("x.s2")) | (F.col("x.side") != F.col("y.side")))
+    pairs = dealt.alias("x").join(dealt.alias("y"), same[0] & same[1] & same[2] & apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    both = pairs.join(classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
     equal = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    return pairs.withColumn("similarity", equal / F.lit(float(HASHES))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return both.withColumn("similarity", equal / F.lit(float(HASHES))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def members(signed: DataFrame) -> DataFrame:

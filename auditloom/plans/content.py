@@ -74,7 +74,7 @@ def flesch(spark, sf_dir):
     return rows.select("doc_id", F.round(ease, 1).alias("flesch"), F.round(F.col("n") / F.col("s"), 1).alias("words_per_sentence"))
 
 
-@query("WITH k AS (SELECT doc_id, count(*) OVER (PARTITION BY lower(text)) AS n FROM documents) SELECT doc_id, n::BIGINT AS n_copies FROM k WHERE n > 1")
+@query("WITH k AS (SELECT doc_id, count(*) OVER (PARTITION BY lower(coalesce(text, ''))) AS n FROM documents) SELECT doc_id, n::BIGINT AS n_copies FROM k WHERE n > 1")
 def exact_duplicates(spark, sf_dir):
     return similarity.exact_copies(documents(spark, sf_dir), F.col("text")).where("n_copies > 1").select("doc_id", "n_copies")
 
@@ -102,7 +102,7 @@ def near_duplicates_md5(spark, sf_dir):
 def near_duplicates_crc32(spark, sf_dir):
     """The same with crc32 hashes; SQL has none, so the tests compare it with brute force."""
     rows = documents(spark, sf_dir).withColumn("w", _words(F.col("text"))).where(F.size("w") > 0)
-    return similarity.near_pairs(rows.select(F.col("doc_id").alias("id"), similarity.signature(similarity.shingle_hashes_crc32("w")).alias("sig")))
+    return similarity.near_pairs(rows.select(F.col("doc_id").alias("id"), similarity.signature(similarity.shingle_hashes_crc32(F.col("w"))).alias("sig")))
 
 
 @query(rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents),
@@ -120,7 +120,7 @@ def near_duplicate_members_md5(spark, sf_dir):
 def near_duplicate_members_crc32(spark, sf_dir):
     """The same for `near_duplicates_crc32`."""
     rows = documents(spark, sf_dir).withColumn("w", _words(F.col("text"))).where(F.size("w") > 0)
-    found = similarity.members(rows.select(F.col("doc_id").alias("id"), similarity.signature(similarity.shingle_hashes_crc32("w")).alias("sig")))
+    found = similarity.members(rows.select(F.col("doc_id").alias("id"), similarity.signature(similarity.shingle_hashes_crc32(F.col("w"))).alias("sig")))
     return found.select(F.col("id").alias("doc_id"), "rep")
 
 
@@ -141,13 +141,18 @@ def placeholder_text(spark, sf_dir):
     return hits(rows, PLACEHOLDER, "low").select("doc_id", F.trim("hit").alias("hit")).distinct()
 
 
-@query("SELECT doc_id, (" + " + ".join(f"contains(lower(text), {lit(p)})::BIGINT" for p in (*FILLER, " of the ", " and the ", "licensed under")) + ")::BIGINT AS n_phrases FROM documents WHERE " + "(" + " + ".join(f"contains(lower(text), {lit(p)})::BIGINT" for p in (*FILLER, " of the ", " and the ", "licensed under")) + ") >= 2")
+@query("WITH p AS (SELECT unnest([" + ", ".join(lit(p) for p in FILLER) + r"""]) AS phrase), h AS (SELECT doc_id, text, phrase, strpos(lower(text), phrase) AS place FROM documents, p WHERE contains(lower(text), phrase)),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, text) AS n_phrases FROM h)
+SELECT doc_id, phrase, n_phrases::BIGINT AS n_phrases, substr(text, greatest(1, place - 50)::BIGINT, (place - greatest(1, place - 50) + length(phrase) + 50)::BIGINT) AS context FROM n WHERE n_phrases >= 3""")
 def filler_phrases(spark, sf_dir):
-    """Texts with two or more phrases; three frequent ones are added, as invented prose has no filler."""
+    """Each filler phrase, with its surroundings, of texts that have three or more of the 20; none in invented prose."""
     low = F.lower("text")
-    phrases = (*FILLER, " of the ", " and the ", "licensed under")
-    n = sum((F.when(low.contains(p), 1).otherwise(0) for p in phrases[1:]), F.when(low.contains(phrases[0]), 1).otherwise(0))
-    return documents(spark, sf_dir).select("doc_id", n.cast("long").alias("n_phrases")).where("n_phrases >= 2")
+    found = F.array_compact(F.array(*[F.when(low.contains(p), F.lit(p)) for p in FILLER]))
+    rows = documents(spark, sf_dir).withColumn("found", found).where(F.size("found") >= 3)
+    rows = rows.select("doc_id", "text", F.size("found").cast("long").alias("n_phrases"), F.explode("found").alias("phrase"))
+    at = F.expr("locate(phrase, lower(text))")
+    start = F.greatest(F.lit(1), at - 50)
+    return rows.select("doc_id", "phrase", "n_phrases", F.substring("text", start, at - start + F.length("phrase") + 50).alias("context"))
 
 
 @query("WITH n AS (SELECT doc_id, (" + " + ".join(f"contains(lower(text), {lit(p)})::BIGINT" for p in FILLER) + ")::BIGINT AS n_phrases FROM documents) SELECT doc_id, n_phrases FROM n WHERE n_phrases >= 3")
@@ -205,14 +210,13 @@ def vocabulary(spark, sf_dir):
     return words.groupBy("word", "doc_id").agg(F.count("*").alias("k")).groupBy("word").agg(F.count("*").alias("n_docs"), F.sum("k").alias("n"))
 
 
-@query(r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS word FROM documents),
-v AS (SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 4)
-SELECT x.word, y.word AS suggestion, levenshtein(x.word, y.word)::BIGINT AS distance FROM v x JOIN v y
-ON x.n < y.n AND abs(length(x.word) - length(y.word)) <= 1 AND levenshtein(x.word, y.word) = 1""")
-def typo_candidates(spark, sf_dir):
-    """Words of six letters and more, seen four times or more, one edit from a more frequent one."""
-    words = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word"))
-    return similarity.near_misses(words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 4"))
+MISSPELLINGS_SQL = r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), v AS (SELECT word, count(*) AS n FROM w GROUP BY 1),
+one AS (SELECT word, n, word AS k FROM v UNION SELECT word, n, left(word, i - 1) || substr(word, i + 1) FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+two AS (SELECT word, n, k FROM one UNION SELECT word, n, left(k, i - 1) || substr(k, i + 1) FROM (SELECT word, n, k, unnest(range(1, length(k) + 1)) AS i FROM one)),
+p AS (SELECT DISTINCT x.word, y.word AS suggestion, y.n FROM two x JOIN two y ON x.k = y.k AND x.n < y.n AND y.n >= 4 AND x.word <> y.word WHERE length(x.word) BETWEEN 3 AND 18),
+m AS (SELECT word, suggestion, levenshtein(word, suggestion)::BIGINT AS distance, n FROM p WHERE levenshtein(word, suggestion) <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY (left(word, 1) = left(suggestion, 1))::INT + (left(word, 2) = left(suggestion, 2))::INT + (left(word, 3) = left(suggestion, 3))::INT
+  + (left(word, 4) = left(suggestion, 4))::INT DESC, n / pow(10.0, distance) DESC, suggestion) AS rn FROM m)"""
 
 
 def _misspellings(spark, sf_dir):
@@ -222,21 +226,37 @@ def _misspellings(spark, sf_dir):
     return similarity.near_misses(counted.where(F.length("word").between(3, 18)), 2, known), known
 
 
-@query()
+@query(MISSPELLINGS_SQL + " SELECT word, suggestion, distance FROM m")
 def misspellings(spark, sf_dir):
     """Words of 3 to 18 letters, seen any number of times, one or two edits from a more frequent one that is seen KNOWN
-    times or more. SQL would compare all words with all; the tests compare it with brute force."""
+    times or more."""
     return _misspellings(spark, sf_dir)[0]
 
 
-@query()
-def ranked_misspellings(spark, sf_dir):
-    """The six best suggestions of each: shared start of up to four letters first, then frequency, ten times less per edit."""
+def _ranked(spark, sf_dir, most):
     found, known = _misspellings(spark, sf_dir)
     pairs = found.join(known.select(F.col("word").alias("suggestion"), F.col("n").alias("m")), "suggestion")
-    start = sum((F.left("word", F.lit(i)) == F.left("suggestion", F.lit(i))).cast("int") for i in range(1, 5))
+    start = sum(((F.left("word", F.lit(i)) == F.left("suggestion", F.lit(i))).cast("int") for i in range(2, 5)), (F.left("word", F.lit(1)) == F.left("suggestion", F.lit(1))).cast("int"))
     order = [F.desc(start), F.desc(F.col("m") / F.pow(F.lit(10.0), F.col("distance"))), F.col("suggestion")]
-    return top_per_group(pairs, "word", order, 6).select("word", "suggestion", "rn")
+    return top_per_group(pairs, "word", order, most)
+
+
+@query(MISSPELLINGS_SQL + " SELECT word, suggestion, rn::INTEGER AS rn FROM r WHERE rn <= 6")
+def ranked_misspellings(spark, sf_dir):
+    """The six best suggestions of each: shared start of up to four letters first, then frequency, ten times less per edit."""
+    return _ranked(spark, sf_dir, 6).select("word", "suggestion", "rn")
+
+
+@query(MISSPELLINGS_SQL + " SELECT word, suggestion, distance FROM r WHERE rn = 1")
+def typo_candidates(spark, sf_dir):
+    """Each probable misspelling with its best suggestion."""
+    return _ranked(spark, sf_dir, 1).select("word", "suggestion", "distance")
+
+
+@query(MISSPELLINGS_SQL + " SELECT word, suggestion, rn::INTEGER AS rn FROM r WHERE rn <= 6")
+def ranked_suggestions(spark, sf_dir):
+    """The same as `ranked_misspellings`, under its earlier name."""
+    return ranked_misspellings(spark, sf_dir)
 
 
 @query(r"""WITH l AS (SELECT conv_id, turn, role, trim(text) AS text FROM conversations WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) * 2 >= length(regexp_replace(text, '\s', '', 'g')))

@@ -16,16 +16,17 @@ GENERIC_ANCHORS = ("click here", "here", "read more", "more", "learn more", "lin
 MAX_LINKS, MIN_INTERNAL, MAX_DEPTH = 150, 3, 3
 
 LINKS_SQL = "WITH " + FACTS_SQL + "," + URL_SQL + r""", a AS (
-  SELECT page_id, url, unnest(regexp_extract_all(body, '(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>')) AS tag FROM facts
+  SELECT page_id, url, unnest(tags) AS tag, generate_subscripts(tags, 1) AS nth
+  FROM (SELECT page_id, url, regexp_extract_all(body, '(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>') AS tags FROM facts)
 ), links AS (
-  SELECT page_id, url, regexp_extract(tag, '(?is)href="([^"]*)"', 1) AS href,
+  SELECT page_id, url, nth, regexp_extract(tag, '(?is)href="([^"]*)"', 1) AS href,
     trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(tag, '<[^>]*>', ' ', 'g'),
       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS label
   FROM a
 ), edges AS (
-  SELECT DISTINCT bare_host AS graph, path AS src, CASE WHEN regexp_replace(regexp_extract(href, '^([^?#]*)', 1), '/+$', '') = '' THEN '/'
-    ELSE regexp_replace(regexp_extract(href, '^([^?#]*)', 1), '/+$', '') END AS dst
-  FROM links JOIN urls USING (page_id) WHERE href LIKE '/%' AND href NOT LIKE '//%'
+  SELECT DISTINCT bare_host AS graph, path AS src, CASE WHEN regexp_replace(dst, '/+$', '') = '' THEN '/' ELSE regexp_replace(dst, '/+$', '') END AS dst
+  FROM (SELECT *, regexp_extract(CASE WHEN href LIKE '/%' THEN href WHEN href = '' OR href LIKE '#%' OR href LIKE '?%' THEN raw_path ELSE regexp_replace(raw_path, '[^/]*$', '') || href END, '^([^?#]*)', 1) AS dst
+    FROM links JOIN urls USING (page_id) WHERE href NOT LIKE '//%' AND NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:'))
 )"""
 
 
@@ -73,21 +74,25 @@ def orphan_pages(spark, sf_dir):
     return graph.unlinked(nodes, edges(spark, sf_dir)).select("url")
 
 
-@query(LINKS_SQL + r""", roots AS (SELECT bare_host AS graph, min(path) AS node FROM urls GROUP BY 1),
-e AS (SELECT graph, src, dst FROM edges UNION SELECT graph, dst, src FROM edges),
-walk AS (
-  SELECT r.graph, r.node, 0 AS depth FROM roots r
-  UNION SELECT e.graph, e.dst, 1 FROM roots r JOIN e ON e.graph = r.graph AND e.src = r.node
-  UNION SELECT e2.graph, e2.dst, 2 FROM roots r JOIN e ON e.graph = r.graph AND e.src = r.node JOIN e e2 ON e2.graph = e.graph AND e2.src = e.dst
-  UNION SELECT e3.graph, e3.dst, 3 FROM (SELECT DISTINCT e2.graph, e2.dst FROM roots r JOIN e ON e.graph = r.graph AND e.src = r.node JOIN e e2 ON e2.graph = e.graph AND e2.src = e.dst) x
-    JOIN e e3 ON e3.graph = x.graph AND e3.src = x.dst
-) SELECT graph AS host, node, min(depth)::BIGINT AS depth FROM walk GROUP BY 1, 2""")
+ROOTS_SQL = r""", roots AS (SELECT graph, min(node) AS node FROM (SELECT bare_host AS graph, path AS node FROM urls UNION SELECT graph, '/' FROM edges WHERE src = '/' OR dst = '/') GROUP BY 1)"""
+
+
+def _roots(nodes, one_way):
+    """Each site's "/", or its first path if it has no "/"."""
+    home = one_way.where("src = '/' OR dst = '/'").select("graph", F.lit("/").alias("node"))
+    return nodes.union(home).groupBy("graph").agg(F.min("node").alias("node"))
+
+
+@query(LINKS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ROOTS_SQL + r""", walk(graph, node, depth) USING KEY (graph, node) AS (
+  SELECT graph, node, 0 FROM roots
+  UNION SELECT e.graph, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.graph = w.graph AND e.src = w.node AND e.src <> e.dst
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.graph = e.graph AND r.node = e.dst)
+) SELECT graph AS host, node, depth::BIGINT AS depth FROM walk""")
 def bfs_depth(spark, sf_dir):
-    """Click depth up to three from each site's first path, links taken both ways as stored pages do not link to each other."""
+    """Clicks from each site's root to every path that links lead to, one way, to the end of the walk."""
     one_way = edges(spark, sf_dir)
-    both = one_way.union(one_way.select("graph", F.col("dst"), F.col("src")))
-    roots = table(spark, sf_dir, "pages").groupBy(U.bare_host(F.col("url")).alias("graph")).agg(F.min(U.path(F.col("url"))).alias("node"))
-    return graph.bfs_depth(both, roots, MAX_DEPTH).select(F.col("graph").alias("host"), "node", "depth")
+    nodes = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("graph"), U.path(F.col("url")).alias("node")).distinct()
+    return graph.bfs_depth(one_way, _roots(nodes, one_way)).select(F.col("graph").alias("host"), "node", "depth")
 
 
 @query()
@@ -99,11 +104,9 @@ def click_depth(spark, sf_dir):
     """
     one_way = edges(spark, sf_dir)
     nodes = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("graph"), U.path(F.col("url")).alias("node")).distinct()
-    home = one_way.where("src = '/' OR dst = '/'").select("graph", F.lit("/").alias("node"))
-    roots = nodes.union(home).groupBy("graph").agg(F.min("node").alias("node"))
     unreached = F.when(F.col("linked"), "Not reachable from homepage by links").otherwise("Orphan page")
     problem = F.when(F.col("depth").isNull(), unreached).when(F.col("depth") > MAX_DEPTH, "Page too deep")
-    return graph.all_depths(nodes, one_way, roots).select(F.col("graph").alias("host"), "node", "depth", problem.alias("problem"))
+    return graph.all_depths(nodes, one_way, _roots(nodes, one_way)).select(F.col("graph").alias("host"), "node", "depth", problem.alias("problem"))
 
 
 @query(r"""WITH RECURSIVE h AS (
@@ -122,18 +125,20 @@ def redirect_closure(spark, sf_dir):
     return graph.redirect_closure(hops)
 
 
-@query(LINKS_SQL + " SELECT url, label AS anchor, (trim(lower(label), ' .→›»>') IN (" + ", ".join(f"'{a}'" for a in GENERIC_ANCHORS) + ")) AS generic, label = '' AS unnamed FROM links WHERE length(label) <= 4 OR label = ''")
+@query(LINKS_SQL + " SELECT url, href, label AS anchor, trim(lower(label), ' .→›»>') IN (" + ", ".join(f"'{a}'" for a in GENERIC_ANCHORS) + ") AS generic, label = '' AS unnamed FROM links")
 def generic_anchors(spark, sf_dir):
-    """Short link texts, and whether they are generic or missing."""
+    """Every link, with whether its text says nothing about the target, or is missing."""
     bare = F.regexp_replace(F.lower("label"), r"^[ .→›»>]+|[ .→›»>]+$", "")
-    rows = links(spark, sf_dir).where(F.length("label") <= 4)
-    return rows.select("url", F.col("label").alias("anchor"), bare.isin(*GENERIC_ANCHORS).alias("generic"), (F.col("label") == "").alias("unnamed"))
+    return links(spark, sf_dir).select("url", "href", F.col("label").alias("anchor"), bare.isin(*GENERIC_ANCHORS).alias("generic"), (F.col("label") == "").alias("unnamed"))
 
 
-@query(LINKS_SQL + r""", f AS (SELECT *, row_number() OVER (PARTITION BY url, href ORDER BY label) AS rn FROM links) SELECT url, href, label AS anchor FROM f WHERE rn = 1""")
+@query(LINKS_SQL + r""", f AS (SELECT *, row_number() OVER (PARTITION BY url, href ORDER BY nth, label) AS rn FROM links) SELECT url, href, label AS anchor FROM f WHERE rn = 1""")
 def first_source_label(spark, sf_dir):
-    """One label for each page and target: the least, by a partial minimum."""
-    return links(spark, sf_dir).groupBy("url", "href").agg(F.min("label").alias("anchor"))
+    """The label of the first link of each page to each target, by a partial minimum of (place, label)."""
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select("url", F.posexplode(H.anchors(F.col("html"))).alias("at", "a"))
+    first = rows.groupBy("url", F.col("a.href").alias("href")).agg(F.min(F.struct("at", F.col("a.label").alias("label"))).alias("f"))
+    return first.select("url", "href", F.col("f.label").alias("anchor"))
 
 
 @query("WITH " + FACTS_SQL + r""", t AS (

@@ -73,11 +73,17 @@ def h1_pack() -> list[Rule]:
     ]
 
 
+def counted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts with numbers of headings and of pages with the same title; pages without a title are dealt out by url."""
+    title = F.lower(F.trim("title"))
+    key = F.when(title != "", title).otherwise(F.concat(F.lit("\u0000"), "url"))
+    same = F.when(F.trim("title") != "", F.count("*").over(Window.partitionBy(key))).otherwise(1)
+    return facts(spark, sf_dir).withColumns({"n_h1": H.count_elements(F.col("html"), "h1"), "n_h2": H.count_elements(F.col("html"), "h2"), "n_same": same})
+
+
 def page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and H1 issues of all pages: one pass over the pages, one shuffle for the duplicate titles."""
-    same = F.when(F.trim("title") != "", F.count("*").over(Window.partitionBy(F.lower(F.trim("title"))))).otherwise(1)
-    rows = facts(spark, sf_dir).withColumns({"n_h1": H.count_elements(F.col("html"), "h1"), "n_h2": H.count_elements(F.col("html"), "h2"), "n_same": same})
-    return evaluate(rows, [*title_pack(), *h1_pack()], report="02_page_seo")
+    return evaluate(counted_facts(spark, sf_dir), [*title_pack(), *h1_pack()], report="02_page_seo")
 
 
 ISSUES_SQL = FACTS_SQL + r""", counted AS (
@@ -144,13 +150,16 @@ SELECT url, unnest(list_filter([
   CASE WHEN contains(url, '?') THEN 'query parameters' END], lambda x: x IS NOT NULL)) AS problem
 FROM urls""")
 def url_friendliness(spark, sf_dir):
-    p = F.col("path")
     rows = table(spark, sf_dir, "pages").select("url", U.path(F.col("url")).alias("path"))
-    problems = [
+    return rows.select("url", _listed(url_problems(F.col("path"), F.col("url"))).alias("problem"))
+
+
+def url_problems(p, url) -> list[tuple]:
+    """What makes a url unfriendly, with the condition for it."""
+    return [
         ("uppercase", p != F.lower(p)), ("underscores", p.contains("_")), ("encoded characters", p.rlike(r"(?i)%[0-9a-f]{2}|\s")), ("long", F.length(p) > 75),
-        ("deep", F.regexp_count(p, F.lit("/")) > 3), ("IDs/hashes instead of words", p.rlike("[0-9]{5,}|[a-f0-9]{12,}")), ("query parameters", F.col("url").contains("?")),
+        ("deep", F.regexp_count(p, F.lit("/")) > 3), ("IDs/hashes instead of words", p.rlike("[0-9]{5,}|[a-f0-9]{12,}")), ("query parameters", url.contains("?")),
     ]
-    return rows.select("url", _listed(problems).alias("problem"))
 
 
 @query("WITH " + URL_SQL + r"""

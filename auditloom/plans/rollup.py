@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
+from auditloom.functions import urls as U
 from auditloom.operators import scoring
+from auditloom.operators.graph import cut_lineage
+from auditloom.operators.rules import Rule, evaluate
 
-from .onpage import ISSUES_SQL, URL_SQL, page_issues, url_friendliness
+from .onpage import ISSUES_SQL, URL_SQL, counted_facts, h1_pack, title_pack, url_problems
 from .registry import query, table
 
 #: Categories of the health score with their weights and reports.
@@ -75,13 +80,13 @@ BOTH_SQL = "WITH " + ISSUES_SQL + "," + URL_SQL + r""", u AS (
 
 
 def every_issue(spark, sf_dir):
-    """Issues of three reports: the page rules, the url rules, and the title rules as the all-in-one report spells them."""
-    own = page_issues(spark, sf_dir)
-    url = url_friendliness(spark, sf_dir).select(
-        "url", F.lit("Optimization").alias("severity"), F.lit("URL").alias("category"), F.lit("URL not SEO-friendly").alias("issue"), F.col("problem").alias("current_value"), F.lit("").alias("element"), F.lit("url_report").alias("report")
-    )
-    again = own.where("category = 'Title'").withColumns({"issue": F.upper("issue"), "report": F.lit("20_seo_report")})
-    return own.unionByName(url).unionByName(again)
+    """Issues of three reports: the page rules, the url rules, and the title rules as the all-in-one report spells them.
+
+    One pass over the pages for all of them; queries that need the issues several times write them once."""
+    rows = counted_facts(spark, sf_dir).withColumn("path", U.path(F.col("url")))
+    url = [Rule("Optimization", "URL", "URL not SEO-friendly", c, F.lit(p), report="url_report") for p, c in url_problems(F.col("path"), F.col("url"))]
+    again = [replace(r, issue=r.issue.upper(), report="20_seo_report") for r in title_pack()]
+    return evaluate(rows, [*title_pack(), *h1_pack(), *url, *again], report="02_page_seo")
 
 
 @query(BOTH_SQL + r""", by_host AS (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS url, issue, current_value, element FROM every),
@@ -130,13 +135,13 @@ cs AS (SELECT category, weight, round(avg(score), 1)::DOUBLE AS score FROM cats
 
 def report_scores(spark, sf_dir):
     """(report, score) of the three reports: mean page scores, as none of their issues is site-level."""
-    pages = table(spark, sf_dir, "pages").select("url").distinct()
-    issues = every_issue(spark, sf_dir)
-    once = issues.select("report", "url", "severity", "issue").distinct()
-    taken = once.groupBy("report", "url").agg(F.sum(scoring.page_weight(F.col("severity"))).alias("d"))
-    grid = pages.join(F.broadcast(issues.select("report").distinct()))
-    score = F.greatest(F.lit(0), 100 - F.coalesce("d", F.lit(0)))
-    return grid.join(taken, ["report", "url"], "left").groupBy("report").agg(F.round(F.avg(score), 1).alias("score"))
+    total = table(spark, sf_dir, "pages").agg(F.count_distinct("url").alias("total"))
+    issues = every_issue(spark, sf_dir).select("report", "url", "severity", "issue").distinct()
+    taken = issues.groupBy("report", "url").agg(F.sum(scoring.page_weight(F.col("severity"))).alias("d"))
+    sums = taken.groupBy("report").agg(F.sum(F.greatest(F.lit(0), 100 - F.col("d"))).alias("left"), F.count("*").alias("n"))
+    # pages without an issue have all 100 points
+    score = (F.col("left") + 100 * (F.col("total") - F.col("n"))) / F.col("total")
+    return sums.join(F.broadcast(total)).select("report", F.round(score, 1).alias("score"))
 
 
 def _categories(spark):
@@ -179,7 +184,7 @@ res AS (
 
 @query(CHECK_SQL + " SELECT * FROM results")
 def checklist(spark, sf_dir):
-    issues = every_issue(spark, sf_dir)
+    issues = cut_lineage(every_issue(spark, sf_dir))
     checks = scoring.literal(spark, CHECKS, "id string, kind string, fails array<string>")
     sources = scoring.literal(spark, SOURCES, "id string, report string, issue_re string, category_re string, exclude_re string")
     human = scoring.literal(spark, HUMAN, "id string, status string, server string")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from auditloom.functions import classify as C
 from auditloom.functions import urls as U
 
-from .content import PHONE, documents, lit
+from auditloom.operators.graph import cut_lineage
+
+from .content import KNOWN, PHONE, documents, lit
 from .onpage import URL_SQL
 from .registry import query, table
 
@@ -121,28 +123,37 @@ def copyright_years(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.array_max(F.transform(years, lambda y: y.cast("int"))).alias("latest_year")).where("latest_year IS NOT NULL")
 
 
-@query(r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents), v AS (SELECT word, count(*) AS n FROM w GROUP BY 1),
-s AS (SELECT word, left(word, i) AS a, substr(word, i + 1) AS b, i FROM v, unnest(range(3, length(word) - 2)) AS t(i) WHERE length(word) BETWEEN 8 AND 14 AND n >= 5)
-SELECT s.word, min(i)::INTEGER AS cut FROM s JOIN v x ON x.word = a AND x.n >= 50 JOIN v y ON y.word = b AND y.n >= 50 GROUP BY 1""")
+#: Beginnings and endings that make a compound with one known word.
+BEGINNINGS = "sub re pre un post auto multi micro macro meta mono cross inter hyper".split()
+ENDINGS = "up in on out off to set grid base time store flow pack kit stack".split()
+
+
+@query(rf"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word FROM documents), v AS (SELECT word, count(*) AS n FROM w GROUP BY 1), k AS (SELECT word FROM v WHERE n >= 4),
+s AS (SELECT word, i, left(word, i) AS a, substr(word, i + 1) AS b FROM v, unnest(range(2, length(word) - 1)) AS t(i) WHERE length(word) >= 5)
+SELECT word, min(i)::INTEGER AS cut FROM s WHERE (a IN ({", ".join(map(lit, BEGINNINGS))}) AND length(b) > 2 AND b IN (SELECT word FROM k))
+  OR (b IN ({", ".join(map(lit, ENDINGS))}) AND length(a) > 2 AND a IN (SELECT word FROM k)) OR (length(a) > 2 AND length(b) > 2 AND a IN (SELECT word FROM k) AND b IN (SELECT word FROM k)) GROUP BY 1""")
 def compound_words(spark, sf_dir):
-    """Words of 8 to 14 letters made of two frequent ones: splits joined with the vocabulary, each side by equality."""
-    words = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    n = F.length("word")
-    splits = words.where(n.between(8, 14) & (F.col("n") >= 5)).select("word", F.explode(F.sequence(F.lit(3), n - 3)).alias("cut"))
+    """Words of five letters and more made of two known words, or of one and a common beginning or ending, with the first
+    such cut. A word seen KNOWN times counts as known, for lack of a dictionary; both sides meet it by equality."""
+    words = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    words = cut_lineage(words.groupBy("word").agg(F.count("*").alias("n")))
+    splits = words.where(F.length("word") >= 5).select("word", F.explode(F.sequence(F.lit(2), F.length("word") - 2)).alias("cut"))
     splits = splits.select("word", "cut", F.substring("word", F.lit(1), F.col("cut")).alias("a"), F.substring("word", F.col("cut") + 1, F.length("word")).alias("b"))
-    frequent = words.where("n >= 50")
-    both = splits.join(frequent.select(F.col("word").alias("a")), "a", "left_semi").join(frequent.select(F.col("word").alias("b")), "b", "left_semi")
-    return both.groupBy("word").agg(F.min("cut").alias("cut"))
+    known = words.where(F.col("n") >= KNOWN)
+    first, second = (known.select(F.col("word").alias(c), F.lit(True).alias(f"known_{c}")) for c in "ab")
+    met = splits.join(first, "a", "left").join(second, "b", "left")
+    whole = lambda c: F.coalesce(f"known_{c}", F.lit(False)) & (F.length(c) > 2)
+    fits = (F.col("a").isin(BEGINNINGS) & whole("b")) | (F.col("b").isin(ENDINGS) & whole("a")) | (whole("a") & whole("b"))
+    return met.where(fits).groupBy("word").agg(F.min("cut").alias("cut"))
 
 
 @query("WITH " + URL_SQL + r""", sec AS (SELECT DISTINCT bare_host, '/' || string_split(raw_path, '/')[2] || '/' AS prefix FROM urls WHERE len(string_split(raw_path, '/')) > 2)
 SELECT s.bare_host AS host, prefix, count(*)::BIGINT AS pages FROM sec s JOIN urls u ON u.bare_host = s.bare_host AND starts_with(u.raw_path, prefix) GROUP BY 1, 2""")
 def hub_coverage(spark, sf_dir):
-    """Pages under each section of a site: an equi-join on the site with a prefix residual."""
+    """Pages under each section of a site: a path belongs to the section of its first segment, so counts need no join."""
     rows = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("host"), U.raw_path(F.col("url")).alias("path"))
     parts = F.split("path", "/")
-    hubs = rows.where(F.size(parts) > 2).select(F.col("host").alias("h"), F.concat(F.lit("/"), F.element_at(parts, 2), F.lit("/")).alias("prefix")).distinct()
-    return rows.join(hubs, (F.col("host") == F.col("h")) & F.startswith("path", "prefix")).groupBy("host", "prefix").agg(F.count("*").alias("pages"))
+    return rows.where(F.size(parts) > 2).groupBy("host", F.concat(F.lit("/"), F.element_at(parts, 2), F.lit("/")).alias("prefix")).agg(F.count("*").alias("pages"))
 
 
 AUDITS = [("a", 0.3, "binary", "See [docs](https://d.org/x) for `code`"), ("b", 0.7, "numeric", "plain"), ("c", 0.95, "numeric", "[only](http://o.org)"), ("d", None, "manual", "m"), ("e", None, "numeric", "")]
@@ -197,26 +208,12 @@ def consensus(spark, sf_dir):
     return joined.groupBy("c_nationkey").agg(F.first("h.c_mktsegment").alias("main"), F.first("total").alias("total"), F.count_if(minority).alias("minorities"))
 
 
-@query(r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS word FROM documents), v AS (SELECT word, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 4),
-p AS (SELECT x.word, y.word AS suggestion, y.n, CASE WHEN left(x.word, 1) = left(y.word, 1) THEN 1 ELSE 0 END AS same_start FROM v x JOIN v y ON x.n < y.n AND abs(length(x.word) - length(y.word)) <= 1 AND levenshtein(x.word, y.word) = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY same_start DESC, n DESC, suggestion) AS rn FROM p) SELECT word, suggestion, rn::INTEGER AS rn FROM r WHERE rn <= 6""")
-def ranked_suggestions(spark, sf_dir):
-    """The six best suggestions of each rare word: same first letter first, then by frequency."""
-    from auditloom.operators.metrics import top_per_group
-    from auditloom.operators.similarity import near_misses
-
-    words = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 4")
-    pairs = near_misses(words).join(words.select(F.col("word").alias("suggestion"), F.col("n").alias("m")), "suggestion")
-    order = [F.desc(F.left("word", F.lit(1)) == F.left("suggestion", F.lit(1))), F.desc("m"), F.col("suggestion")]
-    return top_per_group(pairs, "word", order, 6).select("word", "suggestion", "rn")
-
-
-ROBOTS = [("a.com", "User-agent: *\nDisallow: /en/1\nAllow: /en/12\nSitemap: http://a.com/s.xml")]
+ROBOTS = [("a.com", "User-agent: one\nUser-agent: *  # everyone\nAllow: /en/12\nDisallow: /en/1\nDisallow: /de/\nSitemap: http://a.com/s.xml\n\nDisallow: /fr/\n\nUser-agent: two\nDisallow: /")]
 
 
-@query("WITH " + URL_SQL + r"""SELECT DISTINCT raw_path AS path, NOT starts_with(raw_path, '/en/1') OR starts_with(raw_path, '/en/12') AS allowed FROM urls""")
+@query("WITH " + URL_SQL + r"""SELECT DISTINCT raw_path AS path, starts_with(raw_path, '/en/12') OR NOT (starts_with(raw_path, '/en/1') OR starts_with(raw_path, '/de/')) AS allowed FROM urls""")
 def robots_allowed(spark, sf_dir):
-    """Paths of stored pages against one robots file; the longest rule decides."""
+    """Paths of stored pages against one robots file: the first fitting rule of the group decides; rules outside a group do not count."""
     from auditloom.sources import tables
 
     paths = table(spark, sf_dir, "pages").select(F.lit("a.com").alias("host"), U.raw_path(F.col("url")).alias("path")).distinct()
@@ -260,7 +257,6 @@ def jsonld_types(spark, sf_dir):
 def page_element_issues(spark, sf_dir):
     """Heading, image, accessibility and social issues of all pages, from one parse; nesting is not SQL."""
     from auditloom.operators import element_rules as E
-    from auditloom.operators.graph import cut_lineage
     from auditloom.sources.elements import html_elements
 
     rows = cut_lineage(html_elements(table(spark, sf_dir, "pages")))

@@ -3,7 +3,7 @@ tables with declared schemas; nothing here drives a browser or the network."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -20,7 +20,7 @@ SCHEMAS = {
 
 
 def facts(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A JSON fact table under its declared schema; malformed rows are dropped by the permissive reader's nulls."""
+    """A JSON fact table under its declared schema; a malformed row is kept with nulls, as the reader is permissive."""
     return spark.read.schema(SCHEMAS[name]).json(path)
 
 
@@ -38,21 +38,38 @@ def sitemap_entries(xml: DataFrame, column: str = "xml") -> DataFrame:
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
-    """(host, agent, kind, path) of the allow, disallow and sitemap lines of (host, body); rules follow their agent."""
-    from pyspark.sql import Window
-
-    lines = robots.select("host", F.posexplode(F.split("body", "\r?\n")).alias("n", "line"))
-    parsed = lines.select("host", "n", F.lower(F.regexp_extract("line", r"^\s*([A-Za-z-]+)\s*:", 1)).alias("kind"), F.trim(F.regexp_extract("line", r"^\s*[A-Za-z-]+\s*:\s*([^#]*)", 1)).alias("path"))
-    so_far = Window.partitionBy("host").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    agent = F.last(F.when(F.col("kind") == "user-agent", F.lower("path")), ignorenulls=True).over(so_far)
-    return parsed.withColumn("agent", agent).where(F.col("kind").isin("allow", "disallow", "sitemap") & (F.col("path") != "")).select("host", F.when(F.col("kind") != "sitemap", F.col("agent")).alias("agent"), "kind", "path")
+    """(host, group, agents, kind, path, at) of the allow, disallow and sitemap lines of (host, body), in the order of `at`.
+
+    User-agent lines that follow each other head one group, and the rules after them are for all of these agents. A
+    blank line ends a group; rules outside a group count for nobody. Sitemaps belong to no agent. Comments are cut.
+    """
+    lines = robots.select("host", F.posexplode(F.split("body", "\r?\n")).alias("at", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*", "")))
+    kind, value = F.lower(F.regexp_extract("line", r"^([A-Za-z-]+)\s*:", 1)), F.trim(F.regexp_extract("line", r"^[A-Za-z-]+\s*:\s*(.*)$", 1))
+    lines = lines.select("host", "at", kind.alias("kind"), value.alias("path"), (F.col("line") == "").alias("blank"))
+    agent, rule = F.col("kind") == "user-agent", F.col("kind").isin("allow", "disallow", "crawl-delay", "request-rate")
+    order = Window.partitionBy("host").orderBy("at")
+    events = lines.where(agent | rule | F.col("blank"))
+    head = agent & ~F.coalesce(F.lag(agent).over(order), F.lit(False))
+    events = events.withColumn("group", F.sum(F.when(head | F.col("blank"), 1).otherwise(0)).over(order))
+    agents = events.where(agent).groupBy("host", "group").agg(F.collect_set(F.lower("path")).alias("agents"))
+    rules = events.where(F.col("kind").isin("allow", "disallow")).join(agents, ["host", "group"]).select("host", "group", "agents", "kind", "path", "at")
+    sitemaps = lines.where("kind = 'sitemap' AND path <> ''").select("host", F.lit(None).cast("long").alias("group"), F.lit(None).cast("array<string>").alias("agents"), "kind", "path", "at")
+    return rules.unionByName(sitemaps)
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """(host, path, allowed): the longest fitting rule of the agent decides, allow among equals."""
-    own = rules.where((F.col("agent") == agent) & F.col("kind").isin("allow", "disallow")).select(F.col("host").alias("r_host"), "kind", F.col("path").alias("prefix"))
-    hit = urls.join(F.broadcast(own), (F.col("host") == F.col("r_host")) & F.startswith("path", "prefix"), "left")
-    best = hit.groupBy("host", "path").agg(F.max(F.struct(F.length("prefix").alias("n"), (F.col("kind") == "allow").alias("allow"))).alias("m"))
+    """(host, path, allowed): the first rule of the agent's group whose path starts the url's decides.
+
+    A named agent follows the first group that names it (a part of its name is enough), else the first one for `*`.
+    An empty disallow allows everything. Without a fitting rule a url is allowed.
+    """
+    name = agent.split("/")[0].lower()
+    own = rules.where(F.col("kind").isin("allow", "disallow")).withColumn("own", F.exists("agents", lambda a: (a != "*") & F.contains(F.lit(name), a))).withColumn("any", F.array_contains("agents", "*"))
+    first = own.groupBy("host").agg(F.coalesce(F.min(F.when(F.col("own"), F.col("group"))), F.min(F.when(F.col("any"), F.col("group")))).alias("group"))
+    allow = (F.col("kind") == "allow") | (F.col("path") == "")
+    group = own.join(first, ["host", "group"]).select(F.col("host").alias("r_host"), "at", allow.alias("allow"), F.regexp_replace("path", r"^\*$", "").alias("prefix"))
+    hit = urls.select("host", "path").join(group, (F.col("host") == F.col("r_host")) & F.startswith("path", "prefix"), "left")
+    best = hit.groupBy("host", "path").agg(F.min(F.when(F.col("at").isNotNull(), F.struct("at", "allow"))).alias("m"))
     return best.select("host", "path", F.coalesce("m.allow", F.lit(True)).alias("allowed"))
 
 

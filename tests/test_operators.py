@@ -220,7 +220,7 @@ def test_sources(spark):
     body = "User-agent: *\nDisallow: /x # no\nAllow: /x/y\nUser-agent: bot\nDisallow: /\nSitemap: http://a/s.xml"
     found = tables.robots_rules(spark.createDataFrame([("a", body)], "host string, body string"))
     asked = spark.createDataFrame([("a", "/x/1"), ("a", "/x/y/2"), ("a", "/z"), ("b", "/x")], "host string, path string")
-    assert {(r.host, r.path): r.allowed for r in tables.robots_allowed(asked, found).collect()} == {("a", "/x/1"): False, ("a", "/x/y/2"): True, ("a", "/z"): True, ("b", "/x"): True}
+    assert {(r.host, r.path): r.allowed for r in tables.robots_allowed(asked, found).collect()} == {("a", "/x/1"): False, ("a", "/x/y/2"): False, ("a", "/z"): True, ("b", "/x"): True}
     reports = spark.createDataFrame([("k", "2026-01-01", "10", 1.0), ("k", "2026-01-02", "09", 2.0)], "key string, date string, time string, score double")
     assert tables.latest_reports(reports).first().score == 2.0
 
@@ -262,3 +262,74 @@ def test_reports(spark, tmp_path):
     old = spark.createDataFrame([("A", "pass"), ("B", "fail")], "id string, status string")
     new = spark.createDataFrame([("A", None), ("B", "pass"), ("C", "fail")], "id string, status string")
     assert sorted(map(tuple, reports.upsert(old, new).collect())) == [("B", "pass"), ("C", "fail")]
+
+
+ROBOTS = [
+    "User-agent: *\nUser-agent: y\nDisallow: /q\n", "User-agent: y\nAllow: /q/ok\nDisallow: /q\n\nUser-agent: *\nDisallow: /z\nAllow: /z/in\n", "Disallow: /q\n", "",
+    "User-agent: *\nDisallow:\n", "# c\nUser-Agent: * # all\n\nDisallow: /q\n", "User-agent: *\nDisallow: /q\n\nDisallow: /z\n\nUser-agent: *\nDisallow: /\n",
+    "User-agent: Yahoo\nDisallow: /\n\nUser-agent: yes\nuser-agent: *\nAllow: /\nDisallow: /q", "User-agent: y\nUser-agent: z\nCrawl-delay: 3\nDisallow: /q\nSitemap: http://s/x.xml\nDisallow: /z\n",
+]
+
+
+@pytest.mark.parametrize("agent", ["*", "y", "Yes/2.0"])
+def test_robots_like_the_standard_parser(spark, agent):
+    from urllib.robotparser import RobotFileParser
+
+    paths = ["/", "/q", "/q/ok", "/q/x", "/z", "/z/in", "/other"]
+    bodies = [(f"h{i}", b) for i, b in enumerate(ROBOTS)]
+    rules_ = tables.robots_rules(spark.createDataFrame(bodies, "host string, body string"))
+    urls = spark.createDataFrame([(h, p) for h, _ in bodies for p in paths], "host string, path string")
+    got = {(r.host, r.path): r.allowed for r in tables.robots_allowed(urls, rules_, agent).collect()}
+    for host, body in bodies:
+        parser = RobotFileParser()
+        parser.parse(body.splitlines())
+        assert {p: got[host, p] for p in paths} == {p: parser.can_fetch(agent, p) for p in paths}, body
+
+
+@pytest.mark.parametrize("href", ["../b", "./b", "../../b", "a/./b/../c", "/x/../y", ".", "..", "../?q=1", "b/..", "http://d.org/a/../b#f"])
+def test_resolve_dot_segments(spark, href):
+    from urllib.parse import urljoin
+
+    assert one(spark, href, lambda h: U.resolve(F.lit("http://a.com/x/y/z"), h)) == urljoin("http://a.com/x/y/z", href)
+
+
+def test_near_pairs_with_hot_bands(spark, monkeypatch):
+    """Bands of many classes are dealt over blocks; all pairs are found, whichever hash is used."""
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(600)]
+    texts = []
+    for _ in range(25):
+        w = base[:]
+        for _ in range(rnd.randrange(0, 4)):
+            w[rnd.randrange(600)] = f"x{rnd.randrange(999)}"
+        texts.append(w)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, w array<string>")
+    for hashes in (similarity.shingle_hashes_md5, similarity.shingle_hashes_crc32):
+        signed = rows.select("id", similarity.signature(hashes(F.col("w"))).alias("sig"))
+        sig = {r.id: r.sig for r in signed.collect()}
+        rep = {r.id: r.rep for r in similarity.members(signed).collect()}
+        want = {}
+        for a in set(rep.values()):
+            for b in set(rep.values()):
+                s = sum(x == y for x, y in zip(sig[a], sig[b], strict=True)) / 96
+                if a < b and s >= 0.9:
+                    want[a, b] = s
+        assert {(r.a, r.b): r.similarity for r in similarity.near_pairs(signed).collect()} == pytest.approx(want) and len(want) > 10
+
+
+def test_crc32_shingles(spark):
+    import zlib
+
+    words = [f"é{i}" for i in range(9)]
+    got = spark.createDataFrame([(words,), (words[:2],)], "w array<string>").select(similarity.shingle_hashes_crc32(F.col("w"))).collect()
+    assert [sorted(r[0]) for r in got] == [sorted(zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))) for w in (words, words[:2])]
+
+
+@pytest.mark.parametrize("path, kind", [("SRC/ID_RSA", "secret"), ("A/.DS_STORE", "artefact"), ("x/Node_Modules/a.js", "artefact"), ("b/.ENV", "secret"), ("src/a.ts", "source")])
+def test_repo_file_kinds_in_any_case(spark, path, kind):
+    from auditloom.functions import classify as C
+
+    p = F.col("x")
+    got = one(spark, path, lambda c: F.when(p.rlike(C.SECRET_FILES), "secret").when(p.rlike(C.ARTEFACTS), "artefact").otherwise("source"))
+    assert got == kind and one(spark, "/Blog/Untitled-2", lambda c: c.rlike(C.TEST_PAGE))
