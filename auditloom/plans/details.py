@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import html as H
 from auditloom.functions import urls as U
+from auditloom.operators.report_rules import EXPECTED
+from auditloom.operators.report_rules import expected_types as report_expected
 
 from .onpage import FACTS_SQL, URL_SQL, facts
 from .registry import query, table
@@ -110,16 +112,10 @@ def image_names(spark, sf_dir):
     return spark.createDataFrame(IMAGES, "src string, width int, natural_width int").select("src", name.alias("name"), F.coalesce(F.col("natural_width") > F.col("width") * 2.5, F.lit(False)).alias("oversized"))
 
 
-#: Structured data expected on a path, the first match counts.
-EXPECTED = [("^/$", "Organization"), ("^/blog/[^/]+$", "Article"), ("^/[a-z]{2}/[0-9]+$", "WebPage"), (r"\.html$", "WebPage")]
-
-
-@query("WITH " + URL_SQL + "SELECT url, CASE " + " ".join(f"WHEN regexp_matches(path, '{p}') THEN '{t}'" for p, t in EXPECTED) + " END AS expected FROM urls")
+@query("WITH " + URL_SQL + "SELECT url, CASE " + " ".join(f"WHEN regexp_matches(path, '{p}') THEN '{label}'" for p, _, label in EXPECTED) + " END AS expected FROM urls")
 def expected_types(spark, sf_dir):
-    path, out = U.path(F.col("url")), F.lit(None).cast("string")
-    for pattern, name in reversed(EXPECTED):
-        out = F.when(path.rlike(pattern), name).otherwise(out)
-    return table(spark, sf_dir, "pages").select("url", out.alias("expected"))
+    """The structured data that each page's path asks for; null if none."""
+    return table(spark, sf_dir, "pages").select("url", report_expected(U.path(F.col("url")))["label"].alias("expected"))
 
 
 @query(r"""WITH e AS (SELECT user_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
