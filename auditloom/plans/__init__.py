@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content, details, facts, links, onpage, reports, rollup, scalars  # noqa: F401  each module registers its queries
+from . import content, details, facts, joins, links, onpage, reports, rollup, scalars  # noqa: F401  each module registers its queries
 from .registry import QUERIES, SQL
 
 

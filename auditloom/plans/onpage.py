@@ -206,10 +206,14 @@ CLEAN_SQL = r"""scheme || '://' || host || CASE WHEN raw_path = '' THEN '/' ELSE
   || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END"""
 
 
-@query("WITH " + URL_SQL + r""", k AS (
+#: Every url of `urls` with its crawl identity, `clean_url`.
+KEPT_SQL = r""", k AS (
   SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda kv: kv <> '' AND NOT regexp_matches(lower(string_split(kv, '=')[1]),
     '^(utm_[a-z_]+|fbclid|gclid|dclid|gbraid|wbraid|msclkid|mc_cid|mc_eid|_ga|_gl|igshid|ref_src|_rsc)$')), '&') AS kept FROM urls
-) SELECT """ + CLEAN_SQL + """ AS clean_url, count(*)::BIGINT AS n FROM k GROUP BY 1""")
+), cleaned AS (SELECT *, """ + CLEAN_SQL + """ AS clean_url FROM k)"""
+
+
+@query("WITH " + URL_SQL + KEPT_SQL + " SELECT clean_url, count(*)::BIGINT AS n FROM cleaned GROUP BY 1")
 def clean_url_dedupe(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(U.clean(F.col("url")).alias("clean_url")).agg(F.count("*").alias("n"))
 
