@@ -15,6 +15,9 @@ Documents are sets of shingles of `k` words; two texts are linked if their Jacca
    never written out. Components are merged over all groups; a class is a component of linked texts. Texts and
    classes with very many rows meet their values by broadcast (`shared.join_hot`), not in one task.
 
+The number of links needs every pair of a band. `drop_near_duplicates` needs the components only and compares each
+band's first text with the others, then what that leaves apart (`_component_table`).
+
 Defined cases: a null text, or one without a word, has no shingles: it is linked to nothing and a class of
 its own. A text of any length is read whole. A text of fewer than `k` words has one shingle, all its words. Copies of a text share its class and
 its links; n_links counts other texts, n_copies other rows of the same text. The class id is the smallest id
@@ -255,34 +258,76 @@ def _verify(need, threshold):
     return run
 
 
-def _link_table(docs: DataFrame, k: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """(doc, t) of documents with a word, and (t, comp, n_links) of linked texts."""
-    need = needed_matches(threshold, tolerance)
+_KEY, _ORDER = ("band", "s1", "s2"), ("band", "s1", "s2", "side", "t")
+_ROW = "band long, s1 int, s2 int, side int, nth int, t binary"
+
+
+def _signed(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc, text), (doc, t, sig) of documents with a word, (t, sig) of texts, and (band, nth, t, n) of bands that n > 1 texts share."""
     keyed = docs.select(F.col("doc"), F.coalesce("text", F.lit("")).alias("text"))
     signed = cut_lineage(keyed.mapInArrow(_sign(k), "doc long, t binary, sig binary"))
     texts = signed.groupBy("t").agg(F.first("sig").alias("sig"))
     bands = texts.select("t", "sig").mapInArrow(_bands, "band long, nth int, t binary")
-    full = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    salted = bands.join(full, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    full = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("t").alias("head")).where("n > 1")
+    return keyed, signed, texts, bands.join(full, "band")
+
+
+def _compare(grouped: DataFrame, keyed: DataFrame, texts: DataFrame, k: int, threshold: float, tolerance: float) -> DataFrame:
+    """(t, root, n_links) of the texts that are linked within their groups (band, s1, s2) of rows (side, nth, t)."""
+    need = needed_matches(threshold, tolerance)
+    pruned = grouped.join(texts, "t").select(*_KEY, "side", "nth", "t", "sig").repartition(*_KEY).sortWithinPartitions(*_ORDER).mapInArrow(_prune(need), _ROW)
+    whole = keyed.withColumn("t", F.unhex(F.md5(F.col("text").cast("binary")))).groupBy("t").agg(F.first("text").alias("text"))
+    filled = cut_lineage(pruned).join(whole, "t").select(*_KEY, "side", "nth", "t", "text").mapInArrow(_sets(k), _ROW + ", sig binary, items binary")
+    found = filled.repartition(*_KEY).sortWithinPartitions(*_ORDER).mapInArrow(_verify(need, threshold), "t binary, root binary, n_links long")
+    return cut_lineage(found.select(F.hex("t").alias("t"), F.hex("root").alias("root"), "n_links"))
+
+
+def _link_table(docs: DataFrame, k: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(doc, t) of documents with a word, and (t, comp, n_links) of linked texts."""
+    keyed, signed, texts, bands = _signed(docs, k)
+    salted = bands.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     salted = salted.withColumn("side", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
     # a text of block s meets every block: once as the pair (s, s), else as the pair of both, smaller first
     salted = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = salted.select("band", F.least("side", "other").alias("s1"), F.greatest("side", "other").alias("s2"), "side", "nth", "t")
-    key, order = ("band", "s1", "s2"), ("band", "s1", "s2", "side", "t")
-    schema = "band long, s1 int, s2 int, side int, nth int, t binary"
-    pruned = grouped.join(texts, "t").select(*key, "side", "nth", "t", "sig").repartition(*key).sortWithinPartitions(*order).mapInArrow(_prune(need), schema)
-    whole = keyed.withColumn("t", F.unhex(F.md5(F.col("text").cast("binary")))).groupBy("t").agg(F.first("text").alias("text"))
-    filled = cut_lineage(pruned).join(whole, "t").select(*key, "side", "nth", "t", "text").mapInArrow(_sets(k), schema + ", sig binary, items binary")
-    found = filled.repartition(*key).sortWithinPartitions(*order).mapInArrow(_verify(need, threshold), "t binary, root binary, n_links long")
-    found = cut_lineage(found.select(F.hex("t").alias("t"), F.hex("root").alias("root"), "n_links"))
+    found = _compare(grouped, keyed, texts, k, threshold, tolerance)
     links = found.groupBy("t").agg(F.sum("n_links").alias("n_links"))
     comps = min_labels(found.select(F.col("t").alias("a"), F.col("root").alias("b")))
     return signed.select("doc", F.hex("t").alias("t")), links.join(comps.withColumnRenamed("node", "t"), "t").select("t", F.col("label").alias("comp"), "n_links")
 
 
-def _classes(docs: DataFrame, k: int, threshold: float, tolerance: float) -> DataFrame:
+def _component_table(docs: DataFrame, k: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """The same components without the number of links, so that a cluster of near copies need not meet pair by pair.
+
+    First every text of a band is compared with the band's first text only. Texts that this joins need not meet
+    again: in a second step the largest component of a band is left alone, and only the band's other texts are
+    compared with all of it. Both steps together compare every pair of a band that may join two components.
+    """
+    keyed, signed, texts, bands = _signed(docs, k)
+    blocks = bands.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    others = blocks.where("t <> head").withColumn("side", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    heads = blocks.where("t = head").withColumn("s1", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # sides differ between a band's first text and the others, so a group of two kinds compares just these
+    star = others.select("band", F.col("side").alias("s1"), F.lit(-1).alias("s2"), "side", "nth", "t").unionByName(heads.select("band", "s1", F.lit(-1).alias("s2"), F.lit(-1).alias("side"), "nth", "t"))
+    first = _compare(star, keyed, texts, k, threshold, tolerance).select(F.col("t").alias("a"), F.col("root").alias("b"))
+    known = min_labels(first).select(F.unhex("node").alias("t"), F.unhex("label").alias("comp"))
+    left = cut_lineage(bands.where("n > 2").drop("n", "head").join(known, "t", "left").withColumn("comp", F.coalesce("comp", "t")))
+    sizes = left.groupBy("band", "comp").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("l"), F.sum("m").alias("n")).where("n > l.m")
+    largest = largest.select("band", F.col("l.comp").alias("giant"), F.ceil(F.col("l.m") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("n") - F.col("l.m")) / BLOCK).cast("int").alias("outer"))
+    rows = left.join(largest, "band").withColumn("in_giant", F.col("comp") == F.col("giant"))
+    hashed = F.xxhash64("t")
+    rows = rows.withColumn("side", F.when(F.col("in_giant"), F.pmod(hashed, F.col("inner"))).otherwise(F.col("inner") + F.pmod(hashed, F.col("outer"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("in_giant"), F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1)))
+    grouped = rows.select("band", F.least("side", "other").alias("s1"), F.greatest("side", "other").alias("s2"), "side", "nth", "t")
+    second = _compare(grouped, keyed, texts, k, threshold, tolerance).select(F.col("t").alias("a"), F.col("root").alias("b"))
+    comps = min_labels(first.union(second))
+    return signed.select("doc", F.hex("t").alias("t")), comps.select(F.col("node").alias("t"), F.col("label").alias("comp"), F.lit(None).cast("long").alias("n_links"))
+
+
+def _classes(docs: DataFrame, k: int, threshold: float, tolerance: float, table=_link_table) -> DataFrame:
     """(doc, t, comp, n_links, n_copies, class_doc, class_t) of documents with a word."""
-    members, links = _link_table(docs, k, threshold, tolerance)
+    members, links = table(docs, k, threshold, tolerance)
     texts = members.groupBy("t").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
     texts = texts.join(links, "t", "left").withColumn("comp", F.coalesce("comp", "t"))
     heads = texts.groupBy("comp").agg(F.min(F.struct("least", "t")).alias("head"))
@@ -308,7 +353,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, to
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = F.coalesce(F.col(f"c{names.index('text')}"), F.lit(""))
     doc = F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), F.lit(LAST))
-    found = _classes(plain.select(doc.alias("doc"), text.alias("text")), k, threshold, tolerance)
+    found = _classes(plain.select(doc.alias("doc"), text.alias("text")), k, threshold, tolerance, _component_table)
     gone = found.where("doc <> class_doc OR t <> class_t").select("doc", "t").distinct()
     keyed = plain.withColumn("t", F.upper(F.md5(text.cast("binary")))).withColumn("doc", doc)
     return keyed.join(gone, ["doc", "t"], "left_anti").dropDuplicates(["doc", "t"]).select(*plain.columns).toDF(*names)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of (id, number) that may be broadcast: a bound of about 50 MB in memory.
 BROADCAST_ROWS = 1_000_000
+#: Rows of any table of a few short columns that may be broadcast: about 10 MB.
+SMALL_ROWS = 50_000
 
 
 def shared_folder(spark) -> str:
@@ -86,10 +88,12 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def join_hot(rows: DataFrame, values: DataFrame, key: str, hot: int = 1_000) -> DataFrame:
     """An inner join on `key`, which is unique in `values`, that no key of `rows` fills a task of.
 
-    Keys that more than `hot` rows have are counted (before the shuffle, like any sum); if they are few enough to be
+    A small table of values is broadcast. Beyond that, keys that more than `hot` rows have are counted (before the shuffle, like any sum); if they are few enough to be
     broadcast, their rows meet their values where they are, and only the others are shuffled. Were they too many,
     none would be large against the whole, and all rows are shuffled.
     """
+    if values.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(values), key)
     keys = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(key))
     if keys.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return rows.join(values, key)

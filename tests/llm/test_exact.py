@@ -167,7 +167,24 @@ def test_jaccard_recall_on_the_corpus(spark):
     assert got == classes(rows)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_components_without_all_pairs(documents, monkeypatch, seed):
+    """The texts that stay are those of the classes, also where links form chains past a band's first text."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rnd = random.Random(seed)
+    rows, base = [], [f"w{i}" for i in range(60)]
+    for c in range(3):
+        w = [f"c{c}"] + base[: 40 + 5 * c]
+        for _ in range(20):
+            w = w[:]
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(99)}"
+            rows.append((len(rows), " ".join(w), "en", "s"))
+    want = {c for _, c, *_ in classes([r[:2] for r in rows])}
+    assert {r.doc_id for r in jaccard_join.drop_near_duplicates(documents(rows)).collect()} == want and 3 < len(want) < len(rows)
+
+
 def test_jaccard_hot_text(documents, monkeypatch):
+    monkeypatch.setattr(shared, "SMALL_ROWS", 0)
     monkeypatch.setattr(jaccard_join, "join_hot", lambda rows, values, key: shared.join_hot(rows, values, key, 5))
     rows = near(5)
     rows += [(1000 + i, rows[0][1], "en", "s") for i in range(40)]
@@ -294,6 +311,41 @@ def test_fingerprints(documents, odd, nothing):
     assert fingerprint.fingerprints(documents([(1, "alone", "en", "s")])).count() == 1
 
 
+def naive_digest(text):
+    """Bucket quartiles and length code by plain counting."""
+    raw, counts = text.encode(), [0] * fingerprint.BUCKETS
+    for i in range(len(raw)):
+        for kind, (_, b, c) in enumerate(fingerprint.TRIPLETS):
+            if i + c < len(raw):
+                h = raw[i] | raw[i + b] << 8 | raw[i + c] << 16 | kind << 24
+                h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                h = (h ^ h >> 12) * 0x297A2D39 & 0xFFFFFFFF
+                counts[h >> 24] += 1
+    ranked = sorted(counts)
+    edges = [ranked[q * fingerprint.BUCKETS // 4 - 1] for q in (1, 2, 3)]
+    length = min(255, int(np.log1p(len(raw)) / np.log(1.15)))
+    return length, [sum(n > e for e in edges) for n in counts]
+
+
+def test_fingerprint_digest_by_plain_counting(documents):
+    texts = ["", "ab", "abc", "a cat sat on the mat", "éà ü — 日本語 " * 9, "a cat sat on the mat " * 40, "x" * 3000]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(documents(rows)).collect()}
+    digest = {i: naive_digest(t) for i, t in enumerate(texts)}
+    pack = lambda d: bytes([d[0], *(sum(c << 2 * j for j, c in enumerate(d[1][k : k + 4])) for k in range(0, fingerprint.BUCKETS, 4))]).hex()
+
+    def like(a, b):
+        apart = sum(abs(x - y) for x, y in zip(a[1], b[1], strict=True)) + fingerprint.LENGTH_WEIGHT * min(abs(a[0] - b[0]), fingerprint.LENGTH_STEPS)
+        return 1 - apart / (3 * fingerprint.BUCKETS + fingerprint.LENGTH_WEIGHT * fingerprint.LENGTH_STEPS)
+
+    for i, t in enumerate(texts):
+        after = texts[i - 1] if i else texts[-1]
+        half = len(t) // 2
+        edited = naive_digest(t[: len(t) - half] + after[:half])
+        assert got[i].fingerprint == pack(digest[i]) and got[i].edited_fingerprint == pack(edited)
+        assert got[i].near_edited == pytest.approx(like(digest[i], edited)) and got[i].near_next == pytest.approx(like(digest[i], naive_digest(after)))
+
+
 def test_fingerprint_likeness_follows_edits(spark, sf):
     got = fingerprint.fingerprints(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()
     assert (got.near_edited >= got.near_next).mean() > 0.97
