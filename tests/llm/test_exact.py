@@ -167,22 +167,6 @@ def test_jaccard_recall_on_the_corpus(spark):
     assert got == classes(rows)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_components_without_all_pairs(documents, monkeypatch, seed):
-    """The texts that stay are those of the classes, also where links form chains past a band's first text."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
-    rnd = random.Random(seed)
-    rows, base = [], [f"w{i}" for i in range(60)]
-    for c in range(3):
-        w = [f"c{c}"] + base[: 40 + 5 * c]
-        for _ in range(20):
-            w = w[:]
-            w[rnd.randrange(len(w))] = f"x{rnd.randrange(99)}"
-            rows.append((len(rows), " ".join(w), "en", "s"))
-    want = {c for _, c, *_ in classes([r[:2] for r in rows])}
-    assert {r.doc_id for r in jaccard_join.drop_near_duplicates(documents(rows)).collect()} == want and 3 < len(want) < len(rows)
-
-
 def test_jaccard_hot_text(documents, monkeypatch):
     monkeypatch.setattr(shared, "SMALL_ROWS", 0)
     monkeypatch.setattr(jaccard_join, "join_hot", lambda rows, values, key: shared.join_hot(rows, values, key, 5))

@@ -64,7 +64,7 @@ def test_each_stage_by_brute_force(spark, planted):
 
     free, left = step("decontamination", cut)
     budget = int(0.08 * len(item))
-    assert set(left) == {i for i, r in shorter.items() if edit_distance_within(item, " ".join(r.text.lower().replace("!", " ").split())) > budget} and set(shorter) - set(left) == {60, 61}
+    assert set(left) == {i for i, r in shorter.items() if edit_distance_within(item, " ".join(r.text.lower().replace("!", " ").split())) > budget} and set(shorter) - set(left) == {60}  # 61 repeats the item of 60, which the stage before has cut out of it
 
     _, mixed = step("mixture", free)
     assert set(mixed) <= set(left)
