@@ -101,3 +101,31 @@ def field_purpose(kind: Column, name: Column) -> Column:
         F.when((kind == "email") | n.rlike("e-?mail"), "email").when((kind == "tel") | n.rlike("phone|tel|mobile"), "phone").when(n.rlike("name"), "name")
         .when(n.rlike("message|comment|enquiry|inquiry"), "message").when(n.rlike("company|organi[sz]ation"), "company").when(kind.isin("checkbox") | n.rlike("consent|agree|privacy"), "consent").otherwise("other")
     )
+
+
+def noindex(content: Column) -> Column:
+    """Whether a robots meta keeps a page out: `noindex` anywhere, or `none` as a token."""
+    low = F.lower(F.coalesce(content, F.lit("")))
+    return low.contains("noindex") | F.array_contains(F.transform(F.split(low, ","), lambda t: F.trim(t)), "none")
+
+
+def grouped_message(message: Column) -> Column:
+    """A validator message without what it quotes, so that like messages are one."""
+    return F.regexp_replace(message, "“[^”]*”", "…")
+
+
+def british_variant(word: Column, suggestion: Column) -> Column:
+    """Whether a suggestion is only the American form of the word."""
+    forms = [(r"is(e|ed|es|ing|ation)$", "iz$1"), ("tre$", "ter"), (r"ys(e|ed|es|ing)$", "yz$1"), ("ogue$", "og"), (r"ll(ed|ing|er)$", "l$1"), ("ence$", "ense"), ("grey", "gray")]
+    american = [F.regexp_replace(word, a, b) for a, b in forms] + [F.regexp_replace(word, r"^(.*?)our", "$1or")]
+    return suggestion.isin(*american) & (word != suggestion)
+
+
+def image_file(src: Column) -> Column:
+    """The file name behind an image's address, also behind an image optimiser's."""
+    real = F.when(src.contains("/_next/image?"), F.url_decode(F.regexp_extract(src, r"[?&]url=([^&]*)", 1))).otherwise(src)
+    return F.element_at(F.split(F.regexp_replace(real, r"[?#].*$", ""), "/"), -1)
+
+
+def oversized(natural: Column, shown: Column) -> Column:
+    return F.coalesce(natural > shown * 2.5, F.lit(False))

@@ -48,6 +48,27 @@ def heading_rules(elements: DataFrame) -> DataFrame:
     return _union(each, whole)
 
 
+def heading_outline(headings: DataFrame) -> DataFrame:
+    """(url, ord, prev_level, level, outline, skipped) of headings (url, ord, level, text): indented, with level jumps."""
+    rows = headings.withColumn("prev_level", F.lag("level").over(Window.partitionBy("url").orderBy("ord")))
+    skipped = F.coalesce(F.col("level") > F.col("prev_level") + 1, F.lit(False))
+    return rows.select("url", "ord", "prev_level", "level", F.concat(F.repeat(F.lit("    "), F.col("level") - 1), "text").alias("outline"), skipped.alias("skipped"))
+
+
+def missing_fragments(refs: DataFrame) -> DataFrame:
+    """(url, ref) of in-page links (kind a) of (url, kind, ref) to an id or name that the page does not have."""
+    return refs.where("kind = 'a'").select("url", "ref").join(refs.where("kind <> 'a'").select("url", "ref"), ["url", "ref"], "left_anti")
+
+
+def alternate_problems(rows: DataFrame) -> DataFrame:
+    """(page, code, href, invalid, no_return) of alternates (page, code, href): codes that are none, pages that do not link back."""
+    code = F.lower("code")
+    invalid = ~code.rlike("^([a-z]{2,3}(-[a-z]{4})?(-([a-z]{2}|[0-9]{3}))?|x-default)$") | code.rlike("-(uk|en|eu)$")
+    back = rows.select(F.col("href").alias("page"), F.col("page").alias("href")).distinct().withColumn("back", F.lit(True))
+    joined = rows.join(back, ["page", "href"], "left")
+    return joined.select("page", "code", "href", invalid.alias("invalid"), ((F.col("page") != F.col("href")) & F.col("back").isNull()).alias("no_return"))
+
+
 def image_rules(elements: DataFrame) -> DataFrame:
     """Missing and poor alt texts, sizes and loading of images."""
     images = _page(elements).where("tag = 'img'").withColumn("nth", F.row_number().over(Window.partitionBy("url").orderBy("ord")))

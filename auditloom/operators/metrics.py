@@ -52,3 +52,14 @@ def mode_per_group(rows: DataFrame, group: str, value: str) -> DataFrame:
     counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
     best = counts.groupBy(group).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(value))).alias("m"))
     return best.select(group, F.col(f"m.{value}").alias(value))
+
+
+def first_known(rows: DataFrame, group: str, order: str, values: dict[str, str]) -> DataFrame:
+    """(group, ...): the first value that is not null of each column of `values` (column -> name), as one partial aggregation."""
+    return rows.groupBy(group).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(name) for c, name in values.items()])
+
+
+def recent(rows: DataFrame, group: str, order: list[Column], value: str, n: int, name: str) -> DataFrame:
+    """(group, name): the values of the first n rows joined by `>`; rows are cut before they are listed, so lists stay short."""
+    top = top_per_group(rows, group, order, n)
+    return top.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", value))), lambda s: s[value]), ">").alias(name))

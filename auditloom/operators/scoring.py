@@ -46,11 +46,14 @@ def cap_issues(issues: DataFrame, cap: int = CAP) -> DataFrame:
 
     Rows are kept in the order of current value and element.
     """
-    key = Window.partitionBy("url", "issue")
-    rows = issues.withColumn("nth", F.row_number().over(key.orderBy("current_value", "element"))).withColumn("n", F.count("*").over(key))
+    first = F.row_number().over(Window.partitionBy("url", "issue").orderBy("current_value", "element"))
+    # the rows of a key are cut to cap + 1 before the shuffle, and their number is a partial sum, so no key fills a task
+    rows = issues.withColumn("nth", first).where(F.col("nth") <= cap + 1)
+    many = issues.groupBy(F.col("url").alias("k_url"), F.col("issue").alias("k_issue")).agg(F.count("*").alias("n")).where(F.col("n") > cap)
+    rows = rows.join(many, F.col("url").eqNullSafe(F.col("k_url")) & F.col("issue").eqNullSafe(F.col("k_issue")), "left")
     over = F.col("nth") == cap + 1
     value = F.when(over, F.concat((F.col("n") - cap).cast("string"), F.lit(" more occurrences not listed"))).otherwise(F.col("current_value"))
-    return rows.where(F.col("nth") <= cap + 1).withColumns({"current_value": value, "element": F.when(over, "").otherwise(F.col("element"))}).drop("nth", "n")
+    return rows.withColumns({"current_value": value, "element": F.when(over, "").otherwise(F.col("element"))}).select(*issues.columns)
 
 
 def issue_types(issues: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from auditloom.functions import classify as C
 from auditloom.functions import html as H
 from auditloom.functions import urls as U
+from auditloom.operators import metrics
+from auditloom.operators.element_rules import missing_fragments as missing_fragments_of
 from auditloom.operators.report_rules import EXPECTED
 from auditloom.operators.report_rules import expected_types as report_expected
 
@@ -53,9 +55,7 @@ METAS = [("a", "noindex, follow"), ("b", "none"), ("c", " NONE ,nofollow"), ("d"
 
 @query("WITH v AS " + values(METAS, "url, content") + r"""SELECT url, contains(lower(coalesce(content, '')), 'noindex') OR list_contains(list_transform(string_split(lower(coalesce(content, '')), ','), lambda x: trim(x)), 'none') AS noindex FROM v""")
 def meta_robots(spark, sf_dir):
-    content = F.lower(F.coalesce("content", F.lit("")))
-    tokens = F.transform(F.split(content, ","), lambda t: F.trim(t))
-    return spark.createDataFrame(METAS, "url string, content string").select("url", (content.contains("noindex") | F.array_contains(tokens, "none")).alias("noindex"))
+    return spark.createDataFrame(METAS, "url string, content string").select("url", C.noindex(F.col("content")).alias("noindex"))
 
 
 MESSAGES = [("u1", "Element “div” not allowed as child of “span”."), ("u2", "Element “p” not allowed as child of “b”."), ("u2", "Bad value “x” for attribute “y”."), ("u3", "Element “p” not allowed as child of “b”.")]
@@ -65,7 +65,7 @@ MESSAGES = [("u1", "Element “div” not allowed as child of “span”."), ("u
 def validator_messages(spark, sf_dir):
     """Validator messages that differ only in what they quote, counted together."""
     rows = spark.createDataFrame(MESSAGES, "url string, message string")
-    return rows.groupBy(F.regexp_replace("message", "“[^”]*”", "…").alias("grouped")).agg(F.count("*").alias("messages"), F.count_distinct("url").alias("pages"))
+    return rows.groupBy(C.grouped_message(F.col("message")).alias("grouped")).agg(F.count("*").alias("messages"), F.count_distinct("url").alias("pages"))
 
 
 SPELLINGS = [("organise", "organize"), ("colour", "color"), ("centre", "center"), ("analyse", "analyze"), ("catalogue", "catalog"), ("travelling", "traveling"), ("house", "horse"), ("grey", "gray"), ("licence", "license")]
@@ -75,10 +75,7 @@ SPELLINGS = [("organise", "organize"), ("colour", "color"), ("centre", "center")
 regexp_replace(word, 'ys(e|ed|es|ing)$', 'yz\1'), regexp_replace(word, 'ogue$', 'og'), regexp_replace(word, 'll(ed|ing|er)$', 'l\1'), regexp_replace(word, 'ence$', 'ense'), replace(word, 'grey', 'gray')) AND word <> suggestion AS british FROM v""")
 def british_variants(spark, sf_dir):
     """Whether a suggestion is only the American form of the word."""
-    w = F.col("word")
-    forms = [(r"is(e|ed|es|ing|ation)$", "iz$1"), ("tre$", "ter"), (r"ys(e|ed|es|ing)$", "yz$1"), ("ogue$", "og"), (r"ll(ed|ing|er)$", "l$1"), ("ence$", "ense"), ("grey", "gray")]
-    american = [F.regexp_replace(w, a, b) for a, b in forms] + [F.regexp_replace(w, r"^(.*?)our", "$1or")]
-    return spark.createDataFrame(SPELLINGS, "word string, suggestion string").select("word", "suggestion", (F.col("suggestion").isin(*american) & (w != F.col("suggestion"))).alias("british"))
+    return spark.createDataFrame(SPELLINGS, "word string, suggestion string").select("word", "suggestion", C.british_variant(F.col("word"), F.col("suggestion")).alias("british"))
 
 
 @query(r"""WITH r AS (SELECT o_custkey, o_orderkey, nullif(o_orderpriority, '4-NOT SPECIFIED') AS p, nullif(o_orderstatus, 'O') AS s FROM orders)
@@ -86,7 +83,7 @@ SELECT o_custkey, min_by(p, o_orderkey) FILTER (p IS NOT NULL) AS first_priority
 def first_known(spark, sf_dir):
     """The first non-empty value of each column in row order, as one partial aggregation."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("p"), F.nullif("o_orderstatus", F.lit("O")).alias("s"))
-    return rows.groupBy("o_custkey").agg(F.min_by("p", F.when(F.col("p").isNotNull(), F.col("o_orderkey"))).alias("first_priority"), F.min_by("s", F.when(F.col("s").isNotNull(), F.col("o_orderkey"))).alias("first_status"))
+    return metrics.first_known(rows, "o_custkey", "o_orderkey", {"p": "first_priority", "s": "first_status"})
 
 
 FRAGMENTS = [("p", "a", "top"), ("p", "id", "top"), ("p", "a", "gone"), ("q", "id", "gone"), ("q", "a", "x"), ("q", "name", "x")]
@@ -95,8 +92,7 @@ FRAGMENTS = [("p", "a", "top"), ("p", "id", "top"), ("p", "a", "gone"), ("q", "i
 @query("WITH v AS " + values(FRAGMENTS, "url, kind, ref") + r"""SELECT url, ref FROM v a WHERE kind = 'a' AND NOT EXISTS (SELECT 1 FROM v b WHERE b.url = a.url AND b.ref = a.ref AND b.kind <> 'a')""")
 def missing_fragments(spark, sf_dir):
     """In-page links to an id or name that the page does not have."""
-    rows = spark.createDataFrame(FRAGMENTS, "url string, kind string, ref string")
-    return rows.where("kind = 'a'").select("url", "ref").join(rows.where("kind <> 'a'").select("url", "ref"), ["url", "ref"], "left_anti")
+    return missing_fragments_of(spark.createDataFrame(FRAGMENTS, "url string, kind string, ref string"))
 
 
 IMAGES = [("/_next/image?url=%2Fimg%2Fa%20b.png&w=640", 640, 1280), ("/x/y.jpg?v=1", 100, 500), ("z.webp", None, 10)]
@@ -106,10 +102,8 @@ IMAGES = [("/_next/image?url=%2Fimg%2Fa%20b.png&w=640", 640, 1280), ("/x/y.jpg?v
 coalesce(natural_width > 2.5 * width, false) AS oversized FROM v""")
 def image_names(spark, sf_dir):
     """The file behind an image optimiser's url, and images much larger than they are shown."""
-    src = F.col("src")
-    real = F.when(src.contains("/_next/image?"), F.url_decode(F.regexp_extract(src, r"[?&]url=([^&]*)", 1))).otherwise(src)
-    name = F.element_at(F.split(F.regexp_replace(real, r"[?#].*$", ""), "/"), -1)
-    return spark.createDataFrame(IMAGES, "src string, width int, natural_width int").select("src", name.alias("name"), F.coalesce(F.col("natural_width") > F.col("width") * 2.5, F.lit(False)).alias("oversized"))
+    rows = spark.createDataFrame(IMAGES, "src string, width int, natural_width int")
+    return rows.select("src", C.image_file(F.col("src")).alias("name"), C.oversized(F.col("natural_width"), F.col("width")).alias("oversized"))
 
 
 @query("WITH " + URL_SQL + "SELECT url, CASE " + " ".join(f"WHEN regexp_matches(path, '{p}') THEN '{label}'" for p, _, label in EXPECTED) + " END AS expected FROM urls")
@@ -122,7 +116,4 @@ def expected_types(spark, sf_dir):
 SELECT user_id, string_agg(event_type, '>' ORDER BY rn)::VARCHAR AS last_three FROM e WHERE rn <= 3 GROUP BY 1""")
 def recent_history(spark, sf_dir):
     """The last three kinds of event of each user, newest first: top rows first, so that lists stay short."""
-    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.row_number().over(order).alias("rn")).where("rn <= 3")
-    listed = F.array_sort(F.collect_list(F.struct("rn", "event_type")))
-    return rows.groupBy("user_id").agg(F.array_join(F.transform(listed, lambda s: s["event_type"]), ">").alias("last_three"))
+    return metrics.recent(table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], "event_type", 3, "last_three")

@@ -94,7 +94,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY url, issue ORDER BY current_valu
 SELECT url, issue, count(*) FILTER (nth <= 3)::BIGINT AS rows_kept, max(CASE WHEN nth = 4 THEN (n - 3)::VARCHAR || ' more occurrences not listed' END) AS overflow FROM n GROUP BY 1, 2""")
 def issue_cap(spark, sf_dir):
     """The cap of rows for each key and check, here of three for each host, with its overflow row."""
-    rows = every_issue(spark, sf_dir).withColumn("url", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1))
+    rows = cut_lineage(every_issue(spark, sf_dir).withColumn("url", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)))
     capped = scoring.cap_issues(rows, 3)
     more = F.col("current_value").endswith(" more occurrences not listed")
     return capped.groupBy("url", "issue").agg(F.count_if(~more).alias("rows_kept"), F.max(F.when(more, F.col("current_value"))).alias("overflow"))

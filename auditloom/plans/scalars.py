@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import classify as C
 from auditloom.functions import urls as U
 
+from auditloom.operators.element_rules import alternate_problems, heading_outline
 from auditloom.operators.graph import cut_lineage
 
 from .content import KNOWN, PHONE, documents, lit
@@ -84,12 +84,7 @@ HREFLANG = [("/a", "en", "/a"), ("/a", "de", "/b"), ("/b", "de", "/b"), ("/b", "
   page <> href AND NOT EXISTS (SELECT 1 FROM v b WHERE b.page = v.href AND b.href = v.page) AS no_return FROM v""")
 def hreflang_rules(spark, sf_dir):
     """Language codes that are invalid, and alternates that do not link back: a semi-join on the reversed pair."""
-    rows = spark.createDataFrame(HREFLANG, "page string, code string, href string")
-    code = F.lower("code")
-    invalid = ~code.rlike("^([a-z]{2,3}(-[a-z]{4})?(-([a-z]{2}|[0-9]{3}))?|x-default)$") | code.rlike("-(uk|en|eu)$")
-    back = rows.select(F.col("href").alias("page"), F.col("page").alias("href")).distinct().withColumn("back", F.lit(True))
-    joined = rows.join(back, ["page", "href"], "left")
-    return joined.select("page", "code", "href", invalid.alias("invalid"), ((F.col("page") != F.col("href")) & F.col("back").isNull()).alias("no_return"))
+    return alternate_problems(spark.createDataFrame(HREFLANG, "page string, code string, href string"))
 
 
 HEADINGS = [("p", 1, 1, "A"), ("p", 2, 3, "B"), ("p", 3, 2, "C"), ("q", 1, 2, "D"), ("q", 2, 4, "E"), ("q", 3, 5, "F")]
@@ -98,10 +93,7 @@ HEADINGS = [("p", 1, 1, "A"), ("p", 2, 3, "B"), ("p", 3, 2, "C"), ("q", 1, 2, "D
 @query("WITH v AS " + values(HEADINGS, "url, ord, level, text") + """, w AS (SELECT *, lag(level) OVER (PARTITION BY url ORDER BY ord) AS prev_level FROM v)
 SELECT url, ord, prev_level, level, repeat('    ', level - 1) || text AS outline, prev_level IS NOT NULL AND level > prev_level + 1 AS skipped FROM w""")
 def heading_skips(spark, sf_dir):
-    rows = spark.createDataFrame(HEADINGS, "url string, ord int, level int, text string")
-    rows = rows.withColumn("prev_level", F.lag("level").over(Window.partitionBy("url").orderBy("ord")))
-    skipped = F.coalesce(F.col("level") > F.col("prev_level") + 1, F.lit(False))
-    return rows.select("url", "ord", "prev_level", "level", F.concat(F.repeat(F.lit("    "), F.col("level") - 1), "text").alias("outline"), skipped.alias("skipped"))
+    return heading_outline(spark.createDataFrame(HEADINGS, "url string, ord int, level int, text string"))
 
 
 @query(rf"""WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, {lit(PHONE)})) AS shown FROM documents), k AS (SELECT *, right(regexp_replace(shown, '[^0-9]', '', 'g'), 10) AS key FROM v),

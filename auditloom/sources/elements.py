@@ -20,31 +20,51 @@ BLOCKS = frozenset("p li h1 h2 h3 h4 h5 h6 td th figcaption blockquote dd dt sum
 SCHEMA = "url string, ord int, parent int, tag string, attrs map<string,string>, text string, zone string, path array<string>, error string"
 
 
+#: Wide containers, whose text is that of their parts: they carry none of their own.
+WIDE = frozenset("html head body main section article header footer nav aside div form fieldset ul ol dl table thead tbody tfoot tr".split())
+#: Pages that are parsed before their elements are handed on.
+CHUNK = 200
+
+
 class _Tree(HTMLParser):
+    """Elements in document order. Text is kept once, in pieces; an element knows its first piece and the one after its last."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.pieces: list[str] = []
+
+    def _close(self, at: int) -> None:
+        for i in self.open[at:]:
+            self.rows[i]["to"] = len(self.pieces)
+        del self.open[at:]
 
     def handle_starttag(self, tag, attrs):
         while self.open and self.rows[self.open[-1]]["tag"] in CLOSES.get(tag, ()):
-            self.open.pop()
+            self._close(len(self.open) - 1)
         path = [self.rows[i]["tag"] for i in self.open]
         zone = "footer" if "footer" in path + [tag] else "header" if "header" in path + [tag] or "nav" in path + [tag] else "content"
-        self.rows.append({"ord": len(self.rows), "parent": self.open[-1] if self.open else -1, "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "parts": [], "zone": zone, "path": path})
+        at = len(self.pieces)
+        self.rows.append({"ord": len(self.rows), "parent": self.open[-1] if self.open else -1, "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "own": [], "from": at, "to": at, "zone": zone, "path": path})
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 
     def handle_endtag(self, tag):
         for at in range(len(self.open) - 1, -1, -1):
             if self.rows[self.open[at]]["tag"] == tag:
-                del self.open[at:]
+                self._close(at)
                 return
 
     def handle_data(self, data):
-        hidden = self.open and self.rows[self.open[-1]]["tag"] in ("script", "style", "template", "noscript")
-        for i in self.open[-1:] if hidden else self.open:
-            self.rows[i]["parts"].append(data)
+        if self.open and self.rows[self.open[-1]]["tag"] in ("script", "style", "template", "noscript"):
+            self.rows[self.open[-1]]["own"].append(data)
+        elif self.open:
+            self.pieces.append(data)
+
+    def close(self):
+        super().close()
+        self._close(0)
 
 
 def parse(html: str) -> list[dict]:
@@ -52,28 +72,39 @@ def parse(html: str) -> list[dict]:
     tree.feed(html)
     tree.close()
     for row in tree.rows:
-        row["text"] = " ".join(" ".join(row.pop("parts")).split())
+        own, first, last = row.pop("own"), row.pop("from"), row.pop("to")
+        parts = [] if row["tag"] in WIDE else [*own, *tree.pieces[first:last]]
+        row["text"] = " ".join(" ".join(parts).split())
     return tree.rows
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
-    """One row for each element of (url, html) in document order; a failure is one row with `error`."""
+    """One row for each element of (url, html) in document order; a failure is one row with `error`.
+
+    The text of an element is that of all it holds, single-spaced; wide containers (WIDE) have none.
+    """
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+    names = ("url", "ord", "parent", "tag", "attrs", "text", "zone", "path", "error")
+
+    def elements(pairs):
+        out = {k: [] for k in names}
+        for url, html in pairs:
+            try:
+                rows, error = parse(html or ""), None
+            except (AssertionError, ValueError) as failure:
+                rows, error = [{"ord": -1, "parent": -1, "tag": "", "attrs": {}, "text": "", "zone": "", "path": []}], str(failure)
+            for row in rows:
+                out["url"].append(url)
+                out["error"].append(error)
+                for k, v in row.items():
+                    out[k].append(list(v.items()) if k == "attrs" else v)
+        return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, types, strict=True)], list(names))
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("url", "ord", "parent", "tag", "attrs", "text", "zone", "path", "error")}
-            for url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    rows, error = parse(html or ""), None
-                except (AssertionError, ValueError) as failure:
-                    rows, error = [{"ord": -1, "parent": -1, "tag": "", "attrs": {}, "text": "", "zone": "", "path": []}], str(failure)
-                for row in rows:
-                    out["url"].append(url)
-                    out["error"].append(error)
-                    for k, v in row.items():
-                        out[k].append(list(v.items()) if k == "attrs" else v)
-            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, types, strict=True)], list(out))
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                yield elements(zip(*(c.to_pylist() for c in part.columns), strict=True))
 
     return pages.select("url", "html").mapInArrow(run, SCHEMA)
 
