@@ -23,6 +23,8 @@ DEBUG_TEXT = r"\b(undefined|nan|\[object object\]|todo|fixme|lorem ipsum|console
 DEV_URL = r"https?://(localhost|127\.0\.0\.1|0\.0\.0\.0|192\.168\.[0-9]+\.[0-9]+|[A-Za-z0-9_-]+\.local|staging\.[A-Za-z0-9_.-]+|dev\.[A-Za-z0-9_.-]+|[A-Za-z0-9_-]+\.vercel\.app)(:[0-9]+)?"
 #: Files that hold secrets, and files that are built, in any letter case.
 SECRET_FILES = r"(?i)(^|/)(\.env(\.[A-Za-z0-9_.-]+)?|id_rsa|id_ed25519|.*\.pem|.*\.p12|.*\.pfx|.*\.key|credentials\.json|service-account.*\.json)$"
+#: Legal forms in names of firms.
+LEGAL_FORM = r"(?i)[,.]?\s*\b(pvt\.?|private|ltd\.?|limited|llc|l\.l\.c\.|inc\.?|pllc|llp|plc|gmbh|corp\.?|co\.?)(?=\s|$)"
 ARTEFACTS = r"(?i)(^|/)(\.next|node_modules|__pycache__|\.turbo|out|dist|coverage)/|(^|/)\.DS_Store$|\.tsbuildinfo$|\.pyc$"
 
 
@@ -129,3 +131,29 @@ def image_file(src: Column) -> Column:
 
 def oversized(natural: Column, shown: Column) -> Column:
     return F.coalesce(natural > shown * 2.5, F.lit(False))
+
+
+def resource_kind(kind: Column, url: Column) -> Column:
+    """js, css, img, font or other: what a page loads, by how it was asked for and by the end of its address."""
+    at = F.lower(F.substring_index(url, "?", 1))
+    js = (kind == "script") | at.endswith(".js")
+    css = (kind == "css") | at.endswith(".css") | ((kind == "link") & at.contains(".css"))
+    img = (kind == "img") | at.contains("/_next/image") | at.rlike(r"\.(png|jpe?g|webp|avif|gif|svg)$")
+    return F.when(js, "js").when(css, "css").when(img, "img").when(at.rlike(r"\.(woff2?|[to]tf)$"), "font").otherwise("other")
+
+
+def vitals_shown(metric: Column, value: Column) -> Column:
+    """A measurement as text: layout shift with three digits, seconds from 1,000 ms on, else milliseconds."""
+    large = F.when(value >= 1000, F.format_string("%.2f s", value / 1000)).when(value.isNotNull(), F.format_string("%.0f ms", value))
+    return F.when((metric == "cls") & value.isNotNull(), F.format_string("%.3f", value)).otherwise(large)
+
+
+def off_ratio(width: Column, height: Column) -> Column:
+    """Whether a share image is too small or far from the shape of 1200 by 630."""
+    return (width < 600) | (height == 0) | (F.abs(width / F.nullif(height, F.lit(0)) - 1200 / 630) > 0.15)
+
+
+def business_name(value: Column) -> Column:
+    """A name without the legal form at its end, in lower case, for comparison."""
+    bare = F.regexp_replace(F.replace(value, F.lit("&amp;"), F.lit("&")), LEGAL_FORM, "")
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(bare, r"^[ ,.|-]+|[ ,.|-]+$", ""), r"\s+", " ")))

@@ -3,7 +3,7 @@ tables with declared schemas; nothing here drives a browser or the network."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -29,12 +29,37 @@ def pages_as_responses(pages: DataFrame) -> DataFrame:
     return pages.select(F.lit(200).alias("status"), "url", F.create_map().cast("map<string,string>").alias("headers"), F.encode("html", "utf-8").alias("content"))
 
 
+def _blocks(column: str, name: str) -> Column:
+    """The elements of a name in XML text, whatever prefix their namespace has."""
+    return F.regexp_extract_all(column, F.lit(rf"(?is)<(?:\w+:)?{name}>.*?</(?:\w+:)?{name}>"), F.lit(0))
+
+
+def _inner(column: str, name: str) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(column, rf"(?is)<(?:\w+:)?{name}>\s*(.*?)\s*</(?:\w+:)?{name}>", 1)), F.lit(""))
+
+
 def sitemap_entries(xml: DataFrame, column: str = "xml") -> DataFrame:
     """(loc, lastmod) of every <url> of the sitemaps in a text column, duplicates kept."""
-    blocks = F.regexp_extract_all(column, F.lit(r"(?is)<url>.*?</url>"), F.lit(0))
-    rows = xml.select(F.explode(blocks).alias("b"))
-    tag = lambda name: F.nullif(F.trim(F.regexp_extract("b", rf"(?is)<{name}>\s*(.*?)\s*</{name}>", 1)), F.lit(""))
-    return rows.select(tag("loc").alias("loc"), tag("lastmod").alias("lastmod"))
+    rows = xml.select(F.explode(_blocks(column, "url")).alias("b"))
+    return rows.select(_inner("b", "loc").alias("loc"), _inner("b", "lastmod").alias("lastmod"))
+
+
+def sitemap_children(files: DataFrame) -> DataFrame:
+    """(url, loc, status, entries, problem) of the sitemaps that an index among the fetched files (url, status, body) names.
+
+    A child that was not fetched has status 0. Its entries come with `sitemap_entries` of the same files.
+    """
+    named = files.select("url", F.explode(_blocks("body", "sitemap")).alias("b")).select("url", _inner("b", "loc").alias("loc")).where("loc IS NOT NULL")
+    known = files.groupBy(F.col("url").alias("loc")).agg(F.max(F.struct("status", F.size(_blocks("body", "url")).alias("entries"))).alias("f"))
+    rows = named.join(known, "loc", "left").select("url", "loc", F.coalesce("f.status", F.lit(0)).alias("status"), F.greatest(F.coalesce("f.entries", F.lit(0)), F.lit(0)).alias("entries"))
+    problem = F.when(F.col("status") != 200, F.concat(F.lit("HTTP "), "status")).when(F.col("entries") == 0, "no <url> entries").otherwise("")
+    return rows.withColumn("problem", problem)
+
+
+def without_namespace(files: DataFrame) -> DataFrame:
+    """(url) of fetched sitemaps whose root does not name the namespace of sitemaps."""
+    root = F.regexp_extract("body", r"(?is)<(?:\w+:)?(?:urlset|sitemapindex)\b[^>]*>", 0)
+    return files.where((root != "") & ~F.contains(root, F.lit("http://www.sitemaps.org/schemas/sitemap/0.9"))).select("url")
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
