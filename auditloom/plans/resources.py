@@ -139,8 +139,8 @@ def category_averages(spark, sf_dir):
     return N.category_averages(scores, ("quality", "toxic"))
 
 
-@query("""WITH i AS (SELECT event_id, list_transform([11, 3, 11, 7, 5, 13, 17], m -> 'k' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % m)) AS labels FROM events)
-SELECT event_id, array_to_string(list_filter(labels, (x, nth) -> list_position(labels, x) = nth)[1:5], ' ') AS labels, 7 AS total FROM i""")
+@query("""WITH i AS (SELECT event_id, list_transform([11, 3, 11, 7, 5, 13, 17], lambda m: 'k' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % m)) AS labels FROM events)
+SELECT event_id, array_to_string(list_filter(labels, lambda x, nth: list_position(labels, x) = nth)[1:5], ' ') AS labels, 7 AS total FROM i""")
 def failing_items(spark, sf_dir):
     """The first five items of an audit's details; seven are laid out for each event."""
     k = F.get_json_object("props", "$.k").cast("long")
