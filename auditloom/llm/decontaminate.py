@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
-An item of m characters occurs in a text if some stretch of the text is within e edits of it, where e is
-the share `edits` of m. Texts and items are compared as lower-case terms (of any alphabet) joined by single
+An item of m bytes (of UTF-8, so a character of another alphabet counts two or three) occurs in a text if some
+stretch of the text is within e edits of bytes of it, where e is the share `edits` of m. Texts and items are compared as lower-case terms (of any alphabet) joined by single
 spaces.
 
 1. Every item keeps its R rarest q-grams (q = 8 bytes), R as large as the lemma needs: an edit destroys at
@@ -11,7 +11,7 @@ spaces.
    counted for each text, item and band, and bands under the bound are dropped. Nothing is lost.
 3. The rest is verified by aligning the whole item within the band and its surroundings.
 
-Items under `min_chars` characters have too few q-grams for a budget: they are searched as they stand, whole
+Items under `min_chars` bytes have too few q-grams for a budget: they are searched as they stand, whole
 terms only, by the hash of their terms; a hit is compared byte by byte.
 
 Documents are scanned where they are read: no shuffle. The items are the query set. They are taken in
@@ -22,7 +22,8 @@ whatever the size of the benchmark.
 Defined cases: null and empty texts contain nothing; a text of any length is searched whole. Items that are null
 or have no term are not searched. An item so short that R - q * e would not be positive gets a smaller e. Null
 ids are carried as null. Repeated items and repeated rows report alike. A character whose lower case takes
-another number of bytes stays as it is, so that places hold in the original text. Extra columns are carried
+another number of bytes or characters stays as it is, so that places hold in the original text; both small
+sigmas are one letter. Extra columns are carried
 through by `drop_contaminated`. Empty tables give empty results.
 """
 
@@ -43,16 +44,29 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CLEAN = np.where(K.IS_TERM, K.LOWER, 32).astype(np.uint8)
 
 
+def _folds() -> np.ndarray:
+    """For each code point, the one it is compared as: its lower case, if that is one character of as many bytes."""
+    table = np.arange(0x110000, dtype="<u4")
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))):
+        low = c.lower()
+        if low != c and len(low) == 1 and len(low.encode()) == len(c.encode()):
+            table[ord(c)] = ord(low)
+    table[ord("\u03c2")] = ord("\u03c3")  # a sigma at the end of a word
+    return table
+
+
+_FOLD = _folds()
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
-    """The bytes with letters of other alphabets lower-cased, at the same places."""
+    """The bytes with letters of other alphabets lower-cased, each by itself, at the same places.
+
+    No letter looks at its neighbours, so a text is folded alike whatever texts stand beside it.
+    """
     if not (data & 0x80).any():
         return data
-    raw = data.tobytes()
-    text = raw.decode()
-    low = text.lower().encode()
-    if len(low) != len(raw) or len(text.lower()) != len(text):
-        low = "".join(x if len(x.encode()) == len(c.encode()) else c for c in text for x in (c.lower(),)).encode()
-    return np.frombuffer(low, np.uint8)
+    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.frombuffer(_FOLD[points].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogateescape"), np.uint8)
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

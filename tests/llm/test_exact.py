@@ -381,6 +381,14 @@ def test_decontamination(spark, documents):
     assert {r.doc_id for r in kept.collect()} == set(range(150)) - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_decontamination_does_not_depend_on_the_batch(spark, documents, parts):
+    items = spark.createDataFrame([(1, "ΤΕΛΟΣ"), (2, "ΚΑΛΟΣ ΛΟΓΟΣ"), (3, "ЖЁЛТЫЙ ДОМ стоит у самой реки за городом")], "item_id long, text string")
+    rows = [(1, "x ΤΕΛΟΣ", "el", "s"), (2, "abc", "en", "s"), (3, "ένας καλος λογος", "el", "s"), (4, "İstanbul", "tr", "s"), (5, "и жёлтый дом стоит у самой реки за городом.", "ru", "s"), (6, "τελοσ", "el", "s")]
+    got = decontaminate.contaminated(documents(rows, parts).orderBy("doc_id").coalesce(parts), items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 2), (5, 3), (6, 1)}
+
+
 def test_decontamination_odd(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13"), (2, None), (None, "")], "item_id long, text string")
     assert Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, bench).collect()) == {(5, 1): 1, (6, 1): 1}

@@ -8,7 +8,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from auditloom.llm import decontaminate, fingerprint, kernel, kneser_ney
+from auditloom.llm import decontaminate, fingerprint, kernel, kneser_ney, lookup
 from auditloom.llm.shared import min_labels
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("ab \n\té日\x0b😀.")), st.text()), max_size=8)
@@ -42,12 +42,12 @@ def test_slices_cover_every_document_once(texts, size):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(min_size=1, max_size=6), max_size=60))
-def test_hash_table_finds_exactly_its_keys(grams):
+def test_lookup_finds_exactly_the_known_keys(grams):
     keys = np.unique(kneser_ney.hash_grams(pa.array(sorted(set(grams)), pa.string())))
-    values = np.stack([np.arange(len(keys)), -np.arange(len(keys))], axis=1).astype(np.float32)
-    got, known = kneser_ney.Table(keys, values).get(np.concatenate([keys, keys + np.uint64(1)]))
-    assert known[: len(keys)].all() and (got[: len(keys)] == values).all()
-    assert (known[len(keys) :] == np.isin(keys + np.uint64(1), keys)).all()
+    wanted = np.concatenate([keys, keys + np.uint64(1)])
+    at, known = lookup.place(keys, wanted)
+    assert (known == np.isin(wanted, keys)).all()
+    assert (keys[at[known]] == wanted[known]).all()
 
 
 @settings(max_examples=60, deadline=None)
@@ -66,8 +66,23 @@ def test_normalised_text_keeps_its_places(texts):
     data, offsets = kernel.text_buffers(pa.array(texts, pa.string()))
     clean, first, place = decontaminate.normalised(data, offsets)
     assert len(clean) == len(place) and first[-1] == len(clean)
+    folded = decontaminate.lowered(data)
+    assert len(folded) == len(data)
     terms = kernel.IS_TERM[data[place]]
-    assert (clean[terms] == kernel.LOWER[data[place]][terms]).all() and (clean[~terms] == 32).all()
+    assert (clean[terms] == kernel.LOWER[folded[place]][terms]).all() and (clean[~terms] == 32).all()
+
+
+GREEK = st.lists(st.text(alphabet=st.sampled_from("ΣσςΤΕΛΟ ßİIıéÉЖжaZ.\u1e9e\U00010400")), min_size=1, max_size=6)
+
+
+@settings(max_examples=150, deadline=None)
+@given(GREEK)
+def test_a_text_is_folded_alike_whatever_stands_beside_it(texts):
+    data, offsets = kernel.text_buffers(pa.array(texts, pa.string()))
+    together = decontaminate.lowered(data)
+    for i, text in enumerate(texts):
+        alone = decontaminate.lowered(np.frombuffer(text.encode(), np.uint8))
+        assert bytes(together[offsets[i] : offsets[i + 1]]) == bytes(alone)
 
 
 def test_component_labels(spark):
