@@ -11,11 +11,13 @@ from .fingerprint import fingerprints
 from .jaccard_join import near_duplicate_classes
 from .kneser_ney import quality
 from .language_id import language_predictions
+from .merkle import manifest_digest
 from .mixing import mix_sizes
 from .quotes import conversations
 from .substring_dedup import substring_digest
 from .toxicity import toxicity_scores
 from .url_filter import judge
+from .vector_codes import vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,14 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -186,3 +196,89 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY thread_turn NUL
   len(list_filter(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: regexp_matches(x, '^\s*>')))::BIGINT AS n_quoted_lines
 FROM threaded
 """
+
+
+OP13_MERKLE_MANIFEST_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, lang, n_chars, text, list_reduce(list_prepend(4294967295::BIGINT,
+      flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) END) AS crc FROM documents
+), said AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail FROM d
+), hashed AS (
+  SELECT rid, doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') || tail) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 AND n_chars IS NOT NULL
+      THEN sha256(head || strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1)::VARCHAR || tail) END AS changed FROM said
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed
+), nodes AS (
+  SELECT lang, 0 AS lv, i, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, max(i) OVER (PARTITION BY lang) AS m FROM nodes) WHERE m > 0 GROUP BY lang, lv, i // 2
+), subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i FROM (SELECT lang, max_by(h, lv) AS h FROM nodes GROUP BY lang)
+), tops AS (
+  SELECT 0 AS lv, i, h FROM subroots
+  UNION ALL
+  SELECT lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, max(i) OVER () AS m FROM tops) WHERE m > 0 GROUP BY lv, i // 2
+), sized AS (
+  SELECT *, max(i) OVER (PARTITION BY lang, lv) AS m FROM nodes
+), topsized AS (
+  SELECT *, max(i) OVER (PARTITION BY lv) AS m FROM tops
+), steps AS (
+  SELECT l.rid, n.lv AS k, (l.i >> n.lv) % 2 AS slot, max(CASE WHEN n.i <> l.i >> n.lv THEN n.h END) AS sib
+  FROM leaves l JOIN sized n ON n.lang IS NOT DISTINCT FROM l.lang AND n.i // 2 = (l.i >> n.lv) // 2 AND n.m > 0 GROUP BY ALL
+  UNION ALL
+  SELECT l.rid, 1000 + n.lv, (s.i >> n.lv) % 2, max(CASE WHEN n.i <> s.i >> n.lv THEN n.h END)
+  FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN topsized n ON n.i // 2 = (s.i >> n.lv) // 2 AND n.m > 0 GROUP BY ALL
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY k) AS step FROM steps
+), walk AS (
+  SELECT rid, 0::BIGINT AS step, coalesce(changed, leaf) AS f FROM leaves
+  UNION ALL
+  SELECT w.rid, o.step, sha256(CASE WHEN o.slot = 1 THEN coalesce(o.sib, '') || w.f ELSE w.f || coalesce(o.sib, '') END) FROM walk w JOIN ordered o ON o.rid = w.rid AND o.step = w.step + 1
+), ends AS (
+  SELECT rid, max_by(f, step) AS folded_root FROM walk GROUP BY rid
+), proof AS (
+  SELECT rid, sha256(coalesce(string_agg(sib, '' ORDER BY step), '')) AS proof_sha256 FROM ordered GROUP BY rid
+)
+SELECT doc_id, leaf, s.h AS subroot, r.root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = r.root AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN ends USING (rid) LEFT JOIN proof USING (rid), (SELECT max_by(h, lv) AS root FROM tops) r
+"""
+
+
+OP12_VECTOR_CODES_SQL = r"""
+WITH whole AS (
+  SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x) < 262144)) = len(embedding)
+), kept AS (
+  SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r FROM whole
+  WHERE len(embedding) = (SELECT len(embedding) FROM whole ORDER BY vec_id NULLS LAST, embedding LIMIT 1)
+), flat AS (
+  SELECT r, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x, len(embedding) // 16 AS width FROM kept
+), v AS (
+  SELECT r, i // width AS part, i % width AS pos, floor(256 * x::DOUBLE)::BIGINT AS x FROM flat
+), book0 AS (
+  SELECT part, (r - 1)::INTEGER AS entry, pos, x FROM v WHERE r <= 64
+), near0 AS (
+  SELECT r, part, arg_min(entry, (d, entry)) AS entry FROM (SELECT v.r, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS d FROM v JOIN book0 b USING (part, pos) GROUP BY ALL) GROUP BY ALL
+), sums0 AS (
+  SELECT part, entry, pos, sum(v.x) AS s, count(*) AS n FROM v JOIN near0 USING (r, part) GROUP BY ALL
+), book1 AS (
+  SELECT part, entry, pos, CASE WHEN n IS NULL THEN x ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS x FROM book0 LEFT JOIN sums0 USING (part, entry, pos)
+), near1 AS (
+  SELECT r, part, arg_min(entry, (d, entry)) AS entry FROM (SELECT v.r, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS d FROM v JOIN book1 b USING (part, pos) GROUP BY ALL) GROUP BY ALL
+), sums1 AS (
+  SELECT part, entry, pos, sum(v.x) AS s, count(*) AS n FROM v JOIN near1 USING (r, part) GROUP BY ALL
+), book2 AS (
+  SELECT part, entry, pos, CASE WHEN n IS NULL THEN x ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS x FROM book1 LEFT JOIN sums1 USING (part, entry, pos)
+), near2 AS (
+  SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT v.r, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS d FROM v JOIN book2 b USING (part, pos) GROUP BY ALL) GROUP BY ALL
+), coded AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book2) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
