@@ -13,6 +13,7 @@ from .kneser_ney import quality
 from .language_id import language_predictions
 from .merkle import manifest_digest
 from .mixing import mix_sizes
+from .page_text import main_text
 from .quotes import conversations
 from .substring_dedup import substring_digest
 from .toxicity import toxicity_scores
@@ -64,6 +65,10 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
