@@ -39,11 +39,23 @@ def count_elements(html: Column, tag: str) -> Column:
     return F.regexp_count(stripped(html), F.lit(rf"(?i)<{tag}[\s>]")).cast("long")
 
 
+#: The value of an attribute: in double quotes, in single quotes, or without. Three groups, of which one is filled.
+VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: From a tag's name to an attribute: other attributes end with white space or a quotation mark.
+BEFORE = r"""(?:[^>]*?[\s"'])??"""
+
+
+def _value(tag: Column, pattern: str) -> Column:
+    return unescape(F.concat(*[F.regexp_extract(tag, pattern, n) for n in (1, 2, 3)]))
+
+
 def anchors(html: Column) -> Column:
-    """Array of struct(href, label) of links with an href in double quotes, in document order."""
-    found = F.regexp_extract_all(stripped(html), F.lit(r'(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>'), F.lit(0))
-    return F.transform(found, lambda a: F.struct(F.regexp_extract(a, r'(?is)href="([^"]*)"', 1).alias("href"), text_of(a).alias("label")))
+    """Array of struct(href, label) of links with an href, whatever its quotation marks, in document order."""
+    href = rf"(?is)<a\s{BEFORE}href{VALUE}"
+    found = F.regexp_extract_all(stripped(html), F.lit(href + "[^>]*>.*?</a>"), F.lit(0))
+    return F.transform(found, lambda a: F.struct(_value(a, href).alias("href"), text_of(a).alias("label")))
 
 
 def attribute(html: Column, tag: str, name: str) -> Column:
-    return F.regexp_extract(stripped(html), rf'(?is)<{tag}\s[^>]*?{name}="([^"]*)"', 1)
+    """The attribute of the first such element that has it; empty if there is none."""
+    return _value(stripped(html), rf"(?is)<{tag}\s{BEFORE}{name}{VALUE}")
\ No newline at end of file

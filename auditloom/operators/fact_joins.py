@@ -27,9 +27,15 @@ def _worst(statuses: DataFrame) -> DataFrame:
 
 
 def eligible_pages(records: DataFrame, only_sitemap: bool = False) -> DataFrame:
-    """Crawl records that count as pages: HTML, status 200, not blocked; of the sitemap only, if so asked."""
-    page = F.col("is_html") & (F.col("status") == 200) & ~F.coalesce("robots_blocked", F.lit(False))
-    return records.where(page & (F.col("in_sitemap") if only_sitemap else F.lit(True)))
+    """Crawl records that count as pages: HTML with status 200, in the sitemap or not naming another url as their canonical one.
+
+    A missing or empty canonical, and one that is the same url in its equality form, name no other. With
+    `only_sitemap`, pages of the sitemap alone.
+    """
+    canonical = F.coalesce(F.col("canonical"), F.lit(""))
+    itself = (canonical == "") | (U.norm(canonical) == U.norm(F.col("url")))
+    listed = F.coalesce(F.col("in_sitemap"), F.lit(False))
+    return records.where(F.col("is_html") & (F.col("status") == 200) & (listed if only_sitemap else listed | itself))
 
 
 def crawl_statistics(records: DataFrame) -> DataFrame:

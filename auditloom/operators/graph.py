@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,18 +61,46 @@ def all_depths(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFram
 def redirect_closure(hops: DataFrame, max_hops: int = 10) -> DataFrame:
     """(url, final_url, hops, is_loop) of every source of (url, location): the chain followed to its end.
 
-    A chain that comes back to where it was, or takes more than `max_hops`, is a loop.
+    A chain ends at a url that does not redirect. One that would come back to a url it has been at stops before
+    that, and one of `max_hops` redirects stops there; both are loops. Of a url with several locations the least counts.
+    Each round takes only the chains that go on, and is written out.
     """
-    step = hops.select("url", "location").dropDuplicates(["url"])
-    current = step.select("url", F.col("location").alias("final_url"), F.lit(1).cast("long").alias("hops"), (F.col("location") == F.col("url")).alias("is_loop"))
-    following = step.select(F.col("url").alias("at"), F.col("location").alias("onward"))
-    for _ in range(max_hops):
-        joined = current.join(following, (current["final_url"] == following["at"]) & ~current["is_loop"], "left")
-        current = joined.select(
-            "url", F.coalesce("onward", "final_url").alias("final_url"), (F.col("hops") + F.when(F.col("onward").isNotNull(), 1).otherwise(0)).alias("hops"),
-            (F.col("is_loop") | F.coalesce(F.col("onward") == F.col("url"), F.lit(False)) | (F.col("hops") >= max_hops)).alias("is_loop"),
-        )
-    return current
+    step = cut_lineage(hops.groupBy(F.col("url").alias("at")).agg(F.min("location").alias("onward")).where("at IS NOT NULL AND onward IS NOT NULL"))
+    going = step.select(F.col("at").alias("url"), "at", F.array("at").alias("seen"))
+    ended = []
+    for n in range(max_hops + 1):
+        met = going.join(step, "at", "left")
+        back = F.coalesce(F.array_contains("seen", F.col("onward")), F.lit(False))
+        met = cut_lineage(met.select("url", "at", "seen", "onward", (back | F.lit(n >= max_hops)).alias("is_loop")))
+        ended.append(met.where("is_loop OR onward IS NULL").select("url", F.col("at").alias("final_url"), F.lit(n).cast("long").alias("hops"), "is_loop"))
+        going = met.where("NOT is_loop AND onward IS NOT NULL").select("url", F.col("onward").alias("at"), F.array_append("seen", F.col("onward")).alias("seen"))
+        if n == max_hops or going.limit(1).count() == 0:
+            break
+    out = ended[0]
+    for part in ended[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def hub_coverage(nodes: DataFrame, edges: DataFrame, hubs: DataFrame, examples: int = 15) -> DataFrame:
+    """(graph, hub, prefix, pages, linked, missing, examples) of every hub that is a node and has nodes below its prefix.
+
+    nodes (graph, node), edges (graph, src, dst), hubs (graph, hub, prefix); a prefix ends with a slash. `pages` are
+    the nodes below the prefix without the hub, `linked` those that the hub links to, `examples` the first of the others.
+    A node meets hubs by equality with each of its own prefixes (as many as it has slashes), never by comparing pairs.
+    """
+    parts = F.split("node", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    known = nodes.select("graph", "node").where("graph IS NOT NULL AND node IS NOT NULL").distinct()
+    asked = hubs.select("graph", "hub", "prefix").distinct().join(known.select("graph", F.col("node").alias("hub")), ["graph", "hub"], "left_semi")
+    below = known.where(F.size(parts) > 1).select("graph", "node", F.explode(F.array_distinct(above)).alias("prefix")).join(asked, ["graph", "prefix"]).where("node <> hub")
+    own = edges.select("graph", F.col("src").alias("hub"), F.col("dst").alias("node"), F.lit(True).alias("linked")).distinct()
+    met = below.join(own, ["graph", "hub", "node"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    counts = met.groupBy("graph", "hub", "prefix").agg(F.count("*").alias("pages"), F.count_if("linked").alias("linked"), F.count_if(~F.col("linked")).alias("missing"))
+    # a limit on the row number is taken in every task before the shuffle
+    first = met.where("NOT linked").withColumn("_nth", F.row_number().over(Window.partitionBy("graph", "hub", "prefix").orderBy("node"))).where(F.col("_nth") <= examples)
+    named = first.groupBy("graph", "hub", "prefix").agg(F.sort_array(F.collect_list("node")).alias("examples"))
+    return counts.join(named, ["graph", "hub", "prefix"], "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
 
 
 def in_degree(edges: DataFrame) -> DataFrame:

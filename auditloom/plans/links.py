@@ -15,14 +15,18 @@ from .registry import query, table
 GENERIC_ANCHORS = ("click here", "here", "read more", "more", "learn more", "link", "this", "view", "details", "go", "view more", "see more", "continue", "click")
 MAX_LINKS, MIN_INTERNAL, MAX_DEPTH = 150, 3, 3
 
-LINKS_SQL = "WITH " + FACTS_SQL + "," + URL_SQL + r""", a AS (
+#: A link's start up to its href: attributes in any quotation marks; `data-href` is another attribute.
+HREF_SQL = r"""'(?is)<a\s(?:[^>]*?[\s"''])??href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+LINKS_SQL = "WITH " + FACTS_SQL + "," + URL_SQL + rf""", a AS (
   SELECT page_id, url, unnest(tags) AS tag, generate_subscripts(tags, 1) AS nth
-  FROM (SELECT page_id, url, regexp_extract_all(body, '(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>') AS tags FROM facts)
-), links AS (
-  SELECT page_id, url, nth, regexp_extract(tag, '(?is)href="([^"]*)"', 1) AS href,
+  FROM (SELECT page_id, url, regexp_extract_all(body, {HREF_SQL}[^>]*>.*?</a>') AS tags FROM facts)
+), hrefs AS (
+  SELECT *, regexp_extract(tag, {HREF_SQL}', 1) || regexp_extract(tag, {HREF_SQL}', 2) || regexp_extract(tag, {HREF_SQL}', 3) AS raw FROM a
+""" + r"""), links AS (
+  SELECT page_id, url, nth, replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS href,
     trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(tag, '<[^>]*>', ' ', 'g'),
       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS label
-  FROM a
+  FROM hrefs
 ), edges AS (
   SELECT DISTINCT bare_host AS graph, path AS src, CASE WHEN regexp_replace(dst, '/+$', '') = '' THEN '/' ELSE regexp_replace(dst, '/+$', '') END AS dst
   FROM (SELECT *, regexp_extract(CASE WHEN href LIKE '/%' THEN href WHEN href = '' OR href LIKE '#%' OR href LIKE '?%' THEN raw_path ELSE regexp_replace(raw_path, '[^/]*$', '') || href END, '^([^?#]*)', 1) AS dst
@@ -68,6 +72,29 @@ def dangling_targets(spark, sf_dir):
     return missing.groupBy(F.col("graph").alias("host"), F.col("dst").alias("target")).agg(F.count_distinct("src").alias("sources"))
 
 
+#: A hub laid over each section: the least path with a first segment stands for the page that lists the others.
+HUBS_SQL = r""", nodes AS (SELECT DISTINCT bare_host AS graph, path AS node FROM urls), sections AS (
+  SELECT graph, min(node) AS hub, '/' || string_split(node, '/')[2] || '/' AS prefix FROM nodes WHERE len(string_split(node, '/')) > 2 GROUP BY 1, 3
+), hubs AS (SELECT * FROM sections UNION SELECT graph, node, node || '/' FROM nodes WHERE node <> '/')"""
+
+
+@query(LINKS_SQL + HUBS_SQL + r""", met AS (
+  SELECT h.graph, h.hub, h.prefix, n.node, EXISTS (SELECT 1 FROM edges e WHERE e.graph = h.graph AND e.src = h.hub AND e.dst = n.node) AS linked
+  FROM hubs h JOIN nodes n ON n.graph = h.graph AND starts_with(n.node, h.prefix) AND n.node <> h.hub
+) SELECT graph AS host, hub, prefix, count(*)::BIGINT AS pages, count(*) FILTER (linked)::BIGINT AS linked, count(*) FILTER (NOT linked)::BIGINT AS missing,
+  coalesce(array_to_string((list(node ORDER BY node) FILTER (NOT linked))[1:15], ', '), '') AS examples FROM met GROUP BY 1, 2, 3""")
+def hub_coverage(spark, sf_dir):
+    """Which of the pages below a hub the hub itself links to. Every page is the hub of the paths below it; the first page
+    of a section is laid out as the section's hub."""
+    one_way = edges(spark, sf_dir)
+    nodes = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("graph"), U.path(F.col("url")).alias("node")).distinct()
+    parts = F.split("node", "/")
+    sections = nodes.where(F.size(parts) > 2).groupBy("graph", F.concat(F.lit("/"), F.get(parts, 1), F.lit("/")).alias("prefix")).agg(F.min("node").alias("hub"))
+    own = nodes.where("node <> '/'").select("graph", F.concat("node", F.lit("/")).alias("prefix"), F.col("node").alias("hub"))
+    rows = graph.hub_coverage(nodes, one_way, sections.unionByName(own).distinct())
+    return rows.select(F.col("graph").alias("host"), "hub", "prefix", "pages", "linked", "missing", F.array_join("examples", ", ").alias("examples"))
+
+
 @query(LINKS_SQL + r""" SELECT url FROM urls u WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = u.bare_host AND e.dst = u.path AND e.src <> e.dst)""")
 def orphan_pages(spark, sf_dir):
     nodes = table(spark, sf_dir, "pages").select("url", U.bare_host(F.col("url")).alias("graph"), U.path(F.col("url")).alias("node"))
@@ -109,19 +136,20 @@ def click_depth(spark, sf_dir):
     return graph.all_depths(nodes, one_way, _roots(nodes, one_way)).select(F.col("graph").alias("host"), "node", "depth", problem.alias("problem"))
 
 
-@query(r"""WITH RECURSIVE h AS (
-  SELECT 'u' || o_orderkey AS url, 'u' || CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 11 = 1 AND o_orderkey % 2 = 0 THEN o_orderkey - 1 ELSE o_orderkey + 1 END AS location
-  FROM orders WHERE o_orderkey % 11 < 3
+@query(r"""WITH RECURSIVE k AS (SELECT c_custkey AS k, c_custkey % 41 AS m FROM customer), h AS (
+  SELECT 'u' || k AS url, 'u' || CASE WHEN m < 12 OR m IN (20, 21, 30, 31) THEN k + 1 WHEN m = 22 THEN k - 1 ELSE k END AS location FROM k WHERE m < 12 OR m IN (20, 21, 22, 25, 30, 31)
 ), w AS (
-  SELECT url, location AS at, 1 AS hops, location = url AS is_loop FROM h
-  UNION ALL SELECT w.url, h.location, w.hops + 1, h.location = w.url OR w.hops >= 10 FROM w JOIN h ON h.url = w.at WHERE NOT w.is_loop AND w.hops <= 10
-), last AS (SELECT url, max(hops) AS hops FROM w GROUP BY url)
-SELECT w.url, w.at AS final_url, w.hops::BIGINT AS hops, w.is_loop FROM w JOIN last USING (url, hops)""")
+  SELECT url, url AS here, 0 AS hops, [url] AS seen, false AS is_loop FROM h
+  UNION ALL SELECT w.url, CASE WHEN list_contains(seen, location) THEN here ELSE location END, CASE WHEN list_contains(seen, location) THEN hops ELSE hops + 1 END, list_append(seen, location),
+    list_contains(seen, location) OR hops + 1 >= 10 FROM w JOIN h ON h.url = w.here WHERE NOT w.is_loop
+)
+SELECT url, max_by(here, (hops, is_loop)) AS final_url, max(hops)::BIGINT AS hops, max(is_loop::INTEGER)::BOOLEAN AS is_loop FROM w GROUP BY url""")
 def redirect_closure(spark, sf_dir):
-    """Redirect chains laid over order keys: runs of up to three hops, some of them loops."""
-    k = F.col("o_orderkey")
-    target = F.when(k % 11 == 0, k + 1).when((k % 11 == 1) & (k % 2 == 0), k - 1).otherwise(k + 1)
-    hops = table(spark, sf_dir, "orders").where(k % 11 < 3).select(F.concat(F.lit("u"), k).alias("url"), F.concat(F.lit("u"), target).alias("location"))
+    """Redirects laid over customer keys: chains of 12, of two, tails into a loop of two, and urls that lead to themselves."""
+    k = F.col("c_custkey")
+    m = k % 41
+    target = F.when((m < 12) | m.isin(20, 21, 30, 31), k + 1).when(m == 22, k - 1).otherwise(k)
+    hops = table(spark, sf_dir, "customer").where((m < 12) | m.isin(20, 21, 22, 25, 30, 31)).select(F.concat(F.lit("u"), k).alias("url"), F.concat(F.lit("u"), target).alias("location"))
     return graph.redirect_closure(hops)
 
 
@@ -141,13 +169,18 @@ def first_source_label(spark, sf_dir):
     return first.select("url", "href", F.col("f.label").alias("anchor"))
 
 
-@query("WITH " + FACTS_SQL + r""", t AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:script|link|img|iframe|source|video|audio|form)\s[^>]*(?:src|href|action)="http://[^"]*"')) AS tag FROM facts
-) SELECT url, lower(regexp_extract(tag, '^<([A-Za-z]+)', 1)) AS tag, regexp_extract(tag, '(http://[^"]*)"$', 1) AS src FROM t WHERE url LIKE 'https://%'""")
+#: The start of an element that loads something, or sends a form, over plain http, in any quotation marks.
+LOADED = r"""(?is)<(script|link|img|iframe|source|video|audio|form)\s(?:[^>]*?[\s"'])??(?:src|href|action)\s*=\s*(?:"\s*(http://[^"]*)"|'\s*(http://[^']*)'|(http://[^\s"'>]+))"""
+LOADED_SQL = "'" + LOADED.replace("'", "''") + "'"
+
+
+@query(f"""WITH t AS (SELECT url, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '<!--.*?-->', ' ', 'gis'), {LOADED_SQL})) AS tag FROM pages WHERE url LIKE 'https://%')
+SELECT url, lower(regexp_extract(tag, {LOADED_SQL}, 1)) AS tag, regexp_extract(tag, {LOADED_SQL}, 2) || regexp_extract(tag, {LOADED_SQL}, 3) || regexp_extract(tag, {LOADED_SQL}, 4) AS src FROM t""")
 def mixed_content(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit(r'(?is)<(?:script|link|img|iframe|source|video|audio|form)\s[^>]*(?:src|href|action)="http://[^"]*"'), F.lit(0))
-    rows = table(spark, sf_dir, "pages").where(F.col("url").startswith("https://")).select("url", F.explode(found).alias("t"))
-    return rows.select("url", F.lower(F.regexp_extract("t", "^<([A-Za-z]+)", 1)).alias("tag"), F.regexp_extract("t", '(http://[^"]*)"$', 1).alias("src"))
+    """What encrypted pages load, or send forms to, over plain http. Comments do not count."""
+    shown = F.regexp_replace(F.coalesce("html", F.lit("")), "(?is)<!--.*?-->", " ")
+    rows = table(spark, sf_dir, "pages").where(F.col("url").startswith("https://")).select("url", F.explode(F.regexp_extract_all(shown, F.lit(LOADED), F.lit(0))).alias("t"))
+    return rows.select("url", F.lower(F.regexp_extract("t", LOADED, 1)).alias("tag"), F.concat(*[F.regexp_extract("t", LOADED, n) for n in (2, 3, 4)]).alias("src"))
 
 
 @query("WITH " + URL_SQL + r""", l AS (SELECT DISTINCT regexp_replace(path, '^/[a-z]{2}/', '/x/') AS k FROM urls WHERE bare_host LIKE '%.com'),

@@ -139,15 +139,6 @@ def compound_words(spark, sf_dir):
     return met.where(fits).groupBy("word").agg(F.min("cut").alias("cut"))
 
 
-@query("WITH " + URL_SQL + r""", sec AS (SELECT DISTINCT bare_host, '/' || string_split(raw_path, '/')[2] || '/' AS prefix FROM urls WHERE len(string_split(raw_path, '/')) > 2)
-SELECT s.bare_host AS host, prefix, count(*)::BIGINT AS pages FROM sec s JOIN urls u ON u.bare_host = s.bare_host AND starts_with(u.raw_path, prefix) GROUP BY 1, 2""")
-def hub_coverage(spark, sf_dir):
-    """Pages under each section of a site: a path belongs to the section of its first segment, so counts need no join."""
-    rows = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("host"), U.raw_path(F.col("url")).alias("path"))
-    parts = F.split("path", "/")
-    return rows.where(F.size(parts) > 2).groupBy("host", F.concat(F.lit("/"), F.element_at(parts, 2), F.lit("/")).alias("prefix")).agg(F.count("*").alias("pages"))
-
-
 AUDITS = [("a", 0.3, "binary", "See [docs](https://d.org/x) for `code`"), ("b", 0.7, "numeric", "plain"), ("c", 0.95, "numeric", "[only](http://o.org)"), ("d", None, "manual", "m"), ("e", None, "numeric", "")]
 
 
@@ -200,17 +191,25 @@ def consensus(spark, sf_dir):
     return joined.groupBy("c_nationkey").agg(F.first("h.c_mktsegment").alias("main"), F.first("total").alias("total"), F.count_if(minority).alias("minorities"))
 
 
-ROBOTS = [("a.com", "User-agent: one\nUser-agent: *  # everyone\nAllow: /en/12\nDisallow: /en/1\nDisallow: /de/\nSitemap: http://a.com/s.xml\n\nDisallow: /fr/\n\nUser-agent: two\nDisallow: /")]
+ROBOTS = (
+    "User-agent: one\nUser-agent: *  # everyone\nAllow: /en/12\nDisallow: /en/1\nDisallow: /de/\nSitemap: http://a.com/s.xml\n\nDisallow: /fr/\n\nUser-agent: two\nDisallow: /",
+    "User-agent: *\nDisallow:\n",
+    "User-agent: *\nDisallow: /es/\nAllow: /en/4\nDisallow: /en/4\nDisallow: /en/5",
+)
 
 
-@query("WITH " + URL_SQL + r"""SELECT DISTINCT raw_path AS path, starts_with(raw_path, '/en/12') OR NOT (starts_with(raw_path, '/en/1') OR starts_with(raw_path, '/de/')) AS allowed FROM urls""")
+@query("WITH " + URL_SQL + r"""SELECT DISTINCT bare_host AS host, raw_path AS path, CASE length(bare_host) % 4
+  WHEN 0 THEN starts_with(raw_path, '/en/12') OR NOT (starts_with(raw_path, '/en/1') OR starts_with(raw_path, '/de/'))
+  WHEN 2 THEN NOT (starts_with(raw_path, '/es/') OR starts_with(raw_path, '/en/5')) ELSE true END AS allowed FROM urls""")
 def robots_allowed(spark, sf_dir):
-    """Paths of stored pages against one robots file: the first fitting rule of the group decides; rules outside a group do not count."""
+    """Paths of stored pages against their host's robots file, one of three (or none) laid over the hosts by the length of
+    their names: the first fitting rule of the group decides; rules outside a group do not count."""
     from auditloom.sources import tables
 
-    paths = table(spark, sf_dir, "pages").select(F.lit("a.com").alias("host"), U.raw_path(F.col("url")).alias("path")).distinct()
-    rules = tables.robots_rules(spark.createDataFrame(ROBOTS, "host string, body string"))
-    return tables.robots_allowed(paths, rules).select("path", "allowed")
+    paths = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("host"), U.raw_path(F.col("url")).alias("path")).distinct()
+    body = F.get(F.array(*map(F.lit, ROBOTS)), F.length("host") % 4)
+    files = paths.select("host", body.alias("body")).distinct().where("body IS NOT NULL")
+    return tables.robots_allowed(paths, tables.robots_rules(files)).select("host", "path", "allowed")
 
 
 @query(r"""SELECT url AS loc, CASE WHEN page_id % 2 = 0 THEN '2026-01-0' || (page_id % 9 + 1)::VARCHAR END AS lastmod FROM pages""")

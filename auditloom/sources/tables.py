@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditloom.operators.sized import sized_join
+
 SCHEMAS = {
     "responses": "status int, url string, headers map<string,string>, content binary, ms int, history array<struct<code:int,url:string,location:string>>, location string, error string, http_version string",
     "crawl_records": "url string, status int, content_type string, is_html boolean, ms int, via string, found_on string, in_sitemap boolean, robots_blocked boolean, redirect_to string, title string, canonical string, noindex boolean, error string, depth int, inlinks long, js_only boolean, sources array<string>, final_url string, redirect_hops int",
@@ -87,15 +89,18 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataF
 
     A named agent follows the first group that names it (a part of its name is enough), else the first one for `*`.
     An empty disallow allows everything. Without a fitting rule a url is allowed.
+    A host's rules travel as one array (a robots file is read up to a fixed size, so it is short), and urls meet them
+    by host without a hot key.
     """
     name = agent.split("/")[0].lower()
     own = rules.where(F.col("kind").isin("allow", "disallow")).withColumn("own", F.exists("agents", lambda a: (a != "*") & F.contains(F.lit(name), a))).withColumn("any", F.array_contains("agents", "*"))
     first = own.groupBy("host").agg(F.coalesce(F.min(F.when(F.col("own"), F.col("group"))), F.min(F.when(F.col("any"), F.col("group")))).alias("group"))
     allow = (F.col("kind") == "allow") | (F.col("path") == "")
     group = own.join(first, ["host", "group"]).select(F.col("host").alias("r_host"), "at", allow.alias("allow"), F.regexp_replace("path", r"^\*$", "").alias("prefix"))
-    hit = urls.select("host", "path").join(group, (F.col("host") == F.col("r_host")) & F.startswith("path", "prefix"), "left")
-    best = hit.groupBy("host", "path").agg(F.min(F.when(F.col("at").isNotNull(), F.struct("at", "allow"))).alias("m"))
-    return best.select("host", "path", F.coalesce("m.allow", F.lit(True)).alias("allowed"))
+    ordered = group.groupBy(F.col("r_host").alias("host")).agg(F.sort_array(F.collect_list(F.struct("at", "allow", "prefix"))).alias("rules"))
+    met = sized_join(urls.select("host", "path").distinct(), ordered, "host", "left")
+    first = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["prefix"])), 0)
+    return met.select("host", "path", F.coalesce(first["allow"], F.lit(True)).alias("allowed"))
 
 
 def latest_reports(reports: DataFrame) -> DataFrame:

@@ -25,9 +25,15 @@ def test_link_status_reaches_every_source(spark):
 
 
 def test_records(spark):
-    records = spark.createDataFrame([("http://a.org/x?utm_source=1", 200, True, True, False, False, 10, 1), ("http://a.org/y", 301, False, False, False, False, 20, 2), ("http://a.org/z", 200, True, False, True, True, 31, 3), ("http://a.org/w", 0, None, None, None, None, None, None)], "url string, status int, is_html boolean, in_sitemap boolean, robots_blocked boolean, js_only boolean, ms int, depth int")
-    assert [r.url for r in J.eligible_pages(records).collect()] == ["http://a.org/x?utm_source=1"]
-    assert J.eligible_pages(records, True).count() == 1
+    rows = [("http://a.org/x?utm_source=1", 200, True, True, False, False, 10, 1), ("http://a.org/y", 301, False, False, False, False, 20, 2), ("http://a.org/z", 200, True, False, True, True, 31, 3), ("http://a.org/w", 0, None, None, None, None, None, None)]
+    records = spark.createDataFrame(rows, "url string, status int, is_html boolean, in_sitemap boolean, robots_blocked boolean, js_only boolean, ms int, depth int")
+    # the reference's rule: HTML with status 200, in the sitemap or its own canonical url, whatever robots.txt says
+    own = {"http://a.org/x?utm_source=1": "http://a.org/x", "http://a.org/z": None}
+    for canonical, kept in ((None, True), ("", True), ("http://A.org/z/#f", True), ("http://a.org/other", False)):
+        own["http://a.org/z"] = canonical
+        named = records.join(spark.createDataFrame(list(own.items()), "url string, canonical string"), "url", "left")
+        assert {r.url for r in J.eligible_pages(named).collect()} == {"http://a.org/x?utm_source=1"} | ({"http://a.org/z"} if kept else set())
+        assert J.eligible_pages(named, True).count() == 1
     assert tuple(J.crawl_statistics(records).first()) == (4, 2, 1, 1, 1, 1, 1, 20, 3)
     issues = spark.createDataFrame([("http://a.org/x", "i"), ("http://a.org/y", "j"), ("(site-wide)", "k")], "url string, issue string")
     assert {r.issue: (r.http_status, r.in_sitemap) for r in J.with_records(issues, records).collect()} == {"i": ("200", "yes"), "j": ("301", "no"), "k": ("", "")}

@@ -126,9 +126,17 @@ def test_graph(spark):
     frame = spark.createDataFrame(sorted(edges), "graph string, src long, dst long")
     got = graph.bfs_depth(frame, spark.createDataFrame([("g", 0)], "graph string, node long"))
     assert {r.node: r.depth for r in got.collect()} == depth
-    hops = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("s", "s")], "url string, location string")
-    got = {r.url: (r.final_url, r.hops, r.is_loop) for r in graph.redirect_closure(hops).collect()}
-    assert got["a"] == ("c", 2, False) and got["b"] == ("c", 1, False) and got["x"][2] and got["s"] == ("s", 1, True)
+
+
+def test_redirects_stop_before_a_url_they_have_been_at(spark):
+    chain = [(f"r{i:02}", f"r{i + 1:02}") for i in range(11)]
+    rows = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("s", "s"), ("p", "q"), ("q", "r"), ("r", "q"), ("two", "z"), ("two", "a"), (None, "a"), ("end", None), *chain]
+    got = {r.url: (r.final_url, r.hops, r.is_loop) for r in graph.redirect_closure(spark.createDataFrame(rows, "url string, location string")).collect()}
+    assert got == {
+        "a": ("c", 2, False), "b": ("c", 1, False), "x": ("y", 1, True), "y": ("x", 1, True), "s": ("s", 0, True), "p": ("r", 2, True), "q": ("r", 1, True), "r": ("q", 1, True), "two": ("c", 3, False),
+        "r00": ("r10", 10, True), "r01": ("r11", 10, True), **{f"r{i:02}": ("r11", 11 - i, False) for i in range(2, 11)},
+    }
+    assert graph.redirect_closure(spark.createDataFrame([], "url string, location string")).count() == 0
 
 
 def test_all_depths(spark):

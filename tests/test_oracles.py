@@ -62,6 +62,9 @@ def planted(spark, tmp_path_factory, duck):
         "/lonely_Page/Sample/123456": ("Test", "Test", ""), "/en/12": ("x", "y", '<a href="//other.org/z">z</a>'), "/en/1": ("x", "y", ""), "/de/1": ("x", "y", ""),
     }
     pages = [(n, f"https://www.site.org{p}", page.format(t=t, h=h, b=b)) for n, (p, (t, h, b)) in enumerate(bodies.items())]
+    quotes = "<A HREF='/a'>one &amp; two</A><a class=x href=/b>bare</a><a data-href=\"/no\">no</a><a name=top></a><a title='h' href = \"/c/d?x=1&amp;y=2\">three</a><a\nhref='/services/one'>s</a>"
+    loads = "<img src='http://i.x/q.png'><link rel=x href=http://i.x/s.css><!-- <img src=\"http://no/\"> --><iframe data-src=\"http://no/\" src=\"https://ok/\"></iframe>"
+    pages += [(40, "https://www.site.org/services", page.format(t="Services", h="Services", b=quotes + loads)), *((41 + i, f"https://www.site.org/services/{w}", page.format(t=w, h=w, b="")) for i, w in enumerate(("one", "two", "three/four")))]
     pages += [(n + 20, f"http://site.com{p}", page.format(t=t, h=h, b=b)) for n, (p, (t, h, b)) in enumerate(list(bodies.items())[:4])] + [(90, "https://bare.net/only?utm_source=a&x=1", "<p>no tags")]
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
     connection = duckdb.connect()
@@ -72,7 +75,7 @@ def planted(spark, tmp_path_factory, duck):
     return folder, connection
 
 
-FULL = "secret_scan leftovers copyright_years mixed_content near_duplicates_md5 near_duplicate_members_md5 default_titles filler_phrases filler_texts generic_anchors first_source_label bfs_depth misspellings typo_candidates ranked_suggestions compound_words placeholder_text odd_characters emails_found phones_found robots_allowed url_classes exact_duplicates duplicate_titles page_seo_issues issue_types merged_issues checklist category_scores link_indegree orphan_pages dangling_targets hub_coverage letter_case keyword_stuffing forbidden_terms url_summary health_score".split()
+FULL = "secret_scan leftovers copyright_years mixed_content near_duplicates_md5 near_duplicate_members_md5 default_titles filler_phrases filler_texts generic_anchors first_source_label bfs_depth misspellings typo_candidates ranked_suggestions compound_words placeholder_text odd_characters emails_found phones_found robots_allowed url_classes exact_duplicates duplicate_titles page_seo_issues issue_types merged_issues checklist category_scores link_indegree orphan_pages dangling_targets hub_coverage page_links link_counts link_status redirect_sources letter_case keyword_stuffing forbidden_terms url_summary health_score".split()
 
 
 @pytest.mark.parametrize("name", FULL)
@@ -86,6 +89,19 @@ def test_query_equals_sql_on_planted_rows(spark, planted, name):
     assert mine and mine == sorted(tuple(cell(r[names.index(c)]) for c in columns) for r in result.fetchall())
 
 
+def test_planted_links_in_all_quotation_marks(spark, planted):
+    found = {r.href for r in plans.queries()["page_links"](spark, planted[0]).where("url = 'https://www.site.org/services'").collect()}
+    assert found == {"/", "/a", "/b", "/c/d?x=1&y=2", "/services/one"}
+    hubs = {r.hub: r for r in plans.queries()["hub_coverage"](spark, planted[0]).where("host = 'site.org' AND prefix = '/services/'").collect()}
+    assert tuple(hubs["/services"])[3:] == (3, 1, 2, "/services/three/four, /services/two")
+
+
+@pytest.mark.parametrize("name", ["robots_allowed", "hub_coverage", "redirect_closure"])
+def test_no_side_is_broadcast_for_a_nested_loop(spark, name):
+    plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert plans.queries()[name](spark, SF).columns
