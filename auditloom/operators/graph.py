@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Written to the session's shared checkpoint folder (spark.checkpoint.dir).
+def _shared_folder(df: DataFrame) -> str:
+    """The session's shared checkpoint folder (spark.checkpoint.dir), set as the folder of checkpoints.
 
     Where it is unset, a local session (one machine, as in tests) gets a folder of its own; a cluster gets an error.
     """
@@ -22,9 +23,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if folder is None:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df` checkpointed in the session's shared folder."""
+    _shared_folder(df)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the session's shared folder: its plan is that of a file, whatever made it."""
+    path = f"{_shared_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bfs_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(graph, node, depth): fewest links from a root, per graph; edges (graph, src, dst), roots (graph, node).
 

@@ -480,7 +480,7 @@ def jsonld_entities(elements: DataFrame) -> DataFrame:
     """(url, block, top, context, types, id, label, size, props, raw, error) of the objects of each JSON-LD block.
 
     `top` marks the block's own objects and members of their `@graph`; the former have a context as text; props are the properties that are not empty. A
-    block that is not JSON is one row with `error`; blocks are parsed by the standard parser, a batch at a time.
+    block that is not JSON, or is nested beyond the parser's depth, is one row with `error`; blocks are parsed by the standard parser, a batch at a time.
     """
     blocks = _page(elements).where((F.col("tag") == "script") & (F.lower(_text("type")) == "application/ld+json")).select("url", "ord", "text")
     schema = "url string, block int, top boolean, context string, types array<string>, id string, label string, size int, props array<string>, raw string, error string"
@@ -505,11 +505,11 @@ def jsonld_entities(elements: DataFrame) -> DataFrame:
             rows = []
             for url, at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    data = json.loads(raw)
-                except ValueError as failure:
+                    found = list(objects(json.loads(raw), True, True))
+                except (ValueError, RecursionError) as failure:
                     rows.append((url, at, True, None, [], None, None, 0, [], raw, str(failure)))
                     continue
-                for node, top, own in objects(data, True, True):
+                for node, top, own in found:
                     kinds = node.get("@type", [])
                     kinds = [k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)]
                     name = node.get("name") or node.get("headline") or node.get("@id") or ""

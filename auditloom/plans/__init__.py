@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content, details, facts, grammar, joins, links, measured, onpage, reports, resources, rollup, scalars  # noqa: F401  each module registers its queries
+from . import content, details, facts, grammar, joins, links, measured, onpage, reports, resources, rollup, scalars, sites  # noqa: F401  each module registers its queries
 from .registry import QUERIES, SQL
 
 

@@ -232,18 +232,6 @@ def element_counts(spark, sf_dir):
     return rows.groupBy("url").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") == "li").alias("items"))
 
 
-JSONLD = [("u1", '<script type="application/ld+json">{"@type":"FAQPage","mainEntity":[{"@type":"Question"},{"@type":"Question"}]}</script>'), ("u2", '<script type="application/ld+json">{"@graph":[{"@type":["A","B"]}]}</script>')]
-
-
-@query()
-def jsonld_types(spark, sf_dir):
-    """Types of JSON-LD nodes of two literal pages; SQL does not recurse into JSON."""
-    from auditloom.sources.elements import html_elements, jsonld_nodes
-
-    pages = spark.createDataFrame(JSONLD, "url string, html string")
-    return jsonld_nodes(html_elements(pages)).groupBy("url", "type").agg(F.count("*").alias("n"))
-
-
 @query()
 def page_element_issues(spark, sf_dir):
     """Heading, image, accessibility and social issues of all pages, from one parse; nesting is not SQL."""
