@@ -8,6 +8,7 @@ from auditloom.functions import text as T
 from auditloom.operators import similarity
 from auditloom.operators.graph import cut_lineage
 from auditloom.operators.metrics import top_per_group
+from auditloom.operators.sized import running_total
 
 from .registry import query, table
 
@@ -263,9 +264,7 @@ def ranked_suggestions(spark, sf_dir):
 SELECT conv_id, turn, role, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM l""")
 def block_offsets(spark, sf_dir):
     """Usable text blocks, at least half letters, with their place in the joined text of their conversation."""
-    from pyspark.sql import Window
-
     letters, solid = F.length(F.regexp_replace("text", "[^A-Za-z]", "")), F.length(F.regexp_replace("text", r"\s", ""))
     rows = table(spark, sf_dir, "conversations").where(letters * 2 >= solid).withColumn("text", F.trim("text"))
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("conv_id", "turn", "role", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("long").alias("at"))
+    laid = running_total(rows.select("conv_id", "turn", "role", "text"), "conv_id", [F.col("turn").asc()], F.length("text") + 2, "at")
+    return laid.select("conv_id", "turn", "role", "at")

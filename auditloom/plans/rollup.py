@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
 from auditloom.functions import urls as U
-from auditloom.operators import scoring
+from auditloom.operators import guide, scoring
 from auditloom.operators.graph import cut_lineage
 from auditloom.operators.rules import Rule, evaluate
 
@@ -200,14 +200,34 @@ def verdict(spark, sf_dir):
 
 #: The first rules of the guide that name an issue, in order.
 GUIDE = [(1, "title (missing|too short|too long)", "title length"), (2, "duplicate title", "title unique"), (3, r"\bh1\b", "one h1"), (4, "url not seo", "readable url"), (5, "title", "title")]
+FALLBACKS = [("headings", "see the heading"), ("title", "see the title")]
 
 
-@query(BOTH_SQL + f""", g AS (SELECT * FROM (VALUES {", ".join(f"({o}, '{p}', '{r}')" for o, p, r in GUIDE)}) AS t(ord, pattern, rule)),
-n AS (SELECT DISTINCT issue FROM every), """ + r"""h AS (SELECT n.issue, min_by(rule, ord) AS rule FROM n JOIN g ON regexp_matches(lower(n.issue), g.pattern) GROUP BY 1)
-SELECT n.issue, h.rule FROM n LEFT JOIN h USING (issue)""")
+@query(BOTH_SQL + f""", g AS (SELECT * FROM (VALUES {", ".join(f"({o}, '{p}', '{r}')" for o, p, r in GUIDE)}) AS t(ord, pattern, rule)), f AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{r}')" for c, r in FALLBACKS)}) AS t(category, rule)),
+n AS (SELECT DISTINCT category, issue FROM every), """ + r"""h AS (SELECT n.issue, min_by(rule, ord) AS rule FROM n JOIN g ON regexp_matches(lower(n.issue), g.pattern) GROUP BY 1)
+SELECT n.category, n.issue, coalesce(h.rule, f.rule) AS rule FROM n LEFT JOIN h USING (issue) LEFT JOIN f ON f.category = lower(n.category)""")
 def guide_lookup(spark, sf_dir):
+    """The advice of the first rule that names each issue, else that of its category."""
     rules = scoring.literal(spark, GUIDE, "ord int, pattern string, rule string")
-    return scoring.first_match(every_issue(spark, sf_dir).select("issue").distinct(), "issue", rules, "rule").select("issue", "rule")
+    other = scoring.literal(spark, FALLBACKS, "category string, rule string")
+    return guide.guided(every_issue(spark, sf_dir).select("category", "issue").distinct(), "issue", rules, other, "category").select("category", "issue", "rule")
+
+
+@query(r"""WITH r AS (SELECT row_number() OVER (ORDER BY t DESC) AS ord, t, CASE WHEN length(t) % 3 = 0 THEN '^' || lower(t) ELSE regexp_replace(lower(t), ' ', '.*', 'g') END AS pattern FROM (SELECT DISTINCT p_name || CASE WHEN p_size > 25 THEN '' ELSE ' ' || p_type END AS t FROM part)),
+x AS (SELECT p_partkey, p_name || ' / ' || p_type AS text FROM part), h AS (SELECT p_partkey, min_by(t, ord) AS rule FROM x JOIN r ON regexp_matches(lower(text), pattern) GROUP BY 1)
+SELECT p_partkey, rule FROM part LEFT JOIN h USING (p_partkey)""")
+def pattern_guide(spark, sf_dir):
+    """The first of many patterns (laid over the names and types of parts) that occurs in each part's name and type."""
+    from pyspark.sql import Window
+
+    part = table(spark, sf_dir, "part")
+    kinds = part.select(F.concat("p_name", F.when(F.col("p_size") > 25, "").otherwise(F.concat(F.lit(" "), "p_type"))).alias("t")).distinct()
+    low = F.lower("t")
+    pattern = F.when(F.length("t") % 3 == 0, F.concat(F.lit("^"), low)).otherwise(F.regexp_replace(low, " ", ".*"))
+    # names and types are words of short lists: a small table, whatever the number of parts
+    rules = kinds.select(F.row_number().over(Window.orderBy(F.desc("t"))).alias("ord"), pattern.alias("pattern"), F.col("t").alias("rule"))
+    rows = part.select("p_partkey", F.concat("p_name", F.lit(" / "), "p_type").alias("text"))
+    return guide.guided(rows, "text", rules).select("p_partkey", "rule")
 
 
 VENDOR_URL = [("cdn.jsdelivr.net/x.js",), ("www.google.com/maps/embed",), ("js.stripe.com/v3",), ("static.hotjar.com/c",), ("nothing.example/x",)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stateful import merge_latest
+
 
 def new_urls(stream: DataFrame, url: str = "url", at: str = "ts", within: str = "1 day") -> DataFrame:
     """Urls not seen before: a seen-set whose entries expire, so that the state stays bounded."""
@@ -18,11 +20,5 @@ def windowed_metrics(stream: DataFrame, at: str, group: str, value: str, window:
 
 
 def upsert_latest(keyed: str, order: str, path: str):
-    """A foreachBatch function that keeps the newest row of each key in a Parquet folder of versions."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        others = [c for c in batch.columns if c not in (keyed, order)]
-        newest = batch.groupBy(keyed).agg(F.max(F.struct(order, *others)).alias("m")).select(keyed, "m.*")
-        newest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return write
+    """A foreachBatch function that keeps the newest row of each key in a Parquet folder; `stateful.merged_table` reads it."""
+    return merge_latest(keyed, order, path)
