@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from .graph import cut_lineage
+from .sized import SMALL_ROWS, sized_join
 
 HASHES, BANDS, THRESHOLD, BLOCK = 96, 12, 0.90, 256
 _rng = random.Random(7)
@@ -22,7 +23,8 @@ SEEDS = [_rng.getrandbits(32) for _ in range(HASHES)]
 def exact_copies(rows: DataFrame, text: Column) -> DataFrame:
     """The rows with a key of their text and the number of rows that share it."""
     keyed = rows.withColumn("text_key", F.md5(F.lower(text).cast("binary")))
-    return keyed.withColumn("n_copies", F.count("*").over(Window.partitionBy("text_key")))
+    # counts are partial sums, and rows of a frequent text stay where they are
+    return sized_join(keyed, keyed.groupBy("text_key").agg(F.count("*").alias("n_copies")), "text_key")
 
 
 def shingle_hashes_md5(words: Column, k: int = 5) -> Column:
@@ -97,6 +99,10 @@ def near_misses(words: DataFrame, distance: int = 1, known: DataFrame | None = N
             keys = keys.withColumn("keys", F.array_distinct(F.concat("keys", F.flatten(F.transform("keys", shorter)))))
         return keys.select("word", "n", F.explode("keys").alias("key"))
 
-    pairs = keyed(words).alias("x").join(keyed(words if known is None else known).alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.n") < F.col("y.n")) & (F.col("x.word") != F.col("y.word")))
+    known = words if known is None else known
+    side = keyed(known)
+    if known.limit(SMALL_ROWS // 100 + 1).count() <= SMALL_ROWS // 100:  # a word has up to 172 keys
+        side = F.broadcast(side)
+    pairs = keyed(words).alias("x").join(side.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.n") < F.col("y.n")) & (F.col("x.word") != F.col("y.word")))
     pairs = pairs.select(F.col("x.word").alias("word"), F.col("y.word").alias("suggestion")).distinct()
-    return pairs.withColumn("distance", F.levenshtein("word", "suggestion").cast("long")).where(F.col("distance") <= distance)
+    return pairs.withColumn("distance", F.levenshtein("word", "suggestion", distance).cast("long")).where(F.col("distance") >= 0)

@@ -10,6 +10,7 @@ from auditloom.functions import text as T
 from auditloom.functions import urls as U
 from auditloom.operators import scoring
 from auditloom.operators.rules import Rule, evaluate
+from auditloom.operators.sized import running_total, sized_join
 
 from .registry import query, table
 
@@ -74,11 +75,14 @@ def h1_pack() -> list[Rule]:
 
 
 def counted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with numbers of headings and of pages with the same title; pages without a title are dealt out by url."""
-    title = F.lower(F.trim("title"))
-    key = F.when(title != "", title).otherwise(F.concat(F.lit("\u0000"), "url"))
-    same = F.when(F.trim("title") != "", F.count("*").over(Window.partitionBy(key))).otherwise(1)
-    return facts(spark, sf_dir).withColumns({"n_h1": H.count_elements(F.col("html"), "h1"), "n_h2": H.count_elements(F.col("html"), "h2"), "n_same": same})
+    """Facts with numbers of headings and of pages with the same title; pages without a title stand alone."""
+    counted = facts(spark, sf_dir).withColumns({"n_h1": H.count_elements(F.col("html"), "h1"), "n_h2": H.count_elements(F.col("html"), "h2"), "title_key": F.lower(F.trim("title"))})
+    return sized_join(counted.drop("html"), _same_titles(counted), "title_key", "left").withColumn("n_same", F.coalesce("n_same", F.lit(1))).drop("title_key")
+
+
+def _same_titles(rows: DataFrame) -> DataFrame:
+    """(title_key, n_same) of titles that several pages have: partial sums, so that one title of a whole site is no task's."""
+    return rows.where("title_key <> ''").groupBy("title_key").agg(F.count("*").alias("n_same")).where("n_same > 1")
 
 
 def page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,9 +135,8 @@ def title_rules(spark, sf_dir):
   SELECT url, title, count(*) OVER (PARTITION BY lower(trim(title))) AS n_pages FROM facts WHERE trim(title) <> ''
 ) SELECT url, title, n_pages::BIGINT AS n_pages FROM same WHERE n_pages > 1""")
 def duplicate_titles(spark, sf_dir):
-    rows = facts(spark, sf_dir).where(F.trim("title") != "")
-    same = Window.partitionBy(F.lower(F.trim("title")))
-    return rows.withColumn("n_pages", F.count("*").over(same)).where("n_pages > 1").select("url", "title", "n_pages")
+    rows = facts(spark, sf_dir).select("url", "title", F.lower(F.trim("title")).alias("title_key")).where("title_key <> ''")
+    return sized_join(rows, _same_titles(rows), "title_key").select("url", "title", F.col("n_same").alias("n_pages"))
 
 
 def _listed(problems: list[tuple]) -> F.Column:
@@ -241,8 +244,12 @@ def section_sample(spark, sf_dir):
     u = F.col("url")
     rows = table(spark, sf_dir, "pages").select("page_id", "url", U.bare_host(u).alias("host"), U.segments(u).alias("seg"), U.query(u).alias("q"))
     rows = rows.withColumn("top_level", (F.size("seg") <= 1) & (F.col("q") == "")).withColumn("section", F.coalesce(F.try_element_at("seg", F.lit(1)), F.lit("?")))
-    nth = F.row_number().over(Window.partitionBy("host", "section", "top_level").orderBy("page_id")).cast("long")
-    return rows.withColumn("rn", nth).where("top_level OR rn <= 2").select("url", "section", "rn")
+    # of the others, a limit on the row number is taken in every task before the shuffle; all top-level ones are numbered by ranges
+    nth = F.row_number().over(Window.partitionBy("host", "section").orderBy("page_id")).cast("long")
+    few = rows.where("NOT top_level").withColumn("rn", nth).where("rn <= 2").select("url", "section", "rn")
+    keyed = rows.where("top_level").withColumn("part", F.concat_ws("/", "host", "section"))
+    top = running_total(keyed, "part", [F.col("page_id").asc()], F.lit(1)).select("url", "section", (F.col("before") + 1).alias("rn"))
+    return few.unionByName(top)
 
 
 @query("WITH " + FACTS_SQL + r""" SELECT lower(regexp_extract(body, '<html\s[^>]*?lang="([^"]*)"', 1, 'is')) AS lang, count(*)::BIGINT AS pages FROM facts GROUP BY 1""")
