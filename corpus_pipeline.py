@@ -55,12 +55,33 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written in the session's shared folder and read again."""
-    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{root}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+def _folder(spark: SparkSession, path: str):
+    """The session's file system and a path on it: folders are looked at and removed by Spark's own means."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _folder(spark, path)
+    return files.exists(folder)
+
+
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """All stages over `documents`, each written in the session's shared folder and read again.
+
+    A run with a `run_id` of its own goes on behind the last stage that it has completed, if it was broken off. A
+    stage's folder is removed when the next one is complete; the last one's holds the result.
+    """
+    root = f"{shared_folder(spark)}/pipeline-{run_id or uuid.uuid4().hex}"
+    paths = [f"{root}/{name}" for name, _ in STAGES]
+    complete = [n for n, path in enumerate(paths) if _exists(spark, f"{path}/_SUCCESS")] if run_id else []
+    done = max(complete, default=-1)
+    docs = spark.read.parquet(paths[done] if complete else f"{sf_dir}/documents.parquet")
+    for n, (_, stage) in enumerate(STAGES):
+        if n > done:
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(paths[n])
+            docs = spark.read.parquet(paths[n])
+            if n:
+                files, folder = _folder(spark, paths[n - 1])
+                files.delete(folder, True)
     return docs

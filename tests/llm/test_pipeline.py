@@ -71,3 +71,26 @@ def test_each_stage_by_brute_force(spark, planted):
     whole = Counter((r.doc_id, r.text) for r in corpus_pipeline.run(spark, folder).collect())
     again = Counter((r.doc_id, r.text) for r in stages["mixture"](spark, free, folder).collect())
     assert whole == again and sum(len(words(t)) * n for (_, t), n in whole.items()) == pytest.approx(1.5 * sum(len(words(r.text)) for r in left.values()), rel=0.05)
+
+
+def test_a_broken_run_goes_on_behind_its_last_stage(spark, tmp_path, monkeypatch):
+    rows = [(1, "a"), (2, "b"), (3, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls, broken = [], [True]
+
+    def stage(name, least):
+        def f(spark, docs, sf_dir):
+            calls.append(name)
+            if name == "three" and broken[0]:
+                raise RuntimeError("lost")
+            return docs.where(f"doc_id >= {least}")
+
+        return name, f
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("one", 1), stage("two", 2), stage("three", 3)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, str(tmp_path), "night")
+    broken[0] = False
+    assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path), "night").collect()] == [3]
+    assert calls == ["one", "two", "three", "three"]
+    assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [3] and len(calls) == 7
