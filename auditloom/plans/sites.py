@@ -136,3 +136,46 @@ def crawl_fixpoint(spark, sf_dir):
     depth, in-links and sources. A budget within a walk is not SQL; the tests compare it with a queue."""
     seeds, answers, links, blocked, roots = stored_site(spark, sf_dir)
     return C.crawl_facts(cut_lineage(C.crawl(seeds, answers, links, blocked, 25)), links, roots)
+
+
+@query(r"""WITH p AS (SELECT DISTINCT p_type AS graph, 'app/' || CASE WHEN p_size % 3 = 0 THEN '(shop)/' ELSE '' END || replace(p_name, ' ', '/') || CASE WHEN p_size % 4 = 0 THEN '/[id]' ELSE '' END AS folder FROM part),
+r AS (SELECT graph, folder, '/' || array_to_string(list_filter(string_split(substr(folder, 5), '/'), lambda s: s <> '' AND NOT regexp_matches(s, '^\(.*\)$')), '/') AS route FROM p),
+l AS (SELECT DISTINCT p_type AS graph, 'app' AS folder, 'root ' || p_type AS title, 'd' AS description FROM part
+  UNION SELECT DISTINCT p_type, 'app/' || split_part(p_name, ' ', 1), CASE WHEN length(p_name) % 2 = 0 THEN split_part(p_name, ' ', 1) END, NULL FROM part WHERE split_part(p_name, ' ', 1) > 'm'
+  UNION SELECT DISTINCT p_type, 'app/(shop)', NULL, 'shop' FROM part),
+one AS (SELECT graph, folder, min(title) AS title, min(description) AS description FROM l GROUP BY 1, 2),
+met AS (SELECT r.graph, r.folder, r.route, o.title, o.description, length(o.folder) AS n FROM r JOIN one o ON o.graph = r.graph AND (r.folder = o.folder OR starts_with(r.folder, o.folder || '/')))
+SELECT graph, folder, route, max_by(title, n) FILTER (title IS NOT NULL) AS title, max_by(description, n) FILTER (description IS NOT NULL) AS description, count(*)::BIGINT AS layouts_above FROM met GROUP BY 1, 2, 3""")
+def route_layouts(spark, sf_dir):
+    """What each page of a source tree inherits from the closest layout that declares it; the tree is laid over parts."""
+    from auditloom.operators import routes as R
+
+    part = table(spark, sf_dir, "part")
+    first, size = F.split("p_name", " ")[0], F.col("p_size")
+    path = F.concat(F.lit("app/"), F.when(size % 3 == 0, "(shop)/").otherwise(""), F.regexp_replace("p_name", " ", "/"), F.when(size % 4 == 0, "/[id]").otherwise(""), F.lit("/page.tsx"))
+    pages = R.page_routes(part.select(F.col("p_type").alias("graph"), path.alias("file")))
+    none = F.lit(None).cast("string")
+    root = part.select(F.col("p_type").alias("graph"), F.lit("app").alias("folder"), F.concat(F.lit("root "), "p_type").alias("title"), F.lit("d").alias("description"))
+    named = part.where(first > "m").select("p_type", F.concat(F.lit("app/"), first), F.when(F.length("p_name") % 2 == 0, first), none)
+    shop = part.select("p_type", F.lit("app/(shop)"), none, F.lit("shop"))
+    return R.inherited(pages, root.union(named).union(shop), ["title", "description"])
+
+
+@query(r"""SELECT p_partkey, ['png', 'gif', 'jpeg', 'webp', 'ico', 'unknown', 'png'][p_partkey % 7 + 1] AS format,
+  CASE p_partkey % 7 WHEN 4 THEN p_size % 50 + 100 WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE p_size * 10 END::BIGINT AS width, CASE p_partkey % 7 WHEN 4 THEN p_size % 50 + 100 WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE p_partkey % 3000 + 1 END::BIGINT AS height,
+  CASE WHEN p_partkey % 7 = 4 THEN '16x16 ' || (p_size % 50 + 100) || 'x' || (p_size % 50 + 100) ELSE '' END AS sizes FROM part WHERE p_size > 0""")
+def image_sizes(spark, sf_dir):
+    """Formats and sizes read from the first bytes of image files, which are laid over the parts; some are cut short."""
+    from auditloom.sources.images import image_headers
+
+    w, h, k, icon = F.col("p_size") * 10, F.col("p_partkey") % 3000 + 1, F.col("p_partkey") % 7, F.col("p_size") % 50 + 100
+    wide = lambda c, n: F.lpad(F.hex(c), n, "0")
+    low = lambda c: F.concat(F.substring(wide(c, 4), 3, 2), F.substring(wide(c, 4), 1, 2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), wide(w, 8), wide(h, 8))
+    heads = [
+        png, F.concat(F.lit("474946383961"), low(w), low(h)), F.concat(F.lit("FFD8FFE00010"), F.lit("4A4649460001"), F.lit("00" * 8), F.lit("FFFFC2001108"), wide(h, 4), wide(w, 4)),
+        F.concat(F.lit("524946460000000057454250565038580000000000000000"), low(w - 1), F.lit("00"), low(h - 1), F.lit("00")),
+        F.concat(F.lit("000001000200"), F.lit("1010" + "00" * 14), wide(icon, 2), wide(icon, 2), F.lit("00" * 14)), F.lit("25504446"), F.left(png, F.lit(44)),
+    ]
+    rows = table(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", F.unhex(F.get(F.array(*heads), k.cast("int"))).alias("head"))
+    return image_headers(rows).select("p_partkey", "format", "width", "height", F.array_join("sizes", " ").alias("sizes"))

@@ -185,3 +185,16 @@ def test_crawl_of_nothing(spark):
 def test_plans_have_no_nested_loop(spark, name):
     plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_routes_inherit_from_the_closest_layout(spark):
+    from auditloom.operators import routes
+
+    files = ["app/page.tsx", "app/(shop)/cart/page.js", "src/app/blog/@side/[slug]/page.jsx", "app/n/page.mdx", "app/a/b/c/page.tsx", "app/a/b/c/page.tsx", "app/a/layout.tsx", "lib/page.tsx", "app/a/pages.tsx", None]
+    got = routes.page_routes(spark.createDataFrame([("g", f) for f in files] + [(None, "app/x/page.ts")], "graph string, file string"))
+    assert {(r.graph, r.folder, r.route) for r in got.collect()} == {("g", "app", "/"), ("g", "app/(shop)/cart", "/cart"), ("g", "src/app/blog/@side/[slug]", "/blog/[slug]"), ("g", "app/a/b/c", "/a/b/c"), (None, "app/x", "/x")}
+    rows = [("g", "app", "root", "d"), ("g", "app/a", None, "a"), ("g", "app/a/b", "b", None), ("g", "app/a/b", "a-less", None), ("h", "app/a/b/c", "other site", "x"), ("g", "app/a/b/c/d", "below", "y"), ("g", None, "no", "no")]
+    table = spark.createDataFrame(rows, "graph string, folder string, title string, description string")
+    out = {(r.graph, r.folder): (r.title, r.description, r.layouts_above) for r in routes.inherited(got, table, ["title", "description"]).collect()}
+    assert out == {("g", "app"): ("root", "d", 1), ("g", "app/(shop)/cart"): ("root", "d", 1), ("g", "src/app/blog/@side/[slug]"): (None, None, 0), ("g", "app/a/b/c"): ("a-less", "a", 3), (None, "app/x"): (None, None, 0)}
+    assert routes.inherited(got, table.limit(0), ["title"]).where("layouts_above = 0").count() == 5
