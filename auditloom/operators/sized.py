@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut_lineage
+from .graph import cut_lineage, written
 
 #: Rows of a few short columns that may be broadcast: about 10 MB.
 SMALL_ROWS = 50_000
@@ -19,6 +19,7 @@ def sized_join(rows: DataFrame, values: DataFrame, key: str, how: str = "inner",
     Values that are counted to be few are broadcast. Beyond that, keys that many rows have are counted (with partial
     sums), and their rows meet their values by broadcast; only the others are shuffled by key.
     """
+    values = written(values)  # counted and joined, but made once
     if values.limit(small + 1).count() <= small:
         return rows.join(F.broadcast(values), key, how)
     keys = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(key)
