@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
+from auditloom.operators import evidence as E
 from auditloom.operators import grammar as G
+from auditloom.operators.graph import cut_lineage
 from auditloom.operators.report_rules import main_text
 
-from .content import documents
+from .content import KNOWN, documents
 from .registry import query, table
 from .resources import one_of, sql_one_of
 
@@ -64,3 +66,49 @@ def average_words(spark, sf_dir):
     """Average words of the main text of a page."""
     words = T.word_count(main_text(F.col("html")))
     return table(spark, sf_dir, "pages").agg(F.round(F.avg(words), 0).cast("long").alias("words"), F.count("*").alias("pages"))
+
+
+#: A word in the middle of each text is laid as a misspelling; what the engine would suggest depends on the id.
+LAID_WORD = "[A-Za-z'-]{3,}"
+
+CONFIDENCE_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z''’-]{{2,}}'))) AS word FROM d), counts AS (SELECT word, count(DISTINCT doc_id) AS n_pages, count(DISTINCT text) AS n_texts FROM words GROUP BY 1),
+known AS (SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM d) GROUP BY 1 HAVING count(*) >= {KNOWN}),
+terms AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS t FROM part UNION ALL SELECT unnest(regexp_split_to_array(lower(p_brand), '[^a-z0-9]+')) FROM part) WHERE length(t) >= 2 AND NOT regexp_matches(t, '^[0-9]+$')
+  UNION SELECT t FROM (SELECT unnest(regexp_split_to_array(regexp_replace(lower(regexp_replace(url, '^.*?://', '')), '^[^/]*/', ''), '[^a-z0-9]+')) AS t FROM pages) WHERE length(t) > 2),
+k AS (SELECT word FROM known UNION SELECT t FROM terms),
+m AS (SELECT doc_id, text, length(text) // 2 AS mid, regexp_extract(text[length(text) // 2 + 1:], '[A-Za-z''-]{{3,}}') AS wrong FROM d),
+r AS (SELECT doc_id, text, wrong, mid + strpos(text[mid + 1:], wrong) - 1 AS start, regexp_replace(wrong, '^''+|''+$', '', 'g') AS w,
+  [NULL, wrong[2:], wrong || 'xyz', left(wrong, 2) || ' ' || wrong[3:], regexp_replace(wrong, 'our', 'or'), reverse(wrong)][coalesce(doc_id, 0) % 6 + 1] AS best FROM m WHERE wrong <> ''),
+f AS (SELECT *, lower(w) AS low, lower(best) AS b, levenshtein(lower(w), lower(best)) AS dist FROM r), asked AS (SELECT DISTINCT low FROM f WHERE length(low) >= 5),
+compound AS (SELECT low FROM (SELECT low, unnest({E.PREFIXES}) AS p FROM asked) JOIN k ON k.word = low[length(p) + 1:] WHERE starts_with(low, p) AND length(low) > length(p) + 2
+  UNION SELECT low FROM (SELECT low, unnest({E.SUFFIXES}) AS s FROM asked) JOIN k ON k.word = left(low, length(low) - length(s)) WHERE ends_with(low, s) AND length(low) > length(s) + 2
+  UNION SELECT low FROM (SELECT low, unnest(range(3, length(low) - 2)) AS i FROM asked) JOIN k AS x ON x.word = left(low, i) JOIN k AS y ON y.word = low[i + 1:]),
+x AS (SELECT f.*, coalesce(n_pages, 0) AS n_pages, coalesce(n_texts, 0) AS n_texts FROM f LEFT JOIN counts ON counts.word = low)
+SELECT doc_id, wrong, start::INTEGER AS start, CASE WHEN b IS NULL OR low IN (SELECT t FROM terms) OR (low IN (SELECT word FROM known) AND regexp_matches(w, '^[a-z]+$')) OR regexp_matches(w, '[a-z][A-Z]|[A-Z]{{2}}[a-z]') OR (w = upper(w) AND w <> low AND length(w) <= 6)
+  OR (start > 0 AND text[start] IN ('.', '/', '@', '#', '-', '_')) OR text[start + length(wrong) + 1] IN ('/', '_') OR contains(w, '-') OR NOT regexp_matches(low, '[aeiouy]') OR low IN (SELECT low FROM compound)
+  OR replace(low, '-', '') = replace(b, '-', '') OR (low <> b AND b IN (regexp_replace(low, 'is(e|ed|es|ing|ation)$', 'iz\1'), regexp_replace(low, 'tre$', 'ter'), regexp_replace(low, 'ys(e|ed|es|ing)$', 'yz\1'), regexp_replace(low, 'ogue$', 'og'),
+    regexp_replace(low, 'll(ed|ing|er)$', 'l\1'), regexp_replace(low, 'ence$', 'ense'), regexp_replace(low, 'grey', 'gray'), regexp_replace(low, '^(.*?)our', '\1or')))
+  OR (contains(b, ' ') AND replace(b, ' ', '') = low AND NOT list_has_any(string_split(b, ' '), {E.FUNCTION_WORDS})) OR (dist > 2 AND (n_pages >= {E.OWN} OR n_texts >= {E.OWN} OR regexp_matches(w, '^[A-Z]'))) THEN NULL
+  WHEN dist <= 1 THEN 'High' WHEN dist > 2 THEN 'Low' ELSE 'Medium' END AS confidence FROM x"""
+
+
+@query(CONFIDENCE_SQL)
+def spelling_confidence(spark, sf_dir):
+    """How sure a misspelling in the middle of each text is, by what all texts, the urls and the project's terms say of
+    its word; null drops it. Words seen KNOWN times stand for the dictionary; package files are laid over the parts."""
+    docs = documents(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").select(F.to_json(F.struct(F.create_map("p_name", F.lit("1")).alias("dependencies"), F.create_map("p_brand", F.lit("1")).alias("scripts"))).alias("text"))
+    terms = cut_lineage(E.project_terms(parts).union(E.url_terms(table(spark, sf_dir, "pages"))).distinct())
+    known = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN)
+    mid = F.floor(F.length("text") / 2).cast("int")
+    rest = F.substring("text", mid + 1, F.length("text"))
+    rows = docs.withColumns({"mid": mid, "wrong": F.regexp_extract(rest, LAID_WORD, 0)}).where("wrong <> ''")
+    rows = rows.withColumns({"start": (F.col("mid") + F.instr(rest, F.col("wrong")) - 1).cast("int"), "length": F.length("wrong")})
+    wrong, size = F.col("wrong"), F.length("wrong")
+    choices = [F.array().cast("array<string>"), F.array(F.substring(wrong, F.lit(2), size)), F.array(F.concat(wrong, F.lit("xyz"))), F.array(F.concat(F.left(wrong, F.lit(2)), F.lit(" "), F.substring(wrong, F.lit(3), size)))]
+    choices += [F.array(F.regexp_replace(wrong, "^(.*?)our", "$1or")), F.array(F.reverse(wrong))]
+    laid = {"rule_id": "S", "category": "TYPOS", "rule_type": "misspelling", "message": "Possible mistake"}
+    rows = rows.withColumns({**{k: F.lit(v) for k, v in laid.items()}, "replacements": F.element_at(F.array(*choices), (F.coalesce("doc_id", F.lit(0)) % 6 + 1).cast("int"))})
+    counts = E.word_counts(docs.select(F.col("doc_id").alias("page"), "text"))
+    return E.confident(rows.drop("mid"), counts, cut_lineage(known.select("word")), terms).select("doc_id", "wrong", "start", "confidence")

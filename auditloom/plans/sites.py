@@ -9,6 +9,7 @@ from auditloom.operators import crawl as C
 from auditloom.operators import json_walk as W
 from auditloom.operators import matches as M
 from auditloom.operators.graph import cut_lineage
+from auditloom.sources import rendered as R
 
 from .links import edges
 from .registry import query, table
@@ -179,3 +180,10 @@ def image_sizes(spark, sf_dir):
     ]
     rows = table(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", F.unhex(F.get(F.array(*heads), k.cast("int"))).alias("head"))
     return image_headers(rows).select("p_partkey", "format", "width", "height", F.array_join("sizes", " ").alias("sizes"))
+
+
+@query()
+def element_labels(spark, sf_dir):
+    """Every element of every page with a short label and its text as it is shown; a page is parsed once, no shuffle."""
+    rows = R.shown_elements(table(spark, sf_dir, "pages"))
+    return rows.select("url", "ord", "parent", "tag", "label", "shown")

@@ -75,7 +75,7 @@ def planted(spark, tmp_path_factory, duck):
     return folder, connection
 
 
-FULL = "secret_scan leftovers copyright_years mixed_content near_duplicates_md5 near_duplicate_members_md5 default_titles filler_phrases filler_texts generic_anchors first_source_label bfs_depth misspellings typo_candidates ranked_suggestions compound_words placeholder_text odd_characters emails_found phones_found robots_allowed url_classes exact_duplicates duplicate_titles page_seo_issues issue_types merged_issues checklist category_scores link_indegree orphan_pages dangling_targets hub_coverage page_links link_counts link_status redirect_sources letter_case keyword_stuffing forbidden_terms url_summary health_score".split()
+FULL = "spelling_confidence secret_scan leftovers copyright_years mixed_content near_duplicates_md5 near_duplicate_members_md5 default_titles filler_phrases filler_texts generic_anchors first_source_label bfs_depth misspellings typo_candidates ranked_suggestions compound_words placeholder_text odd_characters emails_found phones_found robots_allowed url_classes exact_duplicates duplicate_titles page_seo_issues issue_types merged_issues checklist category_scores link_indegree orphan_pages dangling_targets hub_coverage page_links link_counts link_status redirect_sources letter_case keyword_stuffing forbidden_terms url_summary health_score".split()
 
 
 @pytest.mark.parametrize("name", FULL)
