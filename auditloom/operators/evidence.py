@@ -36,9 +36,25 @@ SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "scripts")
 OWN = 3
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n_pages, n_texts) of (page, text): pages and different texts that have each word."""
+def asked_words(matches: DataFrame) -> DataFrame:
+    """(word): each different word that the misspellings of (text, start, length, category, rule_id, rule_type) are about."""
+    spelling = finding_kind(F.col("category"), F.col("rule_id"), F.col("rule_type")) == "Spelling"
+    return matches.where(spelling).select(F.lower(_word()).alias("word")).distinct()
+
+
+def _word() -> Column:
+    """What a match is about, without the quotation marks around it."""
+    wrong = F.substring(F.col("text"), F.col("start") + 1, F.col("length"))
+    return F.regexp_replace(F.coalesce(wrong, F.lit("")), "^['’]+|['’]+$", "")
+
+
+def word_counts(texts: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(word, n_pages, n_texts) of (page, text): pages and different texts that have each word.
+
+    With `asked`, different words, only these are counted and nothing else is shuffled.
+    """
     rows = texts.where("text IS NOT NULL").select("page", F.xxhash64("text").alias("mark"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
+    rows = rows if asked is None else sized_join(rows, asked, "word")
     return rows.groupBy("word").agg(F.count_distinct("page").alias("n_pages"), F.count_distinct("mark").alias("n_texts"))
 
 
@@ -104,8 +120,7 @@ def confident(matches: DataFrame, counts: DataFrame, known: DataFrame, terms: Da
     text, start, choices = F.col("text"), F.col("start"), F.coalesce("replacements", F.array().cast("array<string>"))
     rule, message = F.coalesce("rule_id", F.lit("")), F.coalesce("message", F.lit(""))
     wrong = F.substring(text, start + 1, F.col("length"))
-    word = F.regexp_replace(F.coalesce(wrong, F.lit("")), "^['’]+|['’]+$", "")
-    rows = matches.withColumns({"kind": finding_kind(F.col("category"), F.col("rule_id"), F.col("rule_type")), "_word": word}).withColumn("word", F.lower("_word"))
+    rows = matches.withColumns({"kind": finding_kind(F.col("category"), F.col("rule_id"), F.col("rule_type")), "_word": _word()}).withColumn("word", F.lower("_word"))
     spelling = F.col("kind") == "Spelling"
     met = sized_join(rows, word_evidence(rows.where(spelling), counts, known, terms), "word", "left").fillna(0, ["n_pages", "n_texts"]).fillna(False, ["known", "term", "compound"])
     stop = rule == "SENTENCE_WHITESPACE"

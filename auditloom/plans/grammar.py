@@ -110,5 +110,5 @@ def spelling_confidence(spark, sf_dir):
     choices += [F.array(F.regexp_replace(wrong, "^(.*?)our", "$1or")), F.array(F.reverse(wrong))]
     laid = {"rule_id": "S", "category": "TYPOS", "rule_type": "misspelling", "message": "Possible mistake"}
     rows = rows.withColumns({**{k: F.lit(v) for k, v in laid.items()}, "replacements": F.element_at(F.array(*choices), (F.coalesce("doc_id", F.lit(0)) % 6 + 1).cast("int"))})
-    counts = E.word_counts(docs.select(F.col("doc_id").alias("page"), "text"))
+    counts = E.word_counts(docs.select(F.col("doc_id").alias("page"), "text"), E.asked_words(rows))
     return E.confident(rows.drop("mid"), counts, cut_lineage(known.select("word")), terms).select("doc_id", "wrong", "start", "confidence")

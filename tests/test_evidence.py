@@ -27,6 +27,8 @@ def test_word_counts(spark):
             want[w] |= {page} if page else set()
     got = {r.word: (r.n_pages, r.n_texts) for r in E.word_counts(spark.createDataFrame(texts, "page string, text string")).collect()}
     assert got == {w: (len(want[w]), len(marks[w])) for w in marks} and got["redis"] == (2, 3)
+    some = E.word_counts(spark.createDataFrame(texts, "page string, text string"), words(spark, "redis", "absent"))
+    assert [tuple(r) for r in some.collect()] == [("redis", 2, 3)]
 
 
 def test_terms(spark):
