@@ -8,6 +8,7 @@ from auditloom.functions import html as H
 from auditloom.functions import text as T
 from auditloom.functions import urls as U
 from auditloom.operators import fact_joins as J
+from auditloom.operators import sitemap_report as M
 
 from .content import PHONE, documents, lit
 from .links import LINKS_SQL
@@ -106,3 +107,45 @@ def redirect_sources(spark, sf_dir):
     rows = rows.select("url", U.norm(F.regexp_extract(U.resolve(F.col("url"), F.col("href")), r"^([^?#]*)", 1)).alias("target_url"))
     hops = rows.select(F.col("target_url").alias("url")).distinct().where(F.length("url") % 2 == 0).withColumn("final_url", F.concat("url", F.lit("/new")))
     return J.redirect_sources(hops, rows)
+
+
+#: Dates of entries of the laid sitemaps, and the time at which they are read.
+LASTMOD, NOW = [None, "2024-05", "2024-05-01", "yesterday", "2999-01-01", "2024-13-01", "2023-02-01T10:00:00Z"], "2026-01-01T00:00:00Z"
+
+SITEMAP_REPORT_SQL = "WITH " + RECORDS_SQL + r""", p AS (SELECT *, [NULL, '2024-05', '2024-05-01', 'yesterday', '2999-01-01', '2024-13-01', '2023-02-01T10:00:00Z'][page_id % 7 + 1] AS lastmod FROM pages),
+entries AS (SELECT url AS loc, lastmod FROM p UNION ALL SELECT url, lastmod FROM p WHERE page_id % 8 = 0 UNION ALL SELECT upper(url), lastmod FROM p WHERE page_id % 11 = 0),
+counts AS (SELECT loc, count(*) AS n FROM entries GROUP BY 1), spelled AS (SELECT loc, lag(loc) OVER (PARTITION BY lower(loc) ORDER BY loc) AS before FROM counts),
+r AS (SELECT pages.url, records.* EXCLUDE (url), page_id % 13 = 0 AS noindex, page_id % 4 = 2 AS other, regexp_matches(pages.url, '^[^:]+://[^/?#]*/*(#.*)?$') AS root, 'linked from ' || CASE WHEN page_id % 10 < 9 THEN 'https://s.org/' WHEN records.in_sitemap THEN 'sitemap.xml' ELSE '' END AS src,
+  page_id % 10 < 9 AS found, page_id % 2 = 0 AS link, regexp_extract(pages.url, '^([^:/?#]+://[^/?#]*)', 1) AS origin, regexp_extract(pages.url, '^[^:/?#]+://([^/?#]*)', 1) AS host FROM pages JOIN records ON records.url = pages.url),
+one AS (SELECT *, CASE WHEN robots_blocked THEN CASE WHEN found THEN 'blocked' END WHEN status = 301 AND NOT in_sitemap THEN 'redirect' WHEN status NOT IN (200, 301) AND NOT in_sitemap THEN 'broken'
+  WHEN is_html AND status = 200 AND NOT in_sitemap AND NOT noindex THEN CASE WHEN NOT other THEN 'missing' END WHEN status = 200 AND NOT is_html AND link THEN 'pdf' END AS branch FROM r)
+SELECT loc AS url, 'Important' AS severity, 'Sitemap' AS category, 'Duplicate URL in sitemap' AS issue, 'listed ' || n || ' times' AS current_value, '' AS element FROM counts WHERE n > 1
+UNION ALL SELECT loc, 'Important', 'Sitemap', 'Same URL with different letter case', loc, 'also listed as ' || before FROM spelled WHERE before IS NOT NULL
+UNION ALL SELECT loc, CASE WHEN lastmod IS NULL THEN 'Optimization' ELSE 'Important' END, 'Sitemap', CASE WHEN lastmod IS NULL THEN 'Missing <lastmod>' WHEN lastmod LIKE '2999%' THEN '<lastmod> in the future' ELSE 'Invalid <lastmod> date' END, coalesce(lastmod, '(none)'), ''
+  FROM (SELECT DISTINCT loc, lastmod FROM entries) WHERE lastmod IS NULL OR lastmod IN ('yesterday', '2999-01-01', '2024-13-01')
+UNION ALL SELECT url, 'Important', 'Sitemap URL', 'Sitemap URL redirects', 'HTTP 301 -> ' || origin || '/to', '' FROM r WHERE in_sitemap AND status = 301
+UNION ALL SELECT url, 'Critical', 'Sitemap URL', 'Sitemap URL is not 200', 'HTTP ' || status || ' late', '' FROM r WHERE in_sitemap AND status NOT IN (200, 301)
+UNION ALL SELECT url, 'Critical', 'Sitemap URL', 'Sitemap URL blocked by robots.txt', 'Disallowed for Googlebot', '' FROM r WHERE in_sitemap AND robots_blocked
+UNION ALL SELECT url, 'Critical', 'Sitemap URL', 'Sitemap URL is noindex', 'noindex', '' FROM r WHERE in_sitemap AND status = 200 AND noindex
+UNION ALL SELECT url, 'Important', 'Sitemap URL', 'Sitemap URL canonicalises elsewhere', 'https://elsewhere.org/', '' FROM r WHERE in_sitemap AND status = 200 AND other AND NOT root
+UNION ALL SELECT DISTINCT '(site-wide)', 'Important', 'Sitemap', 'Sitemap host differs from the canonical host', 'canonical host elsewhere.org, sitemap host ' || lower(host), '' FROM r WHERE in_sitemap AND status = 200 AND other AND root AND host <> ''
+UNION ALL SELECT url, CASE WHEN branch = 'missing' OR branch = 'broken' AND status < 500 THEN 'Important' WHEN branch = 'broken' THEN 'Critical' ELSE 'Optimization' END, CASE WHEN branch = 'missing' THEN 'Coverage' ELSE 'Crawl' END,
+  CASE branch WHEN 'blocked' THEN 'Internal URL blocked by robots.txt' WHEN 'redirect' THEN 'Internal URL redirects' WHEN 'broken' THEN 'Broken internal URL' WHEN 'missing' THEN 'Live page missing from sitemap' ELSE 'Internal link to a non-HTML page' END,
+  CASE branch WHEN 'blocked' THEN 'Disallowed' WHEN 'redirect' THEN 'HTTP 301 -> /to' WHEN 'broken' THEN 'HTTP ' || status || ' late' WHEN 'missing' THEN 'not in sitemap.xml' ELSE 'application/pdf' END, src FROM one WHERE branch IS NOT NULL"""
+
+
+@query(SITEMAP_REPORT_SQL)
+def report_sitemap(spark, sf_dir):
+    """Entries of sitemaps, listed urls and coverage of the crawl; entries and records are laid over the pages."""
+    n = F.col("page_id")
+    dated = table(spark, sf_dir, "pages").select("page_id", "url", F.element_at(F.array(*map(F.lit, LASTMOD)), (n % 7 + 1).cast("int")).alias("lastmod"))
+    spellings = F.array_compact(F.array("url", F.when(n % 8 == 0, F.col("url")), F.when(n % 11 == 0, F.upper("url"))))
+    entries = dated.select(F.explode(spellings).alias("loc"), "lastmod")
+    canonical = F.when(n % 4 == 1, F.concat("url", F.lit("#top"))).when(n % 4 == 2, F.lit("https://elsewhere.org/")).when(n % 4 == 3, F.lit(""))
+    more = {
+        "canonical": canonical, "noindex": n % 13 == 0, "redirect_to": F.lit("/to"), "error": F.lit("late"), "via": F.when(n % 2 == 0, "link").otherwise("script"), "sources": F.lit(1),
+        "content_type": F.when(F.col("is_html"), "text/html").otherwise("application/pdf"), "found_on": F.when(n % 10 < 9, F.lit("https://s.org/")),
+    }
+    records = crawl_records(spark, sf_dir).withColumns(more)
+    now = F.to_timestamp(F.lit(NOW))
+    return M.entry_rules(entries, now).unionByName(M.listed_url_rules(records)).unionByName(M.coverage_rules(records))
