@@ -345,5 +345,5 @@ def test_every_operator_is_registered():
     import __spark_entry__
 
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names) and {*names, "pipeline"} <= set(__spark_entry__.queries())
