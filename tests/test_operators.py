@@ -190,6 +190,20 @@ def test_near_duplicate_members(spark):
     assert similarity.near_pairs(alike).count() == 0 and {r.rep for r in similarity.members(alike).collect()} == {2}
 
 
+def test_members_make_each_signature_once(spark, tmp_path, monkeypatch):
+    from auditloom import plans
+
+    plans_made = []
+    write = similarity.cut_lineage
+    monkeypatch.setattr(similarity, "cut_lineage", lambda df: plans_made.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    long = " ".join(f"w{i % 700}" for i in range(3000))
+    docs = [(1, long, "en"), (2, long.upper(), "en"), (3, "one", None), (4, None, None), (5, " ", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("near_duplicate_members_md5", "near_duplicate_members_crc32"):
+        assert {r.doc_id: r.rep for r in plans.queries()[name](spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 3}
+    assert [p.count("ArrowEvalPython") for p in plans_made] == [1, 1]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
