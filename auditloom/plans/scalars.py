@@ -225,11 +225,14 @@ def sitemap_xml(spark, sf_dir):
 @query(r"""SELECT url, (length(body) - length(replace(body, '<p>', ''))) // 3 AS paragraphs, (length(body) - length(replace(body, '<li>', ''))) // 4 AS items FROM (
   SELECT url, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gis'), '<script\b.*?</script>', '', 'gis'), '<style\b.*?</style>', '', 'gis') AS body FROM pages)""")
 def element_counts(spark, sf_dir):
-    """Paragraphs and list items of each page, from the parsed element table."""
+    """Paragraphs and list items of each page, from the parsed element table; pages of one url are counted apart, a page
+    without elements has none, one without html unknown numbers."""
     from auditloom.sources.elements import html_elements
 
-    rows = html_elements(table(spark, sf_dir, "pages"))
-    return rows.groupBy("url").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") == "li").alias("items"))
+    pages, tags = table(spark, sf_dir, "pages"), {"paragraphs": "p", "items": "li"}
+    counted = html_elements(pages, ("page_id", "url")).select("page_id", "url", *[F.when(F.col("tag") == t, 1).otherwise(0).alias(c) for c, t in tags.items()])
+    given = pages.select("page_id", "url", *[F.when(F.col("html").isNotNull(), 0).alias(c) for c in tags])
+    return counted.unionByName(given).groupBy("page_id", "url").agg(*[F.sum(c).alias(c) for c in tags]).select("url", *tags)
 
 
 @query()

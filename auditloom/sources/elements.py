@@ -17,7 +17,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose start closes an open element of the listed kinds.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 BLOCKS = frozenset("p li h1 h2 h3 h4 h5 h6 td th figcaption blockquote dd dt summary label button title".split())
-SCHEMA = "url string, ord int, parent int, tag string, attrs map<string,string>, text string, zone string, path array<string>, error string"
+SCHEMA = "ord int, parent int, tag string, attrs map<string,string>, text string, zone string, path array<string>, error string"
 
 
 #: Wide containers, whose text is that of their parts: they carry none of their own.
@@ -78,35 +78,38 @@ def parse(html: str) -> list[dict]:
     return tree.rows
 
 
-def html_elements(pages: DataFrame) -> DataFrame:
-    """One row for each element of (url, html) in document order; a failure is one row with `error`.
+def html_elements(pages: DataFrame, keys: tuple[str, ...] = ("url",)) -> DataFrame:
+    """One row for each element of (keys, html) in document order; a failure is one row with `error`.
 
-    The text of an element is that of all it holds, single-spaced; wide containers (WIDE) have none.
+    `keys` tell pages apart: the url, more where several pages have the same. The text of an element is that of
+    all it holds, single-spaced; wide containers (WIDE) have none.
     """
-    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
-    names = ("url", "ord", "parent", "tag", "attrs", "text", "zone", "path", "error")
+    types = [pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+    names = ("ord", "parent", "tag", "attrs", "text", "zone", "path", "error")
 
-    def elements(pairs):
+    def elements(part):
         out = {k: [] for k in names}
-        for url, html in pairs:
+        of = []
+        for at, html in enumerate(part.column(len(keys)).to_pylist()):
             try:
                 rows, error = parse(html or ""), None
             except (AssertionError, ValueError) as failure:
                 rows, error = [{"ord": -1, "parent": -1, "tag": "", "attrs": {}, "text": "", "zone": "", "path": []}], str(failure)
             for row in rows:
-                out["url"].append(url)
+                of.append(at)
                 out["error"].append(error)
                 for k, v in row.items():
                     out[k].append(list(v.items()) if k == "attrs" else v)
-        return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, types, strict=True)], list(names))
+        known = [part.column(i).take(pa.array(of, pa.int32())) for i in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*known, *[pa.array(out[k], t) for k, t in zip(names, types, strict=True)]], [*keys, *names])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                yield elements(zip(*(c.to_pylist() for c in part.columns), strict=True))
+                yield elements(batch.slice(at, CHUNK))
 
-    return pages.select("url", "html").mapInArrow(run, SCHEMA)
+    kept = pages.select(*keys, "html")
+    return kept.mapInArrow(run, ", ".join([*[f"{k} {kept.schema[k].dataType.simpleString()}" for k in keys], SCHEMA]))
 
 
 def text_blocks(elements: DataFrame) -> DataFrame:
