@@ -21,6 +21,7 @@ from auditloom.functions import text as T
 from auditloom.functions import urls as U
 
 from .element_rules import COLUMNS, _attr, _page, _union
+from .graph import cut_lineage
 from .rules import Rule, evaluate
 
 #: Lengths that titles and descriptions should have.
@@ -116,21 +117,29 @@ def main_text(html: Column) -> Column:
 
 
 def content_rules(facts: DataFrame, placeholder: str, filler: tuple[str, ...]) -> DataFrame:
-    """Length, placeholder and filler texts, articles without author or dates, and reading ease of the main text."""
-    rows = facts.withColumn("text", main_text(F.col("html")))
-    low, words = F.lower("text"), T.word_count(F.col("text"))
-    letters = T.letters_words(F.col("text"))
-    rows = rows.withColumns({
-        "words": words, "found": F.array_compact(F.array(*[F.when(low.contains(p), F.lit(p)) for p in filler])), "hits": F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(placeholder), F.lit(0)), lambda x: F.trim(x))),
-        "w": letters, "sentences": T.sentences(F.col("text")),
-    })
-    n = F.size("w").cast("double")
-    rows = rows.withColumn("per_sentence", F.when(n >= 50, F.round(n / F.col("sentences"), 1)))
-    syllables = F.aggregate("w", F.lit(0), lambda a, x: a + T.syllables(x))
-    rows = rows.withColumn("ease", F.when(n >= 50, F.round(206.835 - 1.015 * (n / F.col("sentences")) - 84.6 * (syllables / n), 1)))
+    """Length, placeholder and filler texts, articles without author or dates, and reading ease of the main text.
+
+    Of the facts only url, path and html are read.
+    """
     article = F.col("path").rlike("^/blog/[^/]+$")
     has = lambda pattern: F.coalesce("html", F.lit("")).rlike(pattern)
     said = lambda name: rf"""(?is)<meta\b[^>]*(?:name|property)=["']?{name}["'\s][^>]*content=["'][^"']|<meta\b[^>]*content=["'][^"']+["'][^>]*(?:name|property)=["']?{name}["'\s/>]"""
+    lacks = {
+        "no_author": article & ~has(said("(?:article:)?author")) & ~has('"author"') & ~has(r"(?is)\brel=[\"']?author\b"),
+        "no_date": article & ~has(said("article:published_time")) & ~has('"datePublished"') & ~has(r"(?is)<time\b[^>]*\bdatetime="),
+        "no_update": article & ~has(said("article:modified_time")) & ~has('"dateModified"'),
+    }
+    low, letters = F.lower("text"), T.letters_words(F.col("text"))
+    rows = facts.select("url", *[c.alias(k) for k, c in lacks.items()], main_text(F.col("html")).alias("text"))
+    rows = rows.select("url", *lacks, T.word_count(F.col("text")).alias("words"), T.sentences(F.col("text")).alias("sentences"), letters.alias("w"), "text", low.alias("low"))
+    found = F.array_compact(F.array(*[F.when(F.col("low").contains(p), F.lit(p)) for p in filler]))
+    hits = F.array_distinct(F.transform(F.regexp_extract_all("low", F.lit(placeholder), F.lit(0)), lambda x: F.trim(x)))
+    syllables = F.aggregate("w", F.lit(0), lambda a, x: a + T.syllables(x))
+    # written once: Spark would put the text's expression in the place of each value in each rule
+    rows = cut_lineage(rows.select("url", *lacks, "words", "sentences", F.size("w").cast("double").alias("n"), syllables.alias("syllables"), found.alias("found"), hits.alias("hits")))
+    n = F.col("n")
+    rows = rows.withColumn("per_sentence", F.when(n >= 50, F.round(n / F.col("sentences"), 1)))
+    rows = rows.withColumn("ease", F.when(n >= 50, F.round(206.835 - 1.015 * (n / F.col("sentences")) - 84.6 * (F.col("syllables") / n), 1)))
     length = [
         Rule("Critical", "Length", "Empty page (almost no text)", F.col("words") < 50, F.col("words")),
         Rule("Important", "Length", "Very short page", F.col("words").between(50, 149), F.col("words")),
@@ -138,9 +147,9 @@ def content_rules(facts: DataFrame, placeholder: str, filler: tuple[str, ...]) -
     ]
     whole = evaluate(rows, [
         *length,
-        Rule("Important", "Article", "Article without author", article & ~has(said("(?:article:)?author")) & ~has('"author"') & ~has(r"(?is)\brel=[\"']?author\b"), F.lit("(none found)")),
-        Rule("Important", "Article", "Article without publication date", article & ~has(said("article:published_time")) & ~has('"datePublished"') & ~has(r"(?is)<time\b[^>]*\bdatetime="), F.lit("(none found)")),
-        Rule("Optimization", "Article", "Article without updated date (dateModified)", article & ~has(said("article:modified_time")) & ~has('"dateModified"'), F.lit("(none found)")),
+        Rule("Important", "Article", "Article without author", F.col("no_author"), F.lit("(none found)")),
+        Rule("Important", "Article", "Article without publication date", F.col("no_date"), F.lit("(none found)")),
+        Rule("Optimization", "Article", "Article without updated date (dateModified)", F.col("no_update"), F.lit("(none found)")),
         Rule("Optimization", "Readability", "Very difficult to read", F.col("ease") < 30, F.col("ease")),
         Rule("Optimization", "Readability", "Long sentences", (F.coalesce("ease", F.lit(0.0)) >= 30) & (F.col("per_sentence") > 28), F.col("per_sentence")),
     ])

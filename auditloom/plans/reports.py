@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom.functions import urls as U
 from auditloom.operators import element_rules, report_rules
 from auditloom.operators.graph import cut_lineage
 from auditloom.sources.elements import html_elements
@@ -80,8 +81,9 @@ def report_accessibility(spark, sf_dir):
 
 @query()
 def report_content(spark, sf_dir):
-    _, facts = parsed(spark, sf_dir)
-    return report_rules.content_rules(facts, PLACEHOLDER, FILLER)
+    """Rules on each page's main text, which need none of its elements."""
+    pages = table(spark, sf_dir, "pages").select("url", "html", U.path(F.col("url")).alias("path"))
+    return report_rules.content_rules(pages, PLACEHOLDER, FILLER)
 
 
 @query()

@@ -1,6 +1,7 @@
 """Rule packs of the page reports, against literal pages with the problems that each rule names."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditloom.operators import report_rules as R
 from auditloom.operators.element_rules import COLUMNS
@@ -138,3 +139,20 @@ def test_content(tables):
     assert post["Placeholder / test text on page"] == ["lorem ipsum"] and sorted(post["Generic AI/filler phrasing"]) == ["delve into", "in conclusion", "tapestry"]
     assert {"Article without author", "Article without publication date", "Article without updated date (dateModified)", "Empty page (almost no text)"} < set(post)
     assert issues(found, 2) == {"Empty page (almost no text)": ["0"]}
+
+
+def test_content_report_makes_each_main_text_once(spark, tmp_path, monkeypatch):
+    from auditloom import plans
+
+    folder, made = str(tmp_path), []
+    pages = [(1, "https://a.org/blog/x", "<main>lorem ipsum, in conclusion a tapestry; we delve into it</main>"), (2, "https://a.org/", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    write = getattr(R, "cut_lineage", None)
+    monkeypatch.setattr(R, "cut_lineage", lambda df: made.append(df) or write(df), raising=False)
+    out = plans.queries()["report_content"](spark, folder)
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("<nav\\b")
+    once = count(spark.read.parquet(f"{folder}/pages.parquet").select(R.main_text(F.col("html"))))
+    assert [count(df) <= once for df in made] == [True] and count(out) == 0
+    assert sorted((r.url[13:], r.issue) for r in out.where("category IN ('Style', 'Length', 'Placeholder')").collect()) == [
+        ("/", "Empty page (almost no text)"), ("/blog/x", "Empty page (almost no text)"), *[("/blog/x", "Generic AI/filler phrasing")] * 3, ("/blog/x", "Placeholder / test text on page"),
+    ]
