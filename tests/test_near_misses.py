@@ -26,3 +26,11 @@ def test_near_misses_are_those_of_all_pairs(spark, distance, letters, longest):
     want = {(a, b, edits(a, b)) for a, n in words.items() for b, m in words.items() if m >= 4 and n < m and a != b and edits(a, b) <= distance}
     assert {(r.word, r.suggestion, r.distance) for r in got} == want and len(got) == len(want)
     assert similarity.near_misses(frame.limit(0), distance, known).count() == 0
+
+
+def test_keys_are_one_long_for_each_choice_of_letters(spark):
+    frame = spark.createDataFrame([("abcdefgh", 1), ("abcdefgi", 9), ("", 9), (None, 9), ("über", 1), ("uber", 9)], "word string, n int")
+    found = similarity.near_misses(frame, 2)
+    assert {tuple(r) for r in found.collect()} == {("abcdefgh", "abcdefgi", 1), ("über", "uber", 1)}
+    keys = {r.word: r.k for r in frame.where("word IS NOT NULL").select("word", similarity.deletion_keys(2)("word").alias("k")).collect()}
+    assert len(keys["abcdefgh"]) == 1 + 8 + 28 and len(keys[""]) == 1
