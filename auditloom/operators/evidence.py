@@ -34,6 +34,8 @@ SUFFIXES = "up in on out off to set grid base time store flow pack kit stack".sp
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "scripts")
 #: Fixed value: pages or texts from which on a word far from any other is the site's own.
 OWN = 3
+#: Rows of one number that may be broadcast: about 10 MB.
+AGAIN_ROWS = 400_000
 
 
 def asked_words(matches: DataFrame) -> DataFrame:
@@ -49,13 +51,24 @@ def _word() -> Column:
 
 
 def word_counts(texts: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """(word, n_pages, n_texts) of (page, text): pages and different texts that have each word.
+    """(word, n_pages, n_texts) of (page, text): pages and different texts that have each word; with `asked`, of these words.
 
-    With `asked`, different words, only these are counted and nothing else is shuffled.
+    A page or a text that is met once is just counted, with partial sums. Only those met several times are told apart
+    word by word.
     """
-    rows = texts.where("text IS NOT NULL").select("page", F.xxhash64("text").alias("mark"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
-    rows = rows if asked is None else sized_join(rows, asked, "word")
-    return rows.groupBy("word").agg(F.count_distinct("page").alias("n_pages"), F.count_distinct("mark").alias("n_texts"))
+    rows = texts.where("text IS NOT NULL").select("page", F.xxhash64("text").alias("mark"), "text")
+    for key in ("page", "mark"):
+        again = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.lit(True).alias(f"{key}_again"))
+        rows = sized_join(rows, again.where(F.col(key).isNotNull()), key, "left", AGAIN_ROWS)
+    once = lambda key: (F.col(key).isNotNull() & F.col(f"{key}_again").isNull()).cast("long")
+    none = F.lit(0).cast("long")
+    words = lambda r, *own: r.select(*own, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
+    several = lambda key: words(rows.where(f"{key}_again"), key).distinct()
+    counts = words(rows, once("page").alias("pages"), once("mark").alias("texts")).groupBy("word").agg(F.sum("pages").alias("n_pages"), F.sum("texts").alias("n_texts"))
+    counts = counts.unionByName(several("page").groupBy("word").agg(F.count("*").alias("n_pages")).withColumn("n_texts", none))
+    counts = counts.unionByName(several("mark").groupBy("word").agg(F.count("*").alias("n_texts")).withColumn("n_pages", none))
+    counts = counts if asked is None else counts.join(asked, "word", "left_semi")
+    return counts.groupBy("word").agg(F.sum("n_pages").alias("n_pages"), F.sum("n_texts").alias("n_texts"))
 
 
 def project_terms(files: DataFrame) -> DataFrame:

@@ -98,17 +98,21 @@ def spelling_confidence(spark, sf_dir):
     """How sure a misspelling in the middle of each text is, by what all texts, the urls and the project's terms say of
     its word; null drops it. Words seen KNOWN times stand for the dictionary; package files are laid over the parts."""
     docs = documents(spark, sf_dir)
-    parts = table(spark, sf_dir, "part").select(F.to_json(F.struct(F.create_map("p_name", F.lit("1")).alias("dependencies"), F.create_map("p_brand", F.lit("1")).alias("scripts"))).alias("text"))
+    names = table(spark, sf_dir, "part").select("p_name", "p_brand").distinct().repartition("p_name")
+    parts = names.select(F.to_json(F.struct(F.create_map("p_name", F.lit("1")).alias("dependencies"), F.create_map("p_brand", F.lit("1")).alias("scripts"))).alias("text"))
     terms = cut_lineage(E.project_terms(parts).union(E.url_terms(table(spark, sf_dir, "pages"))).distinct())
     known = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN)
     mid = F.floor(F.length("text") / 2).cast("int")
     rest = F.substring("text", mid + 1, F.length("text"))
     rows = docs.withColumns({"mid": mid, "wrong": F.regexp_extract(rest, LAID_WORD, 0)}).where("wrong <> ''")
     rows = rows.withColumns({"start": (F.col("mid") + F.instr(rest, F.col("wrong")) - 1).cast("int"), "length": F.length("wrong")})
+    # a match is read many times: what is kept of its text is the word and a character on either side
+    near = F.substring("text", F.greatest(F.col("start"), F.lit(1)), F.col("length") + F.least(F.col("start"), F.lit(1)) + 1)
+    rows = cut_lineage(rows.select("doc_id", "wrong", "length", F.col("start").alias("at"), near.alias("text"), F.least(F.col("start"), F.lit(1)).alias("start")))
     wrong, size = F.col("wrong"), F.length("wrong")
     choices = [F.array().cast("array<string>"), F.array(F.substring(wrong, F.lit(2), size)), F.array(F.concat(wrong, F.lit("xyz"))), F.array(F.concat(F.left(wrong, F.lit(2)), F.lit(" "), F.substring(wrong, F.lit(3), size)))]
     choices += [F.array(F.regexp_replace(wrong, "^(.*?)our", "$1or")), F.array(F.reverse(wrong))]
     laid = {"rule_id": "S", "category": "TYPOS", "rule_type": "misspelling", "message": "Possible mistake"}
     rows = rows.withColumns({**{k: F.lit(v) for k, v in laid.items()}, "replacements": F.element_at(F.array(*choices), (F.coalesce("doc_id", F.lit(0)) % 6 + 1).cast("int"))})
-    counts = E.word_counts(docs.select(F.col("doc_id").alias("page"), "text"), E.asked_words(rows))
-    return E.confident(rows.drop("mid"), counts, cut_lineage(known.select("word")), terms).select("doc_id", "wrong", "start", "confidence")
+    counts = cut_lineage(E.word_counts(docs.select(F.col("doc_id").alias("page"), "text"), E.asked_words(rows)))
+    return E.confident(rows, counts, cut_lineage(known.select("word")), terms).select("doc_id", "wrong", F.col("at").alias("start"), "confidence")

@@ -2,9 +2,12 @@
 
 import itertools
 import json
+import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from auditloom.operators import evidence as E
 
 SCHEMA = "id int, text string, start int, length int, rule_id string, category string, rule_type string, message string, replacements array<string>"
@@ -31,6 +34,25 @@ def test_word_counts(spark):
     assert [tuple(r) for r in some.collect()] == [("redis", 2, 3)]
 
 
+@pytest.mark.parametrize("again", [0, 100])
+def test_word_counts_of_repeated_pages_and_texts(spark, monkeypatch, again):
+    monkeypatch.setattr(E, "AGAIN_ROWS", again, raising=False)
+    rnd = random.Random(4)
+    pool = [" ".join(rnd.choice(["redis", "cache", "don't", "Blog", "ab"]) for _ in range(rnd.randrange(4))) for _ in range(30)] + [None]
+    texts = [(rnd.choice([None, *range(60)]), rnd.choice(pool)) for _ in range(90)]
+    frame = spark.createDataFrame(texts, "page int, text string")
+    met = {}
+    for page, text in texts:
+        for word in set(re.findall(E.WORD, (text or "").lower())):
+            met.setdefault(word, []).append((page, text))
+    want = {w: (len({p for p, _ in r if p is not None}), len({t for _, t in r})) for w, r in met.items()}
+    counts = E.word_counts(frame)
+    assert {r.word: (r.n_pages, r.n_texts) for r in counts.collect()} == want
+    assert {r.word: (r.n_pages, r.n_texts) for r in E.word_counts(frame, words(spark, "redis", "absent")).collect()} == {"redis": want["redis"]}
+    # words of every text are not written out twice to be told apart
+    assert "Expand" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_terms(spark):
     files = [json.dumps({"dependencies": {"@Types/node-fetch": "1", "left_pad2": "^1"}, "scripts": {"build:css": "x", "404": "y"}, "name": "hidden"}), "no json", "[1]", "{}", None, '{"dependencies": ["list"]}']
     got = {r.word for r in E.project_terms(spark.createDataFrame([(f,) for f in files], "text string")).collect()}
