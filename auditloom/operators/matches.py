@@ -3,8 +3,8 @@
 A checker is called with the texts of a batch joined by a blank line. Texts get their place by running totals over
 ranges (`sized.running_total`), so one order over all texts needs no task that holds them. A batch begins wherever
 the running total passes a multiple of the limit, hence holds at most the limit and one text more. A match belongs to
-the text whose range holds its offset: texts and matches of a batch are put in one order and each match takes the
-last text before it, an as-of join within a batch, which is bounded.
+the text whose range holds its offset: places of texts and matches of a batch are put in one order and each match takes
+the last text before it, an as-of join within a batch, which is bounded.
 
 Defined cases: a null text takes no place. A match that begins in the blank line between two texts, or goes beyond its
 text's end, belongs to none and is left out; so is one at an offset before the first text. Empty tables give empty
@@ -64,19 +64,33 @@ def pieces(text: Column, limit: int = BATCH_CHARS) -> Column:
     return F.aggregate(steps, none, step, lambda state: state["out"])
 
 
+def held(matches: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """`texts` that hold matches (keys, batch, offset, length, ...), each once, with `matches`, an array of struct(offset, length, ..., local).
+
+    `texts` are those of `batched`. Places and lengths meet the matches, not texts, so no text is shuffled for each match.
+    """
+    match = F.struct(*[c for c in matches.columns if c not in (*keys, "batch")]).alias("_match")
+    none = F.lit(None).cast(matches.select(match).schema[0].dataType).alias("_match")
+    whole = F.struct(F.col("start").cast("long").alias("at"), F.length("text").alias("size"))
+    tagged = texts.select(*keys, "batch", F.col("start").cast("long").alias("_at"), F.lit(0).alias("_kind"), whole.alias("_text"), none)
+    tagged = tagged.unionByName(matches.select(*keys, "batch", F.col("offset").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<at:bigint,size:int>").alias("_text"), match))
+    # at an equal place the text comes before the match
+    last = F.last("_text", ignorenulls=True).over(Window.partitionBy(*keys, "batch").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = tagged.withColumn("_held", last).where("_kind = 1 AND _held IS NOT NULL").withColumn("_local", F.col("_at") - F.col("_held.at"))
+    found = found.where(F.col("_local") + F.col("_match.length") <= F.col("_held.size"))
+    own = [*keys, "batch"]
+    found = found.groupBy(*own, F.col("_held.at").alias("_start")).agg(F.collect_list(F.struct("_match.*", F.col("_local").alias("local"))).alias("matches"))
+    found = found.withColumnsRenamed({c: f"_{n}" for n, c in enumerate(own)})
+    met = F.col("start").cast("long") == F.col("_start")
+    for n, c in enumerate(own):
+        met &= texts[c].eqNullSafe(F.col(f"_{n}"))
+    return texts.join(found, met).select(*[texts[c] for c in texts.columns], "matches")
+
+
 def mapped(matches: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     """Matches (keys, batch, offset, length, ...) with the `text` that holds them, its other columns, and their `local` offset.
 
     `texts` are those of `batched`.
     """
     own = [c for c in texts.columns if c not in (*keys, "batch", "start", "text")]
-    more = [c for c in matches.columns if c not in (*keys, "batch", "offset", "length")]
-    text = F.struct("start", "text", *own).alias("_text")
-    match = F.struct("offset", "length", *more).alias("_match")
-    tagged = texts.select(*keys, "batch", F.col("start").cast("long").alias("_at"), F.lit(0).alias("_kind"), text, F.lit(None).cast(matches.select(match).schema[0].dataType).alias("_match"))
-    tagged = tagged.unionByName(matches.select(*keys, "batch", F.col("offset").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(texts.select(text).schema[0].dataType).alias("_text"), match))
-    # at an equal place the text comes before the match
-    held = F.last("_text", ignorenulls=True).over(Window.partitionBy(*keys, "batch").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = tagged.withColumn("_held", held).where("_kind = 1 AND _held IS NOT NULL")
-    found = found.select(*keys, "batch", "_held.*", "_match.*").withColumn("local", F.col("offset") - F.col("start"))
-    return found.where(F.col("local") + F.col("length") <= F.length("text"))
+    return held(matches, texts, keys).select(*keys, "batch", "start", "text", *own, F.inline("matches"))

@@ -6,7 +6,7 @@ empty table gives no rows or a row of zeros, and null marks count as not set.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import classify as C
@@ -142,11 +142,16 @@ def name_variants(names: DataFrame, company: str) -> DataFrame:
 
 def shared_blocks(issues: DataFrame, places: DataFrame, shared: int) -> DataFrame:
     """Issues of texts (text, ...) at every place (text, url, ord) of the text; a text of `shared` pages or more at its first place only."""
-    pages = places.groupBy("text").agg(F.count_distinct("url").alias("n_pages"), F.min(F.struct("ord", "url")).alias("first"))
-    met = issues.join(pages, "text")
-    few = met.where(F.col("n_pages") < shared).join(places.groupBy("text", "url").agg(F.min("ord").alias("ord")), "text")
-    many = met.where(F.col("n_pages") >= shared).select("*", "first.url", "first.ord")
-    return few.unionByName(many).drop("first")
+    each = places.groupBy("text", "url").agg(F.min("ord").alias("ord"))
+    pages = each.groupBy("text").agg(F.count("url").alias("n_pages"))
+    # of a text on very many pages no more than its first ones are shuffled; one of them may have no url
+    nearest = F.row_number().over(Window.partitionBy("text").orderBy("ord", "url"))
+    first = each.withColumn("_rank", nearest).where(F.col("_rank") <= shared + 1)
+    first = first.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("ord", "url"))).alias("_first"))
+    met = issues.join(pages, "text").join(first, "text")
+    shown = F.when(F.col("n_pages") >= shared, F.slice("_first", 1, 1)).otherwise(F.col("_first"))
+    rows = met.withColumn("_place", F.explode(shown))
+    return rows.select(*issues.columns, "n_pages", "_place.url", "_place.ord")
 
 
 def master_order() -> list[Column]:
